@@ -117,3 +117,12 @@ def pad(number: Column, width: int) -> Column:
     """Zero-padded text of a number; longer numbers stay whole."""
     text = number.cast("string")
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer partitions than cores; else leave it alone.
+
+    Large inputs already come in many splits and are not shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

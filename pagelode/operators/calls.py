@@ -293,29 +293,56 @@ def path_pattern(template: Column) -> Column:
 def best_routes(requests: DataFrame, route: DataFrame) -> DataFrame:
     """Best route per request: operation, body and query add to the score.
 
-    The join runs on method, segment count and the first segment (static in the
-    route, or its parameter mark), so it stays an equi join; the pattern is a
-    residual test. The best is an aggregate (``max_by``), not a sort of all pairs.
+    A request first finds its templates (equi join on method, segment count and
+    first segment, pattern as residual). A route is then indexed under each
+    combination of the signals it could be found by, the first route per key
+    kept; a request probes the same keys with their scores. So a request meets
+    at most one route per key, never all variants of a hot endpoint. The route
+    with the true best score is the first one under its own full key.
     """
     first = lambda path: F.coalesce(F.get(U.segments(path), F.lit(0)), F.lit(""))
-    side = route.select(
-        F.upper("method").alias("method"), F.size(F.split("template", "/")).alias("parts"),
-        first(F.col("template")).alias("head"), path_pattern(F.col("template")).alias("pattern"),
-        "template", F.col("op").alias("want_op"), F.col("body_hash").alias("want_body"),
-        F.col("query_sig").alias("want_query"), "route_seq")
-    ask = requests.withColumn("parts", F.size(F.split("pathname", "/"))).withColumn("head", F.explode(
+    index = route.select(
+        F.upper("method").alias("method"), "template", "route_seq",
+        F.array_distinct(F.array(F.lit("*"), F.coalesce("op", F.lit("*")))).alias("ops"),
+        F.array_distinct(F.array(F.lit("*"), F.when(F.col("body_hash") != "", F.col("body_hash")).otherwise(F.lit("*"))))
+        .alias("bodies"), "query_sig")
+    templates = index.groupBy("method", "template").agg(
+        F.collect_set(F.length("query_sig")).alias("lengths")).select(
+        "method", "template", "lengths", F.size(F.split("template", "/")).alias("parts"),
+        F.when(first(F.col("template")).rlike(r"^\{"), F.lit("{}")).otherwise(first(F.col("template"))).alias("head"),
+        path_pattern(F.col("template")).alias("pattern"))
+    asked = requests.withColumn("parts", F.size(F.split("pathname", "/"))).withColumn("head", F.explode(
         F.array_distinct(F.array(first(F.col("pathname")), F.lit("{}")))))
-    side = side.withColumn("head", F.when(F.col("head").rlike(r"^\{"), F.lit("{}")).otherwise(F.col("head")))
-    pairs = ask.join(side, ["method", "parts", "head"]).filter(F.expr("pathname rlike pattern"))
-    sig, want = F.col("query_sig"), F.col("want_query")
-    score = (
-        F.lit(R.SCORE_BASE)
-        + F.when(F.col("want_op") == F.col("op"), R.SCORE_OPERATION).otherwise(0)
-        + F.when((F.col("want_body") != "") & (F.col("want_body") == F.col("body_hash")), R.SCORE_BODY).otherwise(0)
-        + F.when((want != "") & (want == sig), R.SCORE_QUERY)
-        .when((want != "") & (sig != "") & sig.contains(want), R.SCORE_QUERY_PART)
-        .when((want == "") & (sig == ""), R.SCORE_GENERIC).otherwise(0))
-    best = pairs.withColumn("score", score).groupBy("request_id").agg(F.max_by(
+    asked = asked.join(templates, ["method", "parts", "head"]).filter(F.expr("pathname rlike pattern")).select(
+        "request_id", "method", "template", "lengths", "op", "body_hash", "query_sig")
+
+    index = (index.withColumn("op_key", F.explode("ops")).withColumn("body_key", F.explode("bodies"))
+             .withColumn("query_key", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "query_sig"))))
+             .groupBy("method", "template", "op_key", "body_key", "query_key").agg(F.min("route_seq").alias("route_seq")))
+
+    def probe(key: Column, score: Column | int) -> Column:
+        return F.struct(key.alias("k"), (F.lit(score) if isinstance(score, int) else score).alias("s"))
+
+    sig = F.col("query_sig")
+    # Every part of the signature that is as long as some recorded one.
+    inner = F.array_distinct(F.flatten(F.transform(
+        F.filter("lengths", lambda n: (n > 0) & (n < F.length(sig))),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(sig) - n + 1), lambda i: F.substring(sig, i, n)))))
+    query_probes = F.concat(
+        F.array(probe(F.lit("*"), 0), probe(F.concat(F.lit("="), sig), F.when(
+            sig == "", R.SCORE_GENERIC).otherwise(R.SCORE_QUERY))),
+        F.transform(inner, lambda t: probe(F.concat(F.lit("="), t), R.SCORE_QUERY_PART)))
+    probes = (
+        asked.withColumn("q", F.explode(query_probes))
+        .withColumn("o", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("op"), R.SCORE_OPERATION)),
+                                            lambda x: x["k"].isNotNull())))
+        .withColumn("b", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("body_hash"), R.SCORE_BODY)),
+                                            lambda x: x["k"] != "")))
+        .select("request_id", "method", "template", F.col("o.k").alias("op_key"), F.col("b.k").alias("body_key"),
+                F.col("q.k").alias("query_key"),
+                (F.lit(R.SCORE_BASE) + F.col("o.s") + F.col("b.s") + F.col("q.s")).alias("score")))
+    hits = probes.join(index, ["method", "template", "op_key", "body_key", "query_key"])
+    best = hits.groupBy("request_id").agg(F.max_by(
         F.struct("template", "route_seq", "score"), F.struct(F.col("score"), -F.col("route_seq"))).alias("b"))
     return best.select("request_id", "b.template", "b.route_seq", "b.score")
 
@@ -329,14 +356,18 @@ def fold_state(log: DataFrame) -> DataFrame:
     Whole-record events set a base; later merges lay single fields over it. Both
     are aggregates per record and field, so order needs no row-by-row loop.
     """
-    base = log.filter("op <> 'merge'").groupBy("resource", "id").agg(
-        F.max_by(F.struct("op", "body", "seq"), F.col("seq")).alias("b"))
-    fields = F.expr("map_entries(try_variant_get(try_parse_json(body), '$', 'map<string,variant>'))")
-    laid = log.filter("op <> 'delete'").join(
-        base.select("resource", "id", F.col("b.seq").alias("base_seq")), ["resource", "id"], "left").filter(
-        (F.col("op") == "merge") & (F.col("seq") > F.coalesce("base_seq", F.lit(-1))) | (F.col("seq") == F.col("base_seq")))
-    field = laid.select("resource", "id", "seq", F.explode(fields).alias("e")).select(
-        "resource", "id", "seq", F.col("e.key").alias("field"), F.to_json("e.value").alias("value"))
+    entries = F.expr("map_entries(try_variant_get(try_parse_json(body), '$', 'map<string,variant>'))")
+    rows = log.withColumn("fields", F.transform(entries, lambda e: F.struct(
+        e["key"].alias("field"), F.to_json(e["value"]).alias("value"))))
+    # A replace without an object keeps the record; a create stores its id.
+    rows = rows.filter("op <> 'replace' or fields is not null").withColumn("fields", F.when(
+        (F.col("op") == "create") & ~F.coalesce(F.exists("fields", lambda e: e["field"] == "id"), F.lit(False)),
+        F.concat(F.coalesce("fields", F.array().cast("array<struct<field:string,value:string>>")), F.array(F.struct(
+            F.lit("id").alias("field"), F.concat(F.lit('"'), "id", F.lit('"')).alias("value"))))).otherwise(F.col("fields")))
+    base = rows.filter("op <> 'merge'").groupBy("resource", "id").agg(F.max("seq").alias("base_seq"))
+    laid = rows.filter("op <> 'delete'").join(base, ["resource", "id"], "left").filter(
+        "seq >= coalesce(base_seq, seq)")
+    field = laid.select("resource", "id", "seq", F.inline("fields"))
     return field.groupBy("resource", "id", "field").agg(F.max_by("value", "seq").alias("value"))
 
 
@@ -363,6 +394,5 @@ def hydrate(docs: DataFrame, body: str = "response") -> DataFrame:
     """Collection records with their id: first id-like key, else the place."""
     rows = record_rows(docs, body)
     keys = [F.try_variant_get(F.col("record"), f"$.{k}", "string") for k in R.RECORD_ID_KEYS]
-    # Records without an id are counted apart, as the fallback number only grows for them.
     return rows.withColumn("record_id", F.coalesce(*keys, (F.col("pos") + 1).cast("string"))).withColumn(
         "record", F.to_json("record"))

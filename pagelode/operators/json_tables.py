@@ -21,7 +21,7 @@ def kind_of(v: Column) -> Column:
     named = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
     return (
-        F.when(F.is_variant_null(v), "null").when(named.startswith("OBJECT"), "object")
+        F.when(v.isNull(), F.lit(None)).when(F.is_variant_null(v), "null").when(named.startswith("OBJECT"), "object")
         .when(named.startswith("ARRAY"), "array").when(named == "BOOLEAN", "boolean")
         .when(named == "STRING", "string").when(number == F.floor(number), "integer")
         .otherwise("number")

@@ -375,3 +375,44 @@ SNIPPETS = [
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     """Short texts with every shape of secret and changing value."""
     return table(spark, sf, "events").selectExpr(*SNIPPETS)
+
+
+_CK = "CAST(c_custkey AS STRING)"
+_CARD = ("'<li class=\"card b a\" data-id=\"{0}\"><h3><a href=\"/i/{0}?c=' || " + _CK + " || '\">Item {0}</a></h3>"
+         "<time datetime=\"2024-01-0{0}\">Jan</time><span class=\"author-name\">Ann ' || CAST(c_nationkey AS STRING) || '</span></li>'")
+RICH_HTML = (
+    "'<html><head><title>T</title><link rel=\"shortcut icon\" href=\"/fav.png\"><meta property=\"og:image\" content=\"og/' || " + _CK +
+    " || '.png\"><link rel=\"manifest\" href=\"/m.webmanifest\"><script src=\"https://cdn.example.com/chart.js\"></script></head>"
+    "<body><header role=\"banner\"><a href=\"/home\" class=\"brand\">Home</a><button aria-label=\"Account menu\" "
+    "aria-haspopup=\"menu\">Me</button></header><nav><a href=\"' || CASE WHEN c_custkey % 3 = 0 THEN '/logout' ELSE '/docs' END || "
+    "'\">Go 12</a><a href=\"/b\">Go 34</a></nav><main id=\"m1\"><article class=\"' || CASE WHEN c_custkey % 2 = 0 THEN 'prose big' ELSE"
+    " 'x' END || '\"><h1>Title</h1><p>' || repeat('word ' || c_mktsegment || ' ', 12) || '</p><pre>code</pre><section class=\"prose\">' "
+    "|| repeat('inner ' || c_name || ' ', CAST(c_custkey % 9 AS INT)) || '</section></article><ul class=\"cards\" id=\"list\">' || "
+    + _CARD.format(1) + " || " + _CARD.format(2) + " || " + _CARD.format(3) + " || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE "
+    + _CARD.format(4) + " END || '</ul><form><input type=\"text\" name=\"q\" placeholder=\"Find it\" required>"
+    "<input type=\"checkbox\" aria-label=\"Agree\">' || CASE WHEN c_custkey % 5 = 0 THEN '<input type=\"password\" name=\"pw\">' ELSE '' END"
+    " || '<select name=\"s\"><option>One<option>Two</select><textarea placeholder=\"Note\"></textarea><input type=hidden name=z>"
+    "<button disabled class=\"k j\">Send</button><button class=\"j k\">Send</button><button data-testid=\"go\">Go</button>"
+    "<button data-testid=\"go2\" role=\"tab\" aria-expanded=\"' || CASE WHEN c_custkey % 6 = 0 THEN 'true' ELSE 'false' END || "
+    "'\">Tab</button></form><video src=\"/v.mp4\" poster=\"p.jpg\"></video><audio><source src=\"https://media.example.org/a.mp3\"></audio>"
+    "<canvas></canvas><svg><animate/></svg><svg></svg><iframe src=\"https://' || CASE WHEN c_custkey % 7 = 0 THEN "
+    "'challenges.cloudflare.com' ELSE 'x.example.org' END || '/f\"></iframe><x-card></x-card><y-box></y-box><x-card></x-card></main>"
+    "<div role=\"menu\"><a role=\"menuitem\" href=\"#x\">Open</a></div>' || CASE c_custkey % 8 WHEN 1 THEN "
+    "'<p role=\"alert\">bad</p>' WHEN 2 THEN '<div class=\"Skeleton row\"></div>' WHEN 3 THEN '<div class=\"is-empty\"></div>' WHEN 4 THEN"
+    " '<div class=\"toast\">ok</div>' WHEN 5 THEN '<p>Access denied</p>' ELSE '' END || '<footer><p>foot</p></footer></body></html>'"
+)
+RICH_PAGES = ["c_custkey + 1000000 AS page_id",
+              "'https://shop.example.com/c/' || " + _CK + " || CASE WHEN c_custkey % 10 = 9 THEN '/login' ELSE '' END AS url",
+              RICH_HTML + " AS html"]
+
+
+def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with forms, landmarks, media and listings, one per customer."""
+    return table(spark, sf, "customer").selectExpr(*RICH_PAGES)
+
+
+def all_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", "url", "html").unionByName(rich_pages(spark, sf))
+
+
+ALL_PAGES_SQL = (f"SELECT page_id, url, html FROM pages UNION ALL SELECT {', '.join(RICH_PAGES)} FROM customer")
