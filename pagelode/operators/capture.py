@@ -91,4 +91,4 @@ def retry_after_ms(header: Column, now_ms: Column) -> Column:
     wait = lambda ms: F.least(F.lit(R.MAX_BACKOFF_MS).cast("double"), ms.cast("double"))
     return F.when(F.coalesce(header, F.lit("")) == "", F.lit(None)).when(
         seconds.isNotNull(), F.when(seconds >= 0, wait(seconds * 1000))).otherwise(
-        F.when(when - now_ms <= 0, F.lit(0.0)).otherwise(wait(when - now_ms))).cast("long")
+        F.when(when <= now_ms, F.lit(0.0)).when(when > now_ms, wait(when - now_ms))).cast("long")

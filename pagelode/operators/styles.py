@@ -179,7 +179,7 @@ def type_scale(samples: DataFrame) -> DataFrame:
     keys = ["role", "size", "weight", "line_height", "spacing"]
     counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
     px = F.coalesce(F.regexp_extract("size", r"^\s*([0-9.]+)", 1).try_cast("double"), F.lit(0.0))
-    best = counts.groupBy("role").agg(F.max_by(F.struct(*keys[1:], "n"), F.struct(F.col("n"), px, -F.col("seq"))).alias("b"))
+    best = counts.groupBy("role").agg(F.min_by(F.struct(*keys[1:], "n"), F.struct(-F.col("n"), -px, F.col("seq"))).alias("b"))
     named = best.select(F.when(F.col("role") == "p", "body").otherwise(F.col("role")).alias("role"), "b.*")
     return named.withColumn("role_order", position_in(F.col("role"), R.TYPE_ROLES))
 

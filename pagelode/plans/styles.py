@@ -31,7 +31,7 @@ def _boxes(spark, sf):
 
 
 _BOX = [
-    "l_suppkey AS page_id", "CAST(l_extendedprice * 100 AS BIGINT) * 10 + l_linenumber AS pos",
+    "l_suppkey AS page_id", "CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber AS pos",
     "CASE l_linenumber WHEN 1 THEN 'header' WHEN 2 THEN 'h2' WHEN 3 THEN 'div' WHEN 4 THEN 'span' WHEN 5 THEN 'ul' ELSE 'p' END AS tag",
     "CASE WHEN p_size = 7 THEN 'search' END AS role",
     "CASE WHEN p_size % 5 = 0 THEN 'Card-' || CAST(p_size AS STRING) ELSE 'x' END AS class",

@@ -167,7 +167,7 @@ ASSET_RESPONSES = [
     "CASE p_size % 9 WHEN 0 THEN 'font/woff2' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/svg+xml'"
     " WHEN 3 THEN 'text/css; charset=utf-8' WHEN 4 THEN 'text/javascript' WHEN 5 THEN 'image/avif'"
     " WHEN 6 THEN '' WHEN 7 THEN 'text/html' ELSE 'application/octet-stream' END AS content_type",
-    "CAST(p_retailprice * 10 AS BIGINT) * (1 + p_size % 3) AS bytes", "p_partkey AS seq",
+    "CAST(round(p_retailprice * 10) AS BIGINT) * (1 + p_size % 3) AS bytes", "p_partkey AS seq",
 ]
 
 # Font urls repeat across style sheets; the first rule must win.
@@ -189,7 +189,7 @@ ENTITY_DOCS = [
     "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'https://site.example.com/e/' ||"
     " CAST(o_custkey AS STRING) END AS url",
     "'{' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '\"id\":\"' || lower(c_mktsegment) || '/m' ||"
-    " CAST(o_custkey AS STRING) || '\",' END || '\"price\":' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) ||"
+    " CAST(o_custkey AS STRING) || '\",' END || '\"price\":' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) ||"
     " ',\"status\":\"' || o_orderstatus || '\"' ||"
     " CASE WHEN o_orderkey % 7 = 0 THEN ',\"author\":{\"login\":\"u' || CAST(c_nationkey AS STRING) || '\"}'"
     " WHEN o_orderkey % 7 = 1 THEN ',\"author\":\"\",\"owner\":\"w' || CAST(c_nationkey AS STRING) || '\"'"
@@ -201,7 +201,7 @@ ENTITY_DOCS = [
 CRUD_CREATE = [
     "'orders' AS resource", "CAST(o_orderkey AS STRING) AS id",
     "o_orderkey * 100 AS seq", "'create' AS op",
-    "'{\"status\":\"' || o_orderstatus || '\",\"total\":' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) || '}' AS body",
+    "'{\"status\":\"' || o_orderstatus || '\",\"total\":' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || '}' AS body",
 ]
 CRUD_CHANGE = [
     "'orders' AS resource", "CAST(l_orderkey AS STRING) AS id",
@@ -210,7 +210,7 @@ CRUD_CHANGE = [
     " WHEN l_linestatus = 'O' AND l_linenumber = 3 THEN 'replace' ELSE 'merge' END AS op",
     "CASE WHEN l_returnflag = 'R' AND l_linenumber > 4 THEN NULL ELSE '{\"qty\":' ||"
     " CAST(CAST(l_quantity AS BIGINT) AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN ',\"price\":' ||"
-    " CAST(CAST(l_extendedprice AS BIGINT) AS STRING) ELSE '' END || '}' END AS body",
+    " CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) ELSE '' END || '}' END AS body",
 ]
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -218,7 +218,7 @@ SNAPSHOTS = [
     "l_orderkey AS page_id", "'#e' || CAST(l_linenumber AS STRING) AS selector",
     "CASE l_returnflag WHEN 'A' THEN 'hover' WHEN 'N' THEN 'rest' ELSE 'focus' END AS state",
     "CASE l_suppkey % 4 WHEN 0 THEN 'color' WHEN 1 THEN 'opacity' WHEN 2 THEN 'cursor' ELSE 'margin' END AS prop",
-    "CAST(CAST(l_tax * 100 AS BIGINT) AS STRING) AS value",
+    "CAST(CAST(round(l_tax * 100) AS BIGINT) AS STRING) AS value",
 ]
 
 FRAMES = [
@@ -416,3 +416,26 @@ def all_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ALL_PAGES_SQL = (f"SELECT page_id, url, html FROM pages UNION ALL SELECT {', '.join(RICH_PAGES)} FROM customer")
+
+
+LISTING_ROWS = [
+    "'models-index' AS page", "'https://hub.example.com/' || CASE WHEN c_custkey % 3 = 0 THEN 'models' ELSE 'top' END || '?p=' || " + _CK +
+    " AS page_url", "c_custkey AS seq", "c_custkey % 60 AS row_no", "c_name AS title", "'by' || CAST(c_nationkey AS STRING) AS author",
+    "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'https://hub.example.com/datasets/own' || CAST(c_nationkey AS STRING) || '/' || lower(c_mktsegment)"
+    " WHEN 2 THEN '/solo' || " + _CK + " ELSE 'https://hub.example.com/acme/m' || " + _CK + " END AS href",
+]
+TREE_TEXTS = [
+    "conv_id * 1000 + turn AS tree_id",
+    "'- navigation \"Main\":' || chr(10) || '  - link \"' || role || '\":' || chr(10) || '    - /url: /x' || chr(10) || '  ' || chr(9) ||"
+    " '- heading \"He said \\\\\"x' || CAST(turn AS STRING) || '\\\\\" ok\" [level=2]' || chr(10) || '- text: plain' || chr(10) || '---' || chr(10) ||"
+    " CASE WHEN turn % 2 = 0 THEN '' ELSE '      - button' || chr(13) || chr(10) END || '  - listitem' || chr(10) || '-' || chr(10) || '- img \"open' AS yaml",
+]
+
+
+def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").selectExpr(*LISTING_ROWS)
+    return rows.withColumn("fields", F.create_map(F.lit("title"), "title", F.lit("author"), "author")).drop("title", "author")
+
+
+def tree_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").selectExpr(*TREE_TEXTS)
