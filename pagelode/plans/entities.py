@@ -34,10 +34,10 @@ QUERIES = {
 
 _DOCS = f"docs AS ({A.select_sql(A.ENTITY_DOCS, A.ENTITY_DOCS_SQL)})"
 _REC = (_DOCS + ", rec AS (SELECT CASE o % 4 WHEN 0 THEN 'model' WHEN 1 THEN 'dataset' ELSE 'space' END AS type, coalesce(json ->> '$.id', regexp_extract(path, "
-        "'([^/]+)$', 1)) AS id, url, seq, json FROM (SELECT *, seq AS o FROM docs) WHERE o % 4 <> 3)")
+        "'([^/]+)$', 1)) AS id, url, seq, json FROM (SELECT *, seq AS o FROM docs) WHERE o % 4 <> 3 AND (o % 5 <> 0 OR o % 10 = 0))")
 _EDGE = (_REC + ", links AS (SELECT type, id, seq, 'author' AS rel, 'user' AS dt, coalesce(nullif(json ->> '$.author.login', ''), CASE WHEN json_type(json, '$.author') = "
          "'VARCHAR' THEN nullif(json ->> '$.author', '') END, json ->> '$.owner') AS di, seq % 7 = 0 AS obj FROM rec UNION ALL SELECT type, id, seq, 'in-org', 'org', json ->> '$.org', false "
-         "FROM rec UNION ALL SELECT type, id, seq, 'uses-dataset', 'dataset', unnest(json_extract_string(json, ['$.datasets[0]', '$.datasets[1]'])), false FROM rec UNION ALL "
+         "FROM rec UNION ALL SELECT type, id, seq, 'uses-dataset', 'dataset', unnest(json_extract_string(json, ['$.datasets[0]', '$.datasets[1]'])), false FROM rec WHERE seq % 10 <> 0 UNION ALL "
          "SELECT type, id, seq, 'author', 'user', split_part(id, '/', 1), false FROM rec WHERE contains(id, '/'))")
 _TYPES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in R.ENTITY_TYPES.items()) + "}"
 _LIST = ("l AS (" + A.select_sql(A.LISTING_ROWS, "customer") + "), r AS (SELECT 'model' AS type, CASE WHEN href IS NULL THEN title WHEN contains(href, '/datasets/') THEN "
@@ -49,8 +49,8 @@ ORACLES = {
         f"lambda x: x <> '' AND x <> 'api') AS g, {_TYPES} AS m FROM p), k AS (SELECT path, g, m, list_filter(generate_series(1, len(g)), lambda i: m[lower(g[i])] IS NOT NULL)[1] AS i FROM s) SELECT path, m[lower(g[i])] "
         "AS type, CASE WHEN m[lower(g[i + 1])] IS NULL THEN g[i + 1] END AS id FROM k",
     "e07_entities": f"WITH {_EDGE}, a AS (SELECT type, id, url, seq FROM rec UNION ALL SELECT dt, di, NULL, seq FROM links) SELECT type, id, arg_min(url, seq) FILTER (url IS NOT NULL) AS url FROM a GROUP BY 1, 2",
-    "e07_entity_fields": f"WITH {_EDGE}, f AS (SELECT type, id, seq * 2 AS at, e.key AS field, CAST(e.value AS VARCHAR) AS value FROM rec, json_each(rec.json) e WHERE e.type NOT IN ('OBJECT', 'NULL') UNION ALL SELECT dt, di, seq * 2 + 1, 'login', '\"' || di || '\"' FROM links "
-        "WHERE obj) SELECT type, id, field, max_by(value, at) AS value FROM f GROUP BY 1, 2, 3".replace("SELECT type, id, seq * 2 AS at", "SELECT rec.type, rec.id, seq * 2 AS at"),
+    "e07_entity_fields": f"WITH {_EDGE}, f AS (SELECT type, id, seq * 2 AS turn, e.key AS field, CAST(e.value AS VARCHAR) AS value FROM rec, json_each(rec.json) e WHERE e.type NOT IN ('OBJECT', 'NULL') UNION ALL SELECT dt, di, seq * 2 + 1, 'login', '\"' || di || '\"' FROM links "
+        "WHERE obj) SELECT type, id, field, max_by(value, turn) AS value FROM f GROUP BY 1, 2, 3".replace("SELECT type, id, seq * 2 AS turn", "SELECT rec.type, rec.id, seq * 2 AS turn"),
     "e07_listing_entities": f"WITH {_LIST}, a AS (SELECT type, id, url, seq FROM r UNION ALL SELECT 'user', author, NULL, seq FROM r UNION ALL SELECT 'user', split_part(id, '/', 1), NULL, seq FROM r WHERE contains(id, '/')) SELECT type, id, arg_min(url, seq) FILTER (url IS NOT "
         "NULL) AS url FROM a GROUP BY 1, 2",
     "e08_relation_edges": f"WITH {_EDGE} SELECT DISTINCT type || '/' || id AS src, dt || '/' || di AS dst, rel FROM links",

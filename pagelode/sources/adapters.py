@@ -194,8 +194,8 @@ ENTITY_DOCS = [
     " CASE WHEN o_orderkey % 7 = 0 THEN ',\"author\":{\"login\":\"u' || CAST(c_nationkey AS STRING) || '\"}'"
     " WHEN o_orderkey % 7 = 1 THEN ',\"author\":\"\",\"owner\":\"w' || CAST(c_nationkey AS STRING) || '\"'"
     " ELSE ',\"author\":\"a' || CAST(c_nationkey AS STRING) || '\"' END ||"
-    " ',\"org\":\"' || c_mktsegment || '\",\"datasets\":[\"d' || CAST(c_nationkey AS STRING) || '\",\"d' ||"
-    " CAST(o_orderkey % 11 AS STRING) || '\"],\"gone\":null}' AS json",
+    " ',\"org\":\"' || c_mktsegment || '\"' || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE ',\"datasets\":[\"d' ||"
+    " CAST(c_nationkey AS STRING) || '\",\"d' || CAST(o_orderkey % 11 AS STRING) || '\"]' END || ',\"gone\":null}' AS json",
 ]
 
 CRUD_CREATE = [
@@ -427,7 +427,7 @@ LISTING_ROWS = [
 TREE_TEXTS = [
     "conv_id * 1000 + turn AS tree_id",
     "'- navigation \"Main\":' || chr(10) || '  - link \"' || role || '\":' || chr(10) || '    - /url: /x' || chr(10) || '  ' || chr(9) ||"
-    " '- heading \"He said \\\\\"x' || CAST(turn AS STRING) || '\\\\\" ok\" [level=2]' || chr(10) || '- text: plain' || chr(10) || '---' || chr(10) ||"
+    " '- heading \"He said ' || chr(92) || '\"x' || CAST(turn AS STRING) || chr(92) || '\" ok\" [level=2]' || chr(10) || '- text: plain' || chr(10) || '---' || chr(10) ||"
     " CASE WHEN turn % 2 = 0 THEN '' ELSE '      - button' || chr(13) || chr(10) END || '  - listitem' || chr(10) || '-' || chr(10) || '- img \"open' AS yaml",
 ]
 
