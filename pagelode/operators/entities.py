@@ -26,14 +26,21 @@ def path_entity(path: Column) -> Column:
     return let(F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.startswith("{") & (s != "api")), typed)
 
 
+def _first(keys: Column, pick) -> Column:
+    """First non-NULL ``pick(key)`` over an array of keys; the expression is built once."""
+    return F.get(F.filter(F.transform(keys, pick), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _words(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
 def record_id(v: Column) -> Column:
     """First usable id of a record: a non-blank text or a number under a known key."""
-    def one(key: str) -> Column:
-        raw = F.try_variant_get(v, f"$.{key}", "variant")
-        kind = F.schema_of_variant(raw)
-        plain = (kind == "STRING") | (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE")
-        return F.when(plain, F.nullif(strip(F.try_variant_get(v, f"$.{key}", "string")), F.lit("")))
-    return F.coalesce(*[one(k) for k in R.ENTITY_ID_KEYS])
+    def plain(x: Column) -> Column:
+        return F.when(F.schema_of_variant(x).rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"),
+                      F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit("")))
+    return let(_as_object(v), lambda m: _first(_words(R.ENTITY_ID_KEYS), lambda k: let(F.try_element_at(m, k), plain)))
 
 
 def _as_object(v: Column) -> Column:
@@ -83,30 +90,31 @@ def listing_records(rows: DataFrame) -> DataFrame:
                        F.col("row_no").alias("place"), F.to_variant_object("fields").alias("v"))
 
 
-def _targets(v: Column, keys: list[str]) -> Column:
-    """Related records under the first usable key of a relation: array<struct<id,v>>."""
-    def one(key: str) -> Column:
-        raw = F.try_variant_get(v, f"$.{key}", "variant")
-
-        def usable(x: Column) -> Column:
-            text = F.when(F.schema_of_variant(x) == "STRING", F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit("")))
-            return F.coalesce(text, F.when(F.schema_of_variant(x).startswith("OBJECT"), record_id(x)))
-        single = let(raw, lambda x: let(usable(x), lambda i: F.when(i.isNotNull(), F.array(F.struct(i.alias("id"), x.alias("v"))))))
-        many = F.filter(F.transform(F.slice(F.try_variant_get(raw, "$", "array<variant>"), 1, R.MAX_RELATION_ITEMS),
-                                    lambda x: F.struct(usable(x).alias("id"), x.alias("v"))), lambda t: t["id"].isNotNull())
-        return F.coalesce(single, many)
-    return F.coalesce(*[one(k) for k in keys])
+_LINKS = "array<struct<rel:string,dst_type:string,dst_id:string,dst:variant>>"
 
 
 def relations(records: DataFrame) -> DataFrame:
     """All links of records, repeats included: src type and id, rel, dst type and id, dst record."""
-    by_rule = F.concat(*[F.coalesce(F.transform(_targets(F.col("v"), keys), lambda t: F.struct(
-        F.lit(rel).alias("rel"), F.lit(to).alias("dst_type"), t["id"].alias("dst_id"), t["v"].alias("dst"))),
-        F.array().cast("array<struct<rel:string,dst_type:string,dst_id:string,dst:variant>>")) for keys, rel, to in R.RELATION_RULES])
+    def usable(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return F.when(kind == "STRING", F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit(""))).when(
+            kind.startswith("OBJECT"), record_id(x))
+
+    def related(raw: Column) -> Column:
+        """Records a key points at; NULL when the key is of no use and the next one counts."""
+        items = F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array(raw))
+        found = F.filter(F.transform(F.slice(items, 1, R.MAX_RELATION_ITEMS), lambda x: F.struct(usable(x).alias("id"), x.alias("v"))),
+                         lambda t: t["id"].isNotNull())
+        return let(found, lambda f: F.when((F.size(f) > 0) | F.schema_of_variant(raw).startswith("ARRAY"), f))
+
+    rules = F.array(*[F.struct(_words(keys).alias("keys"), F.lit(rel).alias("rel"), F.lit(to).alias("to")) for keys, rel, to in R.RELATION_RULES])
+    by_rule = let(_as_object(F.col("v")), lambda m: F.flatten(F.transform(rules, lambda r: F.transform(
+        F.coalesce(_first(r["keys"], lambda k: let(F.try_element_at(m, k), related)), F.array().cast("array<struct<id:string,v:variant>>")),
+        lambda t: F.struct(r["rel"].alias("rel"), r["to"].alias("dst_type"), t["id"].alias("dst_id"), t["v"].alias("dst"))))))
     parts = F.filter(F.split("id", "/"), lambda s: s != "")
     owner = F.when(F.col("type").isin(*R.OWNED_TYPES) & (F.size(parts) >= 2), F.array(F.struct(
         F.lit("author").alias("rel"), F.lit("user").alias("dst_type"), F.try_element_at(parts, F.lit(-2)).alias("dst_id"),
-        F.lit(None).cast("variant").alias("dst")))).otherwise(F.array().cast("array<struct<rel:string,dst_type:string,dst_id:string,dst:variant>>"))
+        F.lit(None).cast("variant").alias("dst")))).otherwise(F.array().cast(_LINKS))
     return records.select("type", "id", "seq", "place", F.inline(F.concat(by_rule, owner)))
 
 
