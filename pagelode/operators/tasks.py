@@ -117,12 +117,13 @@ def listing_data_tasks(listing: DataFrame) -> DataFrame:
     first = rows.withColumn("value", F.get(salient_pairs(F.map_entries("fields")), F.lit(0))["value"]).filter("value is not null")
     grouped = first.groupBy("listing_seq", "page", "page_url").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("vs"))
     values = F.slice(F.array_distinct(F.transform("vs", lambda x: x["value"])), 1, R.MAX_DATA_ASSERTIONS)
-    grouped = grouped.withColumn("values", values)
+    # Named before the task columns, which reuse the name "page".
+    grouped = grouped.withColumns({"values": values, "listing_page": F.col("page")})
     route = F.coalesce(U.pathname_or(F.col("page_url")), "page")
     return _task(grouped, 5, ord=F.col("listing_seq"), title=F.concat(F.lit("data: listing rows render on "), route), page=route, page_url=F.col("page_url"),
                  name=F.get("values", F.lit(0)), action=F.lit("none"), outcome=F.lit("noop"),
                  detail=F.concat(F.size("values"), F.lit(" captured listing rows render")),
-                 data=F.transform("values", lambda v, i: F.struct(v.alias("text"), F.concat(F.lit("listing:"), "page", F.lit("#row"), i).alias("source"))))
+                 data=F.transform("values", lambda v, i: F.struct(v.alias("text"), F.concat(F.lit("listing:"), "listing_page", F.lit("#row"), i).alias("source"))))
 
 
 def coverage_tasks(targets: DataFrame, listing: DataFrame) -> DataFrame:

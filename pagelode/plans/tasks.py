@@ -105,9 +105,9 @@ def v11(spark, sf):
     """Link texts of a page must show on the page itself, its page-after-next on none."""
     from ..operators.links import anchors
     pages = A.table(spark, sf, "pages")
-    wanted = anchors(pages).select(F.col("page_id").alias("task_id"), U.rebase(F.col("url"), F.lit("http://localhost:3000")).alias("url"), F.col("pos").alias("ord"),
+    wanted = anchors(pages).select(F.col("page_id").alias("task_id"), U.rebase(F.col("url"), F.concat(F.lit("http://c"), "page_id", F.lit(".test"))).alias("url"), F.col("pos").alias("ord"),
                                    F.when(F.col("page_id") % 3 == 0, F.upper(F.substring("href", 2, 99))).otherwise(F.concat(F.substring("href", 2, 99), F.lit("s"))).alias("text"))
-    texts = pages.select(U.rebase(F.col("url"), F.lit("http://localhost:3000")).alias("url"), D.visible_text(F.col("html")).alias("text")).dropDuplicates(["url"])
+    texts = pages.select(U.rebase(F.col("url"), F.concat(F.lit("http://c"), "page_id", F.lit(".test"))).alias("url"), D.visible_text(F.col("html")).alias("text"))
     return T.data_fidelity(wanted, texts)
 
 
