@@ -106,7 +106,7 @@ def v11(spark, sf):
     from ..operators.links import anchors
     pages = A.table(spark, sf, "pages")
     wanted = anchors(pages).select(F.col("page_id").alias("task_id"), U.rebase(F.col("url"), F.concat(F.lit("http://c"), "page_id", F.lit(".test"))).alias("url"), F.col("pos").alias("ord"),
-                                   F.when(F.col("page_id") % 3 == 0, F.upper(F.substring("href", 2, 99))).otherwise(F.concat(F.substring("href", 2, 99), F.lit("s"))).alias("text"))
+                                   F.when(F.col("page_id") % 3 == 0, F.lower(F.substring("href", 2, 99))).otherwise(F.concat(F.substring("href", 2, 99), F.lit("s"))).alias("text"))
     texts = pages.select(U.rebase(F.col("url"), F.concat(F.lit("http://c"), "page_id", F.lit(".test"))).alias("url"), D.visible_text(F.col("html")).alias("text"))
     return T.data_fidelity(wanted, texts)
 
@@ -215,7 +215,7 @@ ORACLES = {
     "v10_all_tasks": f"WITH {_FEAT}, {_EDGES}, {_V03}, {_V04}, {_V05}, {_V06}, u AS (SELECT 1 AS grp, ord, title FROM ft UNION ALL SELECT 2, seq, 'navigation: \"' || label || '\" on ' || page FROM e UNION ALL SELECT 3, seq, 'data: real values render on ' || page FROM d3 UNION ALL SELECT 4, ord, title FROM d4 UNION ALL "
         "SELECT 5, ord, title FROM d5 UNION ALL SELECT 6, ord, title FROM d6), n AS (SELECT *, row_number() OVER (ORDER BY grp, ord, title) AS number FROM u) SELECT 'QC-' || CASE WHEN number < 1000 THEN printf('%03d', number) ELSE CAST(number AS STRING) END AS task_id, number, grp, ord, title FROM n",
     "v11_data_fidelity": f"WITH {S.ANCHORS}, t AS (SELECT page_id, lower(" + M.collapse(M._ENT.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), "
-        "'(?is)<title\\b[^>]*>.*?</title\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')")) + ") AS txt FROM pages), w AS (SELECT page_id AS task_id, pos, CASE WHEN page_id % 3 = 0 THEN upper(substr(href, 2)) ELSE substr(href, 2) || 's' END AS x FROM anchors) SELECT task_id, bool_and(contains(txt, lower(trim(x)))) AS pass, arg_min(x, pos) "
+        "'(?is)<title\\b[^>]*>.*?</title\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')")) + ") AS txt FROM pages), w AS (SELECT page_id AS task_id, pos, CASE WHEN page_id % 3 = 0 THEN lower(substr(href, 2)) ELSE substr(href, 2) || 's' END AS x FROM anchors) SELECT task_id, bool_and(contains(txt, lower(trim(x)))) AS pass, arg_min(x, pos) "
         "FILTER (NOT contains(txt, lower(trim(x)))) AS missing FROM w JOIN t ON t.page_id = w.task_id GROUP BY task_id",
     "v12_row_gate": "WITH c AS (SELECT page_id, url, len(regexp_extract_all(html, '(?i)<(li|article|tr)[\\s>]')) AS n FROM pages), g AS (SELECT url, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY url) SELECT page_id AS task_id, c.url, page_id % 3 + 6 AS min_rows, rows, rows >= page_id % 3 + 6 AS pass FROM c JOIN g ON g.url = c.url",
     "v13_outcome_check": f"WITH {_FEAT}, lg AS (SELECT page, CASE id % 3 WHEN 0 THEN 'button' WHEN 1 THEN 'link' END AS c_role, label AS name, -seq AS c_seq, outcome AS c_outcome, list_transform(regexp_extract_all(network_text, '[A-Z]+ \\S+'), lambda c: regexp_extract(c, '//[^/]+(/.*)$', 1)) AS paths, id % 2 = 0 AS changed FROM actions WHERE outcome <> 'skipped' AND "
