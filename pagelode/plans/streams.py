@@ -21,7 +21,8 @@ def _folder(spark):
 def _events(spark, sf):
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _calls(spark, sf):
@@ -29,10 +30,23 @@ def _calls(spark, sf):
     return calls.withColumn("url", F.concat(F.lit("https://"), "host", "pathname"))
 
 
-def _staged(spark, rows, order, files):
-    """Rows as several files in order, read as a stream one file per batch."""
+def _staged(spark, rows, order, least_files):
+    """Rows as files in order of ``order``, read as a stream one file per batch.
+
+    A file source reads the oldest file first, so the ranges are written one after
+    the other; each holds some 50,000 rows at most.
+    """
     path = f"{_folder(spark)}/source"
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    files = max(least_files, rows.count() // 50000 + 1)
+    bounds = rows.approxQuantile(order, [i / files for i in range(1, files)], 0.001)
+    edges = [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows
+        if low is not None:
+            part = part.filter(F.col(order) > low)
+        if high is not None:
+            part = part.filter(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -48,7 +62,8 @@ def st1(spark, sf):
 
 def st2(spark, sf):
     frames = A.table(spark, sf, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 20).alias("stream_key"), (
-        F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("frame"))
+        F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.timestamp_seconds(
+        F.col("conv_id") * 10 + F.col("turn")).alias("ts"), F.col("text").alias("frame"))
     kept = _done(spark, J.capped_frames(_staged(spark, frames, "seq", 4), 10))
     return kept.groupBy("stream_key").agg(F.count(F.lit(1)).alias("frames"), F.max("frame_no").alias("last_no"), F.count_distinct("seq").alias("distinct_frames"))
 

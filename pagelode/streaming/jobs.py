@@ -29,26 +29,28 @@ def first_per_key(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def capped_frames(frames: DataFrame, cap: int = R.MAX_FRAMES) -> DataFrame:
-    """ST2: frames (stream_key, seq, frame) up to ``cap`` per stream, numbered on from the state.
+    """ST2: frames (stream_key, seq, ts, frame) up to ``cap`` per stream, numbered on from the state.
 
-    State is one counter per stream; a stream that stays silent for a day is
-    forgotten.
+    State is one counter per stream; a stream silent for a day of event time is forgotten.
     """
+    day_ms = 24 * 3600 * 1000
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        taken = state.get[0] if state.exists else 0
+        taken, newest = state.get[0] if state.exists else 0, state.getCurrentWatermarkMs()
         for batch in batches:
+            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
             kept = batch.head(max(cap - taken, 0))
             if len(kept):
                 yield pd.DataFrame({"stream_key": key[0], "frame_no": range(taken + 1, taken + len(kept) + 1), "seq": kept["seq"].to_numpy(),
                                     "frame": kept["frame"].str.slice(0, R.MAX_FRAME_CHARS).to_numpy()})
             taken += len(kept)
         state.update((taken,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
-    return frames.groupBy("stream_key").applyInPandasWithState(
-        step, "stream_key string, frame_no long, seq long, frame string", "taken long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        state.setTimeoutTimestamp(newest + day_ms)
+    return frames.withWatermark("ts", "1 hour").groupBy("stream_key").applyInPandasWithState(
+        step, "stream_key string, frame_no long, seq long, frame string", "taken long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def endpoint_counts(calls: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
