@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .core import collapse
+from .core import collapse, let
 
 
 def is_sensitive_name(name: Column) -> Column:
@@ -26,16 +26,21 @@ def redact_multimap(values: Column) -> Column:
         is_sensitive_name(k), F.array(F.lit(R.REDACTED))).otherwise(v))
 
 
+def _guarded(text: Column, guard: str, pattern: str, mark: str) -> Column:
+    """Replace only where a cheap necessary part occurs; most texts skip the costly pattern."""
+    return let(text, lambda t: F.when(t.rlike(guard), F.regexp_replace(t, pattern, mark)).otherwise(t))
+
+
 def redact_secrets(text: Column, emails: bool = False) -> Column:
     """Secret-shaped parts of a text become the redaction mark."""
-    mark = R.REDACTED.replace("$", r"\$")
-    out = F.regexp_replace(text, R.SECRET_JWT, mark)
-    out = F.regexp_replace(out, R.SECRET_BEARER, "$1 " + mark)
-    out = F.regexp_replace(out, R.SECRET_PREFIXED, mark)
-    out = F.regexp_replace(out, R.SECRET_HEX, mark)
-    out = F.regexp_replace(out, R.SECRET_BASE64, mark)
+    mark = R.REDACTED
+    out = _guarded(text, "eyJ", R.SECRET_JWT, mark)
+    out = _guarded(out, r"(?i)(Bearer|token)" + R.WS, R.SECRET_BEARER, "$1 " + mark)
+    out = _guarded(out, r"(sk|pk|rk|api|key|tok)[_-][A-Za-z0-9]{16}|gh[posu]_|xox[baprs]-|AKIA", R.SECRET_PREFIXED, mark)
+    out = _guarded(out, r"[0-9a-fA-F]{40}", R.SECRET_HEX, mark)
+    out = _guarded(out, r"[A-Za-z0-9+/_-]{40}", R.SECRET_BASE64, mark)
     if emails:
-        out = F.regexp_replace(out, R.SECRET_EMAIL, mark)
+        out = _guarded(out, "@", R.SECRET_EMAIL, mark)
     return F.when(F.length(text) < R.MIN_SECRET_CHARS, text).otherwise(out)
 
 
@@ -46,10 +51,16 @@ def scrub_html(html: Column) -> Column:
     return html
 
 
+# What each rule of R.VOLATILE_TEXT needs in a text, in the same order.
+_TEXT_GUARDS = [
+    r"[0-9a-fA-F]{8}-", r"\d{4}-\d{2}-\d{2}T", "@", "Bearer", "eyJ", r"sk-|pk-|ghp_|xox[baprs]-", r"[0-9a-fA-F]{16}", r"\d{13}", r"\d{10}",
+]
+
+
 def normalize_text(text: Column) -> Column:
     """Placeholders for values that differ between captures; idempotent."""
-    for pattern, mark in R.VOLATILE_TEXT:
-        text = F.regexp_replace(text, pattern, mark)
+    for guard, (pattern, mark) in zip(_TEXT_GUARDS, R.VOLATILE_TEXT, strict=True):
+        text = _guarded(text, guard, pattern, mark)
     return text
 
 

@@ -88,8 +88,8 @@ def link_fonts(saved: DataFrame, faces: DataFrame) -> DataFrame:
 # --- tokens -----------------------------------------------------------------------------------------
 
 
-def token_tally(rows: DataFrame) -> DataFrame:
-    """Page tallies of style values: page_id, category, value, n.
+def token_values(rows: DataFrame) -> DataFrame:
+    """Style values that carry a signal, one row each: page_id, category, value.
 
     ``rows`` holds one element per row: color, background, border_width,
     border_color, radius, shadow, spacing, font_family, font_size.
@@ -105,17 +105,22 @@ def token_tally(rows: DataFrame) -> DataFrame:
         one("fontSizes", F.array("font_size")))
     return (
         rows.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.category", F.trim("p.value").alias("value"))
-        .filter(F.col("value").isNotNull() & ~F.col("value").isin(*R.TOKEN_NOISE))
-        .groupBy("page_id", "category", "value").agg(F.count(F.lit(1)).alias("n")))
+        .filter(F.col("value").isNotNull() & ~F.col("value").isin(*R.TOKEN_NOISE)))
 
 
-def ranked_tokens(tally: DataFrame) -> DataFrame:
+def token_tally(values: DataFrame) -> DataFrame:
+    """Tallies per page: page_id, category, value, n."""
+    return values.groupBy("page_id", "category", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_tokens(values: DataFrame) -> DataFrame:
     """Values of a category over all pages, most used first, capped per category.
 
-    The totals are counted before the ranking, so a window sees distinct values
-    only, and the rank filter cuts them before the shuffle.
+    Counting goes straight to (category, value), where partial counts on the map
+    side leave little to shuffle; a tally per page is not needed for the totals.
+    The window then sees distinct values only, cut by rank before the shuffle.
     """
-    totals = tally.groupBy("category", "value").agg(F.sum("n").alias("n"))
+    totals = values.groupBy("category", "value").agg(F.count(F.lit(1)).alias("n"))
     caps = lookup(F.col("category"), {c: t[1] for c, t in R.TOKEN_CATEGORIES.items()})
     ranked = top_per_group(totals, ["category"], [F.desc("n"), F.col("value")], max(t[1] for t in R.TOKEN_CATEGORIES.values()))
     return ranked.filter(F.col("rank") <= caps)

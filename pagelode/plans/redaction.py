@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import redact as X
+from ..functions.core import spread
 from ..operators import json_tables as J
 from ..sources import adapters as A
 from . import sqltext as S
@@ -16,8 +17,8 @@ def _texts(spark, sf):
     docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     pages = A.table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("id"),
                                                F.col("html").alias("text"))
-    return docs.unionByName(pages).unionByName(A.snippets(spark, sf).select(
-        (F.col("seq") + 2000000000).alias("id"), "text"))
+    return spread(docs.unionByName(pages).unionByName(A.snippets(spark, sf).select(
+        (F.col("seq") + 2000000000).alias("id"), "text")), "id")
 
 
 _TEXTS = (S.view("snippets", A.SNIPPETS, "events") + ", texts AS (SELECT doc_id AS id, text FROM documents UNION ALL "

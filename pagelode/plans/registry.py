@@ -15,12 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    for name in MODULES:
-        try:
-            yield importlib.import_module(f"{__package__}.{name}")
-        except ModuleNotFoundError as missing:
-            if missing.name != f"{__package__}.{name}":
-                raise
+    return [importlib.import_module(f"{__package__}.{name}") for name in MODULES]
 
 
 def _plain(run: Query) -> Query:

@@ -62,7 +62,7 @@ def k04(spark, sf):
 
 
 def _tokens(spark, sf):
-    return T.ranked_tokens(T.token_tally(A.style_rows(spark, sf)))
+    return T.ranked_tokens(T.token_values(A.style_rows(spark, sf)))
 
 
 def k06(spark, sf):

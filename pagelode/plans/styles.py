@@ -51,10 +51,11 @@ def _vars(spark, sf):
 
 
 QUERIES = {
+    "e12_page_tally": lambda spark, sf: T.token_tally(T.token_values(A.style_rows(spark, sf))),
     "e09_assets": lambda spark, sf: T.assets(A.asset_responses(spark, sf), 9500).drop("seq"),
     "e10_font_faces": lambda spark, sf: T.font_faces(A.css_texts(spark, sf)),
     "e10_font_links": lambda spark, sf: T.link_fonts(T.assets(A.asset_responses(spark, sf)), T.font_faces(A.css_texts(spark, sf))),
-    "e12_ranked_tokens": lambda spark, sf: T.ranked_tokens(T.token_tally(A.style_rows(spark, sf))),
+    "e12_ranked_tokens": lambda spark, sf: T.ranked_tokens(T.token_values(A.style_rows(spark, sf))),
     "e13_css_variables": lambda spark, sf: _vars(spark, sf).select("page_id", "var_no", "scope", "name", "value"),
     "e13_canonical_variables": lambda spark, sf: T.canonical_variables(_vars(spark, sf)),
     "e13_scoped_variables": lambda spark, sf: T.scoped_variables(_vars(spark, sf)),
@@ -96,6 +97,8 @@ ORACLES = {
     "e10_font_faces": f"WITH {_FACES} SELECT * FROM faces",
     "e10_font_links": f"WITH {_ASSETS}, {_FACES}, first AS (SELECT src_url, min_by(struct_pack(f := family, w := weight, s := style), [seq, rule_no, src_no]) AS d FROM faces GROUP BY 1) SELECT url, file, d.f AS "
         "family, d.w AS weight, d.s AS style FROM n LEFT JOIN first ON src_url = url WHERE category = 'fonts'",
+    "e12_page_tally": "WITH " + _TALLY.replace("SELECT 'colors' AS category", "SELECT page_id, 'colors' AS category").replace("UNION ALL SELECT ", "UNION ALL SELECT page_id, ") .replace(
+        "SELECT category, value, count(*) AS n FROM v", "SELECT page_id, category, value, count(*) AS n FROM v").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)") + " SELECT page_id, category, value, n FROM tot",
     "e12_ranked_tokens": f"WITH {_TALLY} SELECT category, value, n, rank FROM ranked",
     "e13_css_variables": f"WITH {_VARS} SELECT page_id, var_no, scope, name, value FROM vars",
     "e13_canonical_variables": f"WITH {_VARS}, c AS (SELECT name, value, count(*) AS n FROM vars GROUP BY 1, 2) SELECT name, value, n FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, value) = 1",
