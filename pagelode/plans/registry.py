@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ["urls", "links", "redaction", "capture", "dom", "content", "styles", "calls",
+MODULES = ["urls", "links", "redaction", "capture", "dom", "styles", "calls",
            "entities", "trees", "interaction", "tasks", "reports", "streams"]
 
 Query = Callable[[SparkSession, str], DataFrame]
