@@ -336,7 +336,7 @@ ORACLES = {
         "r.body_hash = a.bh THEN 50 ELSE 0 END + CASE WHEN r.query_sig <> '' AND r.query_sig = a.sig THEN 25 WHEN r.query_sig <> '' AND "
         "a.sig <> '' AND contains(a.sig, r.query_sig) THEN 5 WHEN r.query_sig = '' AND a.sig = '' THEN 2 ELSE 0 END AS score FROM asks a "
         "JOIN cand c ON c.request_id = a.request_id JOIN rx r ON r.method = a.method AND r.template = c.template) SELECT request_id, "
-        "arg_max(template, score * 1000000000 - route_seq) AS template, arg_max(route_seq, score * 1000000000 - route_seq) AS route_seq, max(score) AS score "
+        "arg_max(template, CAST(score AS BIGINT) * 1000000000 - route_seq) AS template, arg_max(route_seq, CAST(score AS BIGINT) * 1000000000 - route_seq) AS route_seq, max(score) AS score "
         "FROM scored GROUP BY request_id",
     "c20_resource_state": f"WITH log AS ({A.CRUD_SQL}), base AS (SELECT resource, id, max(seq) AS b FROM log WHERE op <> 'merge' GROUP BY "
         "1, 2), laid AS (SELECT log.* FROM log LEFT JOIN base USING (resource, id) WHERE op <> 'delete' AND seq >= coalesce(b, seq)), f AS "
