@@ -327,10 +327,10 @@ ORACLES = {
         "'([^/]+)$', 1) END AS resource, crud, replace(replace(query_sig, '=', ':'), '&', '|') AS match_query FROM r",
     "c19_best_route": _FIX + f", ask0 AS (SELECT seq AS request_id, method, pathname, {_SAFE_OP} AS op, coalesce("
         f"{_canon_sql('request_body')}, '\"' || request_body || '\"') AS canon, CASE WHEN seq % 6 = 5 THEN '' ELSE 'page=' || (seq * 7 %"
-        " 6) || CASE WHEN seq % 8 = 0 THEN '&tag=a,b&z=1' ELSE '' END END AS sig FROM calls), asks AS (SELECT *, CASE WHEN canon IS "
-        f"NULL OR op IS NOT NULL THEN '' ELSE {_fnv_sql('canon')} END AS bh FROM ask0), rx AS (SELECT method, template, seq AS "
+        " 6) || CASE WHEN seq % 8 = 0 THEN '&tag=a,b&z=1' ELSE '' END END AS sig FROM calls), asks AS MATERIALIZED (SELECT *, CASE WHEN canon IS "
+        f"NULL OR op IS NOT NULL THEN '' ELSE {_fnv_sql('canon')} END AS bh FROM ask0), rx AS MATERIALIZED (SELECT method, template, seq AS "
         "route_seq, op, body_hash, query_sig, '^' || regexp_replace(template, '\\{[^}]+\\}', '[^/]+', 'g') || '$' AS re FROM fixtures), "
-        "cand AS (SELECT a.request_id, tp.template FROM (SELECT DISTINCT request_id, method, pathname FROM asks) a JOIN (SELECT "
+        "cand AS MATERIALIZED (SELECT a.request_id, tp.template FROM (SELECT DISTINCT request_id, method, pathname FROM asks) a JOIN (SELECT "
         "DISTINCT method, template, re FROM rx) tp ON a.method = tp.method AND regexp_matches(a.pathname, tp.re)), scored AS (SELECT "
         "a.request_id, r.template, r.route_seq, 1 + CASE WHEN r.op = a.op THEN 100 ELSE 0 END + CASE WHEN r.body_hash <> '' AND "
         "r.body_hash = a.bh THEN 50 ELSE 0 END + CASE WHEN r.query_sig <> '' AND r.query_sig = a.sig THEN 25 WHEN r.query_sig <> '' AND "
