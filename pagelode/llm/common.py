@@ -44,3 +44,18 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
 def fold(key: Column, folds: int = 3) -> Column:
     """crc32 of a key written as text, modulo ``folds``; a null key counts as the text ``null``."""
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("null")), "utf-8")) % folds
+
+
+def join_small(left: DataFrame, right: DataFrame, key: str, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join with a table that has one row per key and is small as a rule.
+
+    ``right`` is counted: up to ``most`` rows it is broadcast, beyond that its rows are repeated under ``salts``
+    salts and the left rows dealt over these, so that a key with a third of all rows has many tasks. Null keys of
+    ``left`` stay, without match.
+    """
+    if right.count() <= most:
+        return left.join(F.broadcast(right), key, "left")
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = [c for c in left.columns if c != key]
+    return (left.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+            .join(salted, [key, "_salt"], "left").drop("_salt"))
