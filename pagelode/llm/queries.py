@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, token_counts, warc
+from . import quality_rules, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,12 @@ FROM newest
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_toxicity": op7_toxicity,
     "op1_quality_rules": op1_quality_rules,
     "op6_warc": op6_warc,
     "op2_token_counts": op2_token_counts,
