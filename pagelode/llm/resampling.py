@@ -70,11 +70,22 @@ def bucket_counts(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray
     return target, raw
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
-    """Log ratio of the models per bucket. The target counts get ``smooth`` raw-distributed occurrences, the raw ones a
-    uniform share: a bucket that the target never showed costs no more than its share of text allows."""
-    share = (raw + 1) / (raw + 1).sum()
-    return np.log((target + smooth * share) / (target.sum() + smooth)) - np.log(share)
+class Ratio:
+    """Log ratio of the two models for a text.
+
+    Both get ``prior`` occurrences per bucket in proportion to their sizes, so a bucket with few occurrences says
+    little. The text's own occurrences are left out of the raw counts: a text that is alone in using its words
+    would else count against itself.
+    """
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray, prior: float):
+        share = target.sum() / max(1.0, raw.sum())
+        self.raw, self.prior = raw, prior
+        self.above = np.log(target / share + prior) if share else np.log(raw + prior)
+
+    def __call__(self, buckets: np.ndarray) -> float:
+        at, n = np.unique(buckets, return_counts=True)
+        return float((n * (self.above[at] - np.log(self.raw[at] - n + self.prior))).sum())
 
 
 def gumbel(*keys: Column, seed: int) -> Column:
@@ -107,7 +118,7 @@ def kth_largest(df: DataFrame, value: str, k: int, width: int = 4096, most: int
 
 
 def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-               buckets: int = 1 << 16, smooth: float = 1000.0, held_out_fold: int = 1) -> DataFrame:
+               buckets: int = 1 << 16, prior: float = 5.0, held_out_fold: int = 1) -> DataFrame:
     """All columns of ``docs`` with ``_n_grams`` and ``_log_weight``.
 
     The target are the rows whose label is positive (every label, where there are several), without those of the fold
@@ -117,14 +128,14 @@ def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
              .groupBy(F.col(key).alias("_key")).agg((F.min(label) > 0).alias("target")))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(marks, "_key", "left")
     target, raw = bucket_counts(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
-    ratio = log_ratios(target, raw, smooth) if target.sum() else np.zeros(buckets)
+    ratio = Ratio(target, raw, prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
         for batch in batches:
             grams = [hasher(t).astype(np.int64) for t in values(batch.column(batch.schema.names.index("_text")))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([len(g) for g in grams], pa.int64()), pa.array([float(ratio[g].sum()) for g in grams])],
+                [*batch.columns[:-1], pa.array([len(g) for g in grams], pa.int64()), pa.array([ratio(g) for g in grams], pa.float64())],
                 [*batch.schema.names[:-1], "_n_grams", "_log_weight"])
 
     source = docs.withColumn("_text", F.col(text).cast("string"))
@@ -133,32 +144,40 @@ def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
 
 def draw_size(scored: DataFrame, margin: float) -> int:
-    """How many documents are likely enough under the target: the log weight is at least ``-margin``."""
-    return scored.filter(F.col("_log_weight") >= -margin).count()
+    """How many documents are likely enough under the target: the weight is at least ``-margin``."""
+    return scored.filter(F.col("_weight") >= -margin).count()
+
+
+def weight(sharpness: float, shrink: float) -> Column:
+    """Log ratio per n-gram times ``sharpness``; ``shrink`` more n-grams of ratio 0 steady short texts.
+
+    A sum over the text would let its length alone decide against noise of unit scale.
+    """
+    return F.col("_log_weight") * sharpness / (F.col("_n_grams") + shrink)
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None,
-             margin: float = 10.0, seed: int = 7, **options) -> DataFrame:
-    """Every document with its weight and draw: ``key, n_grams, log_weight, gumbel_key, selected``.
+             margin: float = 25.0, sharpness: float = 50.0, shrink: float = 10.0, seed: int = 7, **options) -> DataFrame:
+    """Every document with its weight and draw: ``key, n_grams, log_ratio, weight, gumbel_key, selected``.
 
-    ``k`` documents are drawn; by default as many as have a log weight of at least ``-margin``, so that what the target
+    ``k`` documents are drawn; by default as many as have a weight of at least ``-margin``, so that what the target
     model does not explain goes and all else stays. Noise depends on key and text only: reruns agree, and repeated rows
     are drawn together. Ties at the cut are all drawn. Text is read twice, once for the models and once for the weights.
     """
-    scored = importance(docs.select(key, text), labels, key, text, **options)
+    scored = importance(docs.select(key, text), labels, key, text, **options).withColumn("_weight", weight(sharpness, shrink))
     narrow = stage(scored.select(
-        F.col(key).alias("key"), F.col("_n_grams").alias("n_grams"), "_log_weight",
-        (F.col("_log_weight") + gumbel(F.col(key), F.col(text), seed=seed)).alias("gumbel_key")), "importance")
+        F.col(key).alias("key"), F.col("_n_grams").alias("n_grams"), F.col("_log_weight").alias("log_ratio"), "_weight",
+        (F.col("_weight") + gumbel(F.col(key), F.col(text), seed=seed)).alias("gumbel_key")), "importance")
     cut = kth_largest(narrow, "gumbel_key", draw_size(narrow, margin) if k is None else k)
     chosen = F.col("gumbel_key") >= F.lit(cut) if cut is not None else F.lit(False)
-    return narrow.select(F.col("key").alias(key), "n_grams", F.col("_log_weight").alias("log_weight"), "gumbel_key",
+    return narrow.select(F.col("key").alias(key), "n_grams", "log_ratio", F.col("_weight").alias("weight"), "gumbel_key",
                          chosen.alias("selected"))
 
 
-def drop_unlikely(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", margin: float = 10.0,
-                  seed: int = 7, **options) -> DataFrame:
+def drop_unlikely(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", margin: float = 25.0,
+                  sharpness: float = 50.0, shrink: float = 10.0, seed: int = 7, **options) -> DataFrame:
     """The rows of ``docs`` that ``resample`` draws, all columns as they are."""
-    scored = stage(importance(docs, labels, key, text, **options).withColumn(
-        "_gumbel_key", F.col("_log_weight") + gumbel(F.col(key), F.col(text), seed=seed)), "importance")
-    cut = kth_largest(scored, "_gumbel_key", draw_size(scored, margin))
-    return scored.filter(F.col("_gumbel_key") >= F.lit(cut) if cut is not None else F.lit(False)).select(*docs.columns)
+    scored = importance(docs, labels, key, text, **options).withColumn("_weight", weight(sharpness, shrink))
+    stored = stage(scored.withColumn("_gumbel_key", F.col("_weight") + gumbel(F.col(key), F.col(text), seed=seed)), "importance")
+    cut = kth_largest(stored, "_gumbel_key", draw_size(stored, margin))
+    return stored.filter(F.col("_gumbel_key") >= F.lit(cut) if cut is not None else F.lit(False)).select(*docs.columns)

@@ -36,7 +36,7 @@ def test_held_out_accuracy_and_draw(spark):
     assert len(out) == len(docs)
     assert all(r.selected == (r.doc_id % 9 != 0) for r in out if r.doc_id is not None and r.doc_id < 2000)
     rest = [r for r in out if r.doc_id is None or r.doc_id == 3000]
-    assert [r.log_weight for r in rest] == [0.0, 0.0] and all(r.selected for r in rest)
+    assert [r.weight for r in rest] == [0.0, 0.0] and all(r.selected for r in rest)
     twice = [r for r in out if r.doc_id == 3001]
     assert twice[0] == twice[1]
     ten = [r for r in R.resample(frame, labels, k=10).collect() if r.selected]
