@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, resampling, token_counts, toxicity, warc
+from . import quality_rules, resampling, schedule, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,12 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.mixed_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_source_schedule": op5_source_schedule,
     "op4_importance_resampling": op4_importance_resampling,
     "op7_toxicity": op7_toxicity,
     "op1_quality_rules": op1_quality_rules,
