@@ -118,15 +118,18 @@ def kth_largest(df: DataFrame, value: str, k: int, width: int = 4096, most: int
 
 
 def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-               buckets: int = 1 << 16, prior: float = 5.0, held_out_fold: int = 1) -> DataFrame:
+               buckets: int = 1 << 16, prior: float = 5.0, held_out_fold: int = 1,
+               max_target_docs: int = 200_000) -> DataFrame:
     """All columns of ``docs`` with ``_n_grams`` and ``_log_weight``.
 
     The target are the rows whose label is positive (every label, where there are several), without those of the fold
-    ``held_out_fold``; the raw text are all rows. Null and empty texts hold no n-grams and have a weight of 0.
+    ``held_out_fold``: at most ``max_target_docs`` keys, the first by hash, so that they can be broadcast and no text is
+    shuffled. The raw text are all rows. Null and empty texts hold no n-grams and have a weight of 0.
     """
     marks = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).filter(fold(F.col(key)) != held_out_fold)
-             .groupBy(F.col(key).alias("_key")).agg((F.min(label) > 0).alias("target")))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(marks, "_key", "left")
+             .groupBy(F.col(key).alias("_key")).agg((F.min(label) > 0).alias("target")).filter("target")
+             .orderBy(F.xxhash64("_key"), "_key").limit(max_target_docs))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), "_key", "left")
     target, raw = bucket_counts(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
     ratio = Ratio(target, raw, prior)
 
