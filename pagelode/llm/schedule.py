@@ -119,7 +119,7 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
     points = points.withColumn("_cell", F.floor(F.col("_point") / wide))
     given = points.join(cells, "_cell").filter((F.col("_point") >= F.col("_low")) & (F.col("_point") < F.col("_high")))
     ranked = number_rows(given.select("slot", "source_rank"), ["source_rank"], ["slot"],
-                         F.floor(F.col("slot") / 65536).cast("long"), "_rank")
+                         F.floor(F.col("slot") / 4096).cast("long"), "_rank")
     held = plan.join(ranked.groupBy("source_rank").agg(F.count(F.lit(1)).alias("_given")), "source_rank", "left")
     missing = (held.filter(F.coalesce("_given", F.lit(0)) < F.col("_need"))
                .withColumn("_rank", F.explode(F.sequence(F.coalesce("_given", F.lit(0)) + 1, F.col("_need"))))
