@@ -75,8 +75,8 @@ doc_windows AS (
 found AS (
   SELECT doc_id, i, d.n, item_id FROM doc_windows d JOIN item_windows USING (words) WHERE d.n = item_windows.n),
 hit AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
