@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, quality_rules, resampling, schedule, token_counts, toxicity, warc
+from . import fm_index, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,39 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, sha256(coalesce(text, '')) AS whole FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(0, length(h) // 2 - 399)) AS i FROM t WHERE length(h) >= 800),
+marked AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY md5(substr(h, (2 * i + 1)::INT, 800))) > 1 AS again
+  FROM places JOIN t USING (doc_id)),
+steps AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh
+  FROM marked WHERE again),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, (2 * since + 1)::INT, (2 * (a - since))::INT), '' ORDER BY a) AS head
+  FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN last IS NULL THEN whole ELSE sha256(unhex(head || substr(h, (2 * last + 1)::INT))) END AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op5_source_schedule": op5_source_schedule,
     "op4_importance_resampling": op4_importance_resampling,
@@ -97,6 +129,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_suffix_dedup": OP8_SQL,
     "op9_fm_decontamination": OP9_SQL,
     "op6_warc": OP6_SQL,
 }
