@@ -93,11 +93,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH t AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, sha256(coalesce(text, '')) AS whole FROM documents),
-places AS (
-  SELECT doc_id, unnest(range(0, length(h) // 2 - 399)) AS i FROM t WHERE length(h) >= 800),
+chunks AS (
+  SELECT doc_id, c, substr(h, (1600 * c + 1)::INT, 2400) AS chunk
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1600 + 1)) AS c FROM t WHERE length(h) >= 800)),
 marked AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY md5(substr(h, (2 * i + 1)::INT, 800))) > 1 AS again
-  FROM places JOIN t USING (doc_id)),
+  SELECT doc_id, i, count(*) OVER (PARTITION BY k) > 1 AS again
+  FROM (SELECT doc_id, 800 * c + j AS i, md5(substr(chunk, (2 * j + 1)::INT, 800)) AS k
+        FROM chunks, range(0, 800) AS r(j) WHERE length(chunk) >= 2 * j + 800)),
 steps AS (
   SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh
   FROM marked WHERE again),
