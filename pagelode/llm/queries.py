@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
+from . import fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,7 +119,37 @@ FROM t LEFT JOIN cut USING (doc_id)
 """
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y USING (s)
+        WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op5_source_schedule": op5_source_schedule,
@@ -131,6 +161,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_jaccard_join": OP10_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op9_fm_decontamination": OP9_SQL,
     "op6_warc": OP6_SQL,
