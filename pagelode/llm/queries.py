@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -134,10 +135,10 @@ shingles AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
   SELECT a, b
-  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y USING (s)
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y USING (s)
         WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
   JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id, doc_id AS other FROM sizes
@@ -149,6 +150,7 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) A
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op10_jaccard_join": op10_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_decontamination": op9_fm_decontamination,
