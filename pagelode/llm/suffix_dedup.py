@@ -78,25 +78,29 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([edges[::2], edges[1::2] - 1], 1)
 
 
-SPLIT = pa.schema([("number", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("gram", pa.int64()),
-                   ("hash", pa.int64()), ("check", pa.int64()), ("open", pa.bool_())])
+#: Rows of a shard: runs of repeated window starts, or (with ``gram``) the kinds of windows of a split anchor, in lists.
+FOUND = pa.schema([("number", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("gram", pa.int64()), ("side", pa.int64()),
+                   ("numbers", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())),
+                   ("checks", pa.list_(pa.int64())), ("opens", pa.list_(pa.bool_()))])
+FOUND_SQL = ("number long, low long, high long, gram long, side long, numbers array<long>, starts array<long>, hashes array<long>, "
+             "checks array<long>, opens array<boolean>")
 
 
 def shard_repeats(table: pa.Table, width: int) -> pa.Table:
-    """Repeated windows of one shard, from ``number, low, copies, gram, context, split, bytes``.
+    """Repeated windows of one shard, from ``number, low, copies, gram, context, split, sides, bytes``.
 
-    Gives runs of window starts (``number, low, high``) of contexts that have no equal. For a split anchor, it also gives one
-    row with a hash for each kind of window, which is ``open`` if the window has not been found again so far.
+    Gives runs of window starts (``number, low, high``) of contexts that have no equal. For a split anchor, it also gives the
+    hashes of each kind of window, dealt over ``sides`` lists; a kind is open if it has not been found again so far.
     """
     order = np.lexsort((table["context"].to_numpy(), table["gram"].to_numpy()))
     table = table.take(order)
     gram, context = table["gram"].to_numpy(), table["context"].to_numpy()
     table = table.filter(pa.array(np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])))
     gram, number, low = (table[c].to_numpy() for c in ("gram", "number", "low"))
-    copies, split, texts = table["copies"].to_numpy(), table["split"][0].as_py(), table["bytes"].to_pylist()
+    copies, sides, split, texts = table["copies"].to_numpy(), table["sides"].to_numpy(), table["split"][0].as_py(), table["bytes"].to_pylist()
     out: list[tuple] = []
-    begin = size = 0
-    last = 0
+    lists: dict[tuple[int, int], list[tuple]] = {}
+    begin = size = last = 0
     cuts = []
     for i in range(len(texts)):  # parts end between anchors
         if i and gram[i] != gram[i - 1]:
@@ -114,27 +118,34 @@ def shard_repeats(table: pa.Table, width: int) -> pa.Table:
             windows = len(texts[i]) - width + 1
             here = again[start:start + windows]
             if copies[i] == 1:
-                out += [(number[i], low[i] + a, low[i] + b, 0, 0, 0, False) for a, b in _runs(here).tolist()]
+                out += [(number[i], low[i] + a, low[i] + b) for a, b in _runs(here).tolist()]
             if split:
                 # One row per kind: windows found here are only sent to find others.
                 kinds = np.flatnonzero(head[start:start + windows])
                 first = start + kinds
-                h, v = (s.of(first, first + width, 5).view(np.int64).tolist() for s in sums)
-                opened = (~here[kinds] & (copies[i] == 1)).tolist()
-                out += [(number[i], low[i] + k, low[i] + k, gram[i], a, b, o) for k, a, b, o in zip(kinds.tolist(), h, v, opened)]
-    columns = list(zip(*out)) if out else [()] * len(SPLIT)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SPLIT)], schema=SPLIT)
+                h, v = (s.of(first, first + width, 5).view(np.int64) for s in sums)
+                opened = ~here[kinds] & (copies[i] == 1)
+                at = h % sides[i]
+                for side in np.unique(at).tolist():
+                    some = at == side
+                    lists.setdefault((int(gram[i]), side), []).append(
+                        (np.full(some.sum(), number[i]), low[i] + kinds[some], h[some], v[some], opened[some]))
+    rows = [(*r, *[None] * 7) for r in out]
+    rows += [(None, None, None, *at, *map(np.concatenate, zip(*parts))) for at, parts in lists.items()]
+    columns = list(zip(*rows)) if rows else [()] * len(FOUND)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
 
 
 def merge_shards(table: pa.Table) -> pa.Table:
     """Open windows that another shard of their anchor has as well, found by binary search in the sorted hashes of all."""
-    h, v = table["hash"].to_numpy(), table["check"].to_numpy()
+    number, start, h, v, opened = (np.concatenate(table[c].to_pylist()) for c in ("numbers", "starts", "hashes", "checks", "opens"))
     order = np.lexsort((v, h))
     ordered, checks = h[order], v[order]
     left, right = np.searchsorted(ordered, h, "left"), np.searchsorted(ordered, h, "right")
     # Each shard sends a kind once, so two rows of one hash are two shards; the second hash must agree as well.
     same = (right - left > 1) & ((checks[left] == v) & (checks[np.minimum(left + 1, len(v) - 1)] == v) | (right - left > 2))
-    return table.filter(pa.array(same & table["open"].to_numpy(zero_copy_only=False))).select(["number", "low", "high"])
+    found = same & opened.astype(bool)
+    return pa.table({"number": number[found].astype(np.int64), "low": start[found].astype(np.int64), "high": start[found].astype(np.int64)})
 
 
 def repeats(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -144,6 +155,7 @@ def repeats(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     texts = distinct_texts(docs, key, text, width)
     each = texts.select("number", "copies", F.explode(F.arrays_zip("low", "high", "gram", "context")).alias("a")).select("number", "copies", "a.*")
     frequent = each.groupBy("gram").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram")
+    frequent = stage(frequent, "dedup-frequent")
     some = stage(each.join(frequent, "gram"), "dedup-anchors")
     kinds = stage(some.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct("number", "low", "high")).alias("r"))
                   .select("gram", "context", "copies", "r.*"), "dedup-contexts")
@@ -158,18 +170,16 @@ def repeats(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     placed = kinds.join(groups, "gram").select(
         "number", "low", "high", "gram", "context", "copies", split.alias("split"),
         F.when(split, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n_shards))).alias("shard"),
-        F.when(split, F.pmod(F.xxhash64("context"), F.ceil(F.col("size") / SHARD))).otherwise(F.lit(0)).alias("part"))
-    wanted = placed.groupBy("number").agg(F.collect_list(F.struct("low", "high", "gram", "context", "copies", "split", "shard", "part")).alias("w"))
+        F.when(split, F.pmod(F.xxhash64("context"), F.ceil(F.col("size") / SHARD))).otherwise(F.lit(0)).alias("part"),
+        F.ceil(F.col("size") / SHARD).alias("sides"))
+    wanted = placed.groupBy("number").agg(F.collect_list(F.struct("low", "high", "gram", "context", "copies", "split", "shard", "part", "sides")).alias("w"))
     wanted = wanted.join(texts.select("number", "id", "first_key"), "number")
     shards = shard_bytes(docs, key, text, wanted, width)
     found = stage(shards.groupBy("split", "shard", "part").applyInArrow(
-        lambda t: shard_repeats(t, width),
-        "number long, low long, high long, gram long, hash long, `check` long, open boolean"), "dedup-found")
-    sides = groups.filter(F.col("size") > SHARD).select("gram", F.ceil(F.col("size") / (SHARD // 4)).alias("sides"))
-    across = (found.filter("gram != 0").join(sides, "gram").withColumn("side", F.pmod("hash", "sides"))
-              .groupBy("gram", "side").applyInArrow(merge_shards, "number long, low long, high long"))
+        lambda t: shard_repeats(t, width), FOUND_SQL), "dedup-found")
+    across = found.filter("gram is not null").groupBy("gram", "side").applyInArrow(merge_shards, "number long, low long, high long")
     runs = (whole.select("number", F.col("low").cast("long"), F.col("high").cast("long"))
-            .unionAll(found.filter("gram = 0").select("number", "low", "high")).unionAll(across))
+            .unionAll(found.filter("gram is null").select("number", "low", "high")).unionAll(across))
     lists = runs.groupBy("number").agg(F.collect_list(F.struct("low", "high")).alias("runs")).join(texts.select("number", "id"), "number")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +211,7 @@ def unpack(data: bytes, size: int) -> bytes:
 
 def shard_bytes(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
     """One row with its bytes for each context of ``wanted``, cut from one document of each text."""
-    names = ("gram", "context", "copies", "shard", "part")
+    names = ("gram", "context", "copies", "shard", "part", "sides")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +219,14 @@ def shard_bytes(docs: DataFrame, key: str, text: str, wanted: DataFrame, width:
             for data, size, number, wants in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = unpack(data, size)
                 rows += [(number, w["low"], w["split"], *(w[n] for n in names), raw[w["low"]:w["high"] + width]) for w in wants]
-            columns = list(zip(*rows)) if rows else [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.binary()]
+            columns = list(zip(*rows)) if rows else [()] * 10
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["number", "low", "split", *names, "bytes"])
 
     texts = packed(docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_t")).filter(F.octet_length("_t") >= width), "_t")
     joined = texts.join(wanted, (F.col("_id") == F.col("id")) & F.col("_key").eqNullSafe(F.col("first_key")))
     return arrow_map(joined.select("_packed", "_n_bytes", "number", "w"), run,
-                     "number long, low long, split boolean, gram long, context long, copies long, shard long, part long, bytes binary")
+                     "number long, low long, split boolean, gram long, context long, copies long, shard long, part long, sides long, bytes binary")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 400) -> DataFrame:
