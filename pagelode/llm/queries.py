@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
+from . import chat_roles, fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_roles.recover_roles(table(spark, sf_dir, "conversations"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -150,6 +154,7 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) A
 
 
 QUERIES: dict[str, Query] = {
+    "op3_chat_roles": op3_chat_roles,
     "pipeline": corpus_pipeline.run,
     "op10_jaccard_join": op10_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
