@@ -35,6 +35,13 @@ def by_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with this package sent to the workers."""
     ship_package(df.sparkSession)
