@@ -46,15 +46,31 @@ def round_half_up(value: Column, digits: int) -> Column:
     return F.floor(value * scale + 0.5).cast("double") / scale
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
+def head(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters; the whole text without a limit."""
+    return text if n is None else F.substring(text, 1, n)
+
+
+def first_items(items: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array; all without a limit."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int | None) -> DataFrame:
+    """The first ``n`` rows; all, unsorted, without a limit."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None,
                   rank: str = "rank") -> DataFrame:
-    """First ``n`` rows of each group, numbered from 1.
+    """First ``n`` rows of each group, numbered from 1; all rows without a limit.
 
     The filter on ``row_number`` lets Spark cut each group before the shuffle
     (window group limit), so a hot group sends at most ``n`` rows per task.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    numbered = df.withColumn(rank, F.row_number().over(window))
+    return numbered if n is None else numbered.filter(F.col(rank) <= n)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,

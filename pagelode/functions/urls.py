@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .core import let
+from .core import head, let
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _WEB = r"(?i)^https?://[^/?#\s]+"
@@ -228,7 +228,7 @@ def file_slug(url: Column) -> Column:
         lambda s: s != "page")
     joined = let(F.array_join(parts, "-"), lambda s: F.when(s == "", F.lit("home")).otherwise(s))
     cut = let(joined, lambda s: F.when(F.length(s) > R.SLUG_MAX, F.regexp_replace(
-        F.substring(s, 1, R.SLUG_MAX), "-+$", "")).otherwise(s))
+        head(s, R.SLUG_MAX), "-+$", "")).otherwise(s))
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("home"))
 
 

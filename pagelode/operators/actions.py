@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import lookup, number_rows, seq_bucket, top_per_group
+from ..functions.core import first_items, lookup, number_rows, seq_bucket, top_per_group
 
 
 def click_risk(label: Column, external: Column, aggressive: Column) -> Column:
@@ -105,13 +105,13 @@ def delta_controls(child: DataFrame, parent: DataFrame) -> DataFrame:
     return kept.withColumn("tier", F.when(F.col("in_menu"), 0).when(F.col("opens_menu"), 1).otherwise(2))
 
 
-def within_budget(actions: DataFrame, total: int = R.MAX_ACTIONS, per_page: int = R.MAX_ACTIONS_PER_PAGE) -> DataFrame:
+def within_budget(actions: DataFrame, total: int | None = R.MAX_ACTIONS, per_page: int | None = R.MAX_ACTIONS_PER_PAGE) -> DataFrame:
     """Actions that fit the budgets; skipped ones cost nothing.
 
     The page budget cuts first and bounds the rows the run-wide numbering sees.
     """
     paid = top_per_group(actions.filter("outcome <> 'skipped'"), ["page"], [F.col("seq")], per_page, "_n").drop("_n")
-    ranked = number_rows(paid, [], ["seq"], seq_bucket(), "_n").filter(F.col("_n") <= total).drop("_n")
+    ranked = paid if total is None else number_rows(paid, [], ["seq"], seq_bucket(), "_n").filter(F.col("_n") <= total).drop("_n")
     return ranked.unionByName(actions.filter("outcome = 'skipped'"))
 
 
@@ -120,14 +120,14 @@ def download_manifest(downloads: DataFrame, mode: str = "web") -> DataFrame:
     raw = F.coalesce(F.nullif("suggested", F.lit("")), F.lit("download"))
     ext = F.regexp_extract("raw", r"^.+(\.[^.]*)$", 1)
     stem = F.substring(F.col("raw"), F.lit(1), F.length("raw") - F.length("ext"))
-    named = downloads.filter(F.col("bytes") <= R.MAX_DOWNLOAD_BYTES).withColumn("raw", raw).withColumn("ext", ext).withColumn(
+    named = downloads.filter(F.lit(True) if R.MAX_DOWNLOAD_BYTES is None else F.col("bytes") <= R.MAX_DOWNLOAD_BYTES).withColumn("raw", raw).withColumn("ext", ext).withColumn(
         "stem", U.sanitize_segment(stem))
     base = F.when(F.col("stem") == "page", "download").otherwise(F.col("stem"))
     tail = F.when(F.col("ext") != "", F.concat(F.lit("."), U.sanitize_segment(F.substring("ext", 2, 100)))).otherwise(F.lit(""))
-    file = F.concat(F.lit(f"{mode}/downloads/"), base, F.lit("-"), F.substring(F.sha1(F.concat("url", F.lit("|"), "raw")), 1, 4), tail)
+    file = F.concat(F.lit(f"{mode}/downloads/"), base, F.lit("-"), F.sha1(F.concat("url", F.lit("|"), "raw")), tail)
     return named.withColumn("file", file).drop("raw", "ext", "stem")
 
 
 def distinct_network(network: Column) -> Column:
     """Distinct request list of an action in order, first fifty."""
-    return F.slice(F.array_distinct(network), 1, R.MAX_NETWORK)
+    return first_items(F.array_distinct(network), R.MAX_NETWORK)

@@ -52,11 +52,12 @@ def body_key(method: Column, url: Column) -> Column:
     return F.concat(F.upper(method), F.lit(" "), F.regexp_replace(url, "#.*$", ""))
 
 
-def first_bodies(bodies: DataFrame, max_bytes: int = R.MAX_BODY_BYTES) -> DataFrame:
-    """First body per (method, URL without fragment); large or foreign bodies drop out."""
+def first_bodies(bodies: DataFrame, max_bytes: int | None = R.MAX_BODY_BYTES) -> DataFrame:
+    """First body per (method, URL without fragment); foreign bodies and, with a limit, large ones drop out."""
     url = F.col("url")
-    keep_response = is_json_call(F.col("response_type"), url) & (F.length("response_body") <= max_bytes)
-    keep_request = is_json_call(F.col("request_type"), url) & (F.length("request_body") <= max_bytes)
+    fits = lambda c: F.lit(True) if max_bytes is None else F.octet_length(c) <= max_bytes
+    keep_response = is_json_call(F.col("response_type"), url) & fits("response_body")
+    keep_request = is_json_call(F.col("request_type"), url) & fits("request_body")
     rows = bodies.select(
         body_key(F.col("method"), url).alias("body_key"), "seq",
         F.when(keep_request, F.col("request_body")).alias("request_body"),
@@ -74,9 +75,10 @@ def attach_bodies(calls: DataFrame, bodies: DataFrame) -> DataFrame:
     return calls.withColumn("body_key", body_key(F.col("method"), F.col("url"))).join(side, "body_key", "left")
 
 
-def parse_body(text: Column, max_bytes: int = R.MAX_BODY_BYTES) -> Column:
-    """Body as VARIANT within the byte cap, NULL when too large or no JSON."""
-    return F.when(F.octet_length(text) <= max_bytes, F.try_parse_json(text))
+def parse_body(text: Column, max_bytes: int | None = R.MAX_BODY_BYTES) -> Column:
+    """Body as VARIANT, NULL when it is no JSON or larger than a limit."""
+    parsed = F.try_parse_json(text)
+    return parsed if max_bytes is None else F.when(F.octet_length(text) <= max_bytes, parsed)
 
 
 def graphql_operation(body: Column) -> Column:
@@ -231,7 +233,7 @@ def operation_responses(calls: DataFrame) -> DataFrame:
 
 
 def operation_examples(calls: DataFrame, body: str = "response_body") -> DataFrame:
-    """First distinct bodies per operation and status, at most five."""
+    """Distinct bodies per operation and status, in order."""
     from ..functions.core import top_per_group
     keys = ["host", "method", "template", "status"]
     distinct = (calls.withColumn("method", F.upper("method")).filter(F.try_parse_json(body).isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import collapse, let, spread, top_per_group
+from ..functions.core import collapse, head, let, spread, top_per_group
 
 _ATTR = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 
@@ -63,7 +63,7 @@ _LANDMARKS = {"header": "header", "banner": "header", "footer": "footer", "conte
 _PAGES_PER_BATCH = 64
 
 
-def _walk(html: str, max_elements: int, with_text: bool):
+def _walk(html: str, max_elements: int | None, with_text: bool):
     """Elements of one page in document order, by one pass with a stack of open elements."""
     nodes, stack, parts, chars = [], [], [], 0
 
@@ -88,7 +88,7 @@ def _walk(html: str, max_elements: int, with_text: bool):
             at = last_of((tag,))
             if at >= 0:
                 shut_to(at)
-        elif len(nodes) < max_elements:
+        elif max_elements is None or len(nodes) < max_elements:
             if tag in _SHUTS:
                 shut, stops = _SHUTS[tag]
                 at = last_of(shut)
@@ -131,7 +131,7 @@ def _plain(text: str) -> str:
     return text
 
 
-def dom_nodes(pages: DataFrame, max_elements: int = R.MAX_ELEMENTS, with_text: bool = True) -> DataFrame:
+def dom_nodes(pages: DataFrame, max_elements: int | None = R.MAX_ELEMENTS, with_text: bool = True) -> DataFrame:
     """One row per element in document order.
 
     Output: page_id, url, pos, tag, attrs, depth, ancestors (pos and tag, outermost
@@ -218,7 +218,7 @@ def challenge_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
         F.bool_or(((F.col("tag") == "iframe") & (src.contains("recaptcha") | src.contains("hcaptcha")
                                                  | F.lower(title).contains("captcha")))
                   | F.array_contains(classes(), "g-recaptcha") | F.array_contains(classes(), "h-captcha")).alias("has_captcha"))
-    texts = pages.select("page_id", "url", F.substring(visible_text(F.col("html")), 1, R.CHALLENGE_CHARS).alias("body_text"))
+    texts = pages.select("page_id", "url", head(visible_text(F.col("html")), R.CHALLENGE_CHARS).alias("body_text"))
     text = F.col("body_text")
     t = R.CHALLENGE_TEXT
     kind = (
@@ -293,7 +293,7 @@ def with_selector_chain(nodes: DataFrame, wanted: Column) -> DataFrame:
 
 def child_signature() -> Column:
     return F.concat_ws("|", "tag", F.coalesce(attr("role"), F.lit("")),
-                       F.array_join(F.array_sort(F.slice(classes(), 1, 4)), "."))
+                       F.array_join(F.array_sort(classes()), "."))
 
 
 def dominant_groups(nodes: DataFrame) -> DataFrame:
@@ -336,18 +336,18 @@ def listing_rows(nodes: DataFrame) -> DataFrame:
         F.min_by(F.coalesce(F.nullif("dt", F.lit("")), "text"), F.when(F.col("k") == "date", F.col("pos"))).alias("date"),
         F.min_by("text", F.when(F.col("k") == "author", F.col("pos"))).alias("author"))
     rows = items.join(first, ["page_id", "row_no"], "left")
-    cap = lambda c: F.nullif(F.substring(c, 1, R.LISTING_MAX_CHARS), F.lit(""))
+    cap = lambda c: F.nullif(head(c, R.LISTING_MAX_CHARS), F.lit(""))
     link_text = F.when(~F.col("link.text").eqNullSafe(F.nullif("title", F.lit(""))), F.col("link.text"))
     named = F.map_filter(F.create_map(
         F.lit("title"), cap(F.col("title")), F.lit("link"), cap(link_text), F.lit("date"), cap(F.col("date")),
         F.lit("author"), cap(F.col("author"))), lambda k, v: v.isNotNull())
     extra = F.map_filter(F.transform_keys(F.map_filter("item_attrs", lambda k, v: k.startswith("data-") & (v != "")
-                         & (F.length(v) <= R.LISTING_MAX_CHARS)), lambda k, v: F.substring(k, 6, 1000)), lambda k, v: k != "")
+                         & (F.lit(True) if R.LISTING_MAX_CHARS is None else F.length(v) <= R.LISTING_MAX_CHARS)), lambda k, v: F.substring(k, 6, 1 << 20)), lambda k, v: k != "")
     fields = let(F.struct(named.alias("n"), extra.alias("e")), lambda m: F.map_concat(
         m["n"], F.map_filter(F.transform_values(m["e"], lambda k, v: collapse(v)),
                              lambda k, v: ~F.array_contains(F.map_keys(m["n"]), k))))
     rows = rows.withColumn("fields", fields).withColumn("fields", F.when(
-        (F.size("fields") == 0) & (F.col("item_text") != ""), F.create_map(F.lit("text"), F.substring("item_text", 1, R.LISTING_MAX_CHARS)))
+        (F.size("fields") == 0) & (F.col("item_text") != ""), F.create_map(F.lit("text"), head(F.col("item_text"), R.LISTING_MAX_CHARS)))
         .otherwise(F.col("fields"))).withColumn("href", U.href(U.resolve(F.col("url"), F.col("link.h"))))
     kept = rows.filter((F.size("fields") > 0) | F.col("href").isNotNull())
     # A page with too few rows left has no listing.
@@ -386,4 +386,4 @@ def main_content(nodes: DataFrame) -> DataFrame:
         F.struct("tier", "pos", "score", "text"), F.struct(F.col("tier"), -F.col("score"), F.col("pos"))).alias("r"))
     names = F.array(*[F.lit(s) for s in R.CONTENT_SELECTORS])
     return best.select("page_id", "url", F.get(names, F.col("r.tier")).alias("selector"), "r.pos", "r.score",
-                       F.substring("r.text", 1, R.CONTENT_MAX_CHARS).alias("text"))
+                       head(F.col("r.text"), R.CONTENT_MAX_CHARS).alias("text"))

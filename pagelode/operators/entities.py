@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import let, lookup, strip
+from ..functions.core import first_items, let, lookup, strip
 
 _RECORD = "array<struct<id:string,place:int,v:variant>>"
 
@@ -58,7 +58,7 @@ def document_records(docs: DataFrame) -> DataFrame:
     target = F.when(record_id(F.col("v")).isNull() & _as_object(F.col("v")).isNotNull(), F.coalesce(wrapped, "v")).otherwise(F.col("v"))
     opened = typed.select("e", "url", "seq", target.alias("v")).withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
     fallback = F.concat(F.coalesce("e.id", "e.type"), F.lit("-"))
-    rows = F.when(F.col("items").isNotNull(), F.transform(F.slice("items", 1, R.MAX_ENTITY_ITEMS), lambda x, i: F.struct(
+    rows = F.when(F.col("items").isNotNull(), F.transform(first_items(F.col("items"), R.MAX_ENTITY_ITEMS), lambda x, i: F.struct(
         F.concat(fallback, i.cast("string")).alias("id"), (i + 1).alias("place"), x.alias("v")))).otherwise(
         F.array(F.struct(F.col("e.id").alias("id"), F.lit(0).alias("place"), F.col("v").alias("v"))))
     flat = opened.select(F.col("e.type").alias("type"), "url", "seq", F.inline(rows.cast(_RECORD))).filter(_as_object(F.col("v")).isNotNull())
@@ -83,8 +83,7 @@ def listing_records(rows: DataFrame) -> DataFrame:
     label = F.lower("page")
     by_label = F.coalesce(*[F.when(label.contains(w), F.lit(t)) for w, t in R.ENTITY_TYPES.items()])
     kind = F.coalesce(path_entity(U.pathname(F.col("page_url")))["type"], by_label, F.lit("item"))
-    text = F.substring(F.coalesce(F.nullif(F.try_element_at("fields", F.lit("title")), F.lit("")),
-                                  F.try_element_at("fields", F.lit("link")), F.lit("")), 1, 80)
+    text = F.coalesce(F.nullif(F.try_element_at("fields", F.lit("title")), F.lit("")), F.try_element_at("fields", F.lit("link")), F.lit(""))
     ident = F.coalesce(href_id(F.nullif("href", F.lit(""))), F.nullif(text, F.lit("")), F.concat("page", F.lit("-"), "row_no"))
     return rows.select(kind.alias("type"), ident.alias("id"), F.nullif("href", F.lit("")).alias("url"), "seq",
                        F.col("row_no").alias("place"), F.to_variant_object("fields").alias("v"))
@@ -103,7 +102,7 @@ def relations(records: DataFrame) -> DataFrame:
     def related(raw: Column) -> Column:
         """Records a key points at; NULL when the key is of no use and the next one counts."""
         items = F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array(raw))
-        found = F.filter(F.transform(F.slice(items, 1, R.MAX_RELATION_ITEMS), lambda x: F.struct(usable(x).alias("id"), x.alias("v"))),
+        found = F.filter(F.transform(first_items(items, R.MAX_RELATION_ITEMS), lambda x: F.struct(usable(x).alias("id"), x.alias("v"))),
                          lambda t: t["id"].isNotNull())
         return let(found, lambda f: F.when((F.size(f) > 0) | F.schema_of_variant(raw).startswith("ARRAY"), f))
 
@@ -133,7 +132,7 @@ def entities(records: DataFrame) -> DataFrame:
 def entity_fields(records: DataFrame) -> DataFrame:
     """Field values of entities, later records overwrite: type, id, field, value (JSON text).
 
-    Scalars and lists of scalars count, at most 40 per record. One aggregate per
+    Scalars and lists of scalars count. One aggregate per
     (entity, field), so an entity seen in very many records is no hot spot.
     """
     inner = relations(records).filter("dst is not null").select(
@@ -145,8 +144,8 @@ def entity_fields(records: DataFrame) -> DataFrame:
         return ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"))
     entry = F.map_entries(_as_object(F.col("v")))
     flat_list = lambda x: F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda y: scalar(y) & (F.schema_of_variant(y) != "BOOLEAN"))
-    kept = F.slice(F.filter(entry, lambda e: scalar(e["value"]) | F.coalesce(flat_list(e["value"]), F.lit(False))), 1, R.MAX_ENTITY_FIELDS)
-    text = lambda x: F.coalesce(F.to_json(F.slice(F.try_variant_get(x, "$", "array<variant>"), 1, 50)), F.to_json(x))
+    kept = first_items(F.filter(entry, lambda e: scalar(e["value"]) | F.coalesce(flat_list(e["value"]), F.lit(False))), R.MAX_ENTITY_FIELDS)
+    text = lambda x: F.coalesce(F.to_json(F.try_variant_get(x, "$", "array<variant>")), F.to_json(x))
     fields = rows.select("type", "id", F.struct("seq", "place", "turn").alias("at"), F.inline(kept)).select(
         "type", "id", "at", F.col("key").alias("field"), text(F.col("value")).alias("value"))
     return fields.groupBy("type", "id", "field").agg(F.max_by("value", "at").alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.core import let
 from ..functions.redact import is_sensitive_name, redact_secrets
 
 _NONE = "array<struct<path:string,shape:string,key:string,level:int,open:boolean,masked:boolean,v:variant>>"
@@ -37,6 +38,8 @@ def json_nodes(docs: DataFrame, ids: Sequence[str], source: str = "json",
     explodes opens each document once; nothing is shuffled or read twice.
     ``stop_at_secrets`` closes a value with a sensitive key and marks it.
     """
+    if depth is None:
+        depth = nesting(docs, source) + 1
     nodes = (
         docs.withColumn("v", F.try_parse_json(source)).filter("v is not null")
         .select(*ids, F.lit("$").alias("path"), F.lit("$").alias("shape"),
@@ -72,8 +75,18 @@ def json_nodes(docs: DataFrame, ids: Sequence[str], source: str = "json",
     return nodes.select(*ids, "path", "shape", "key", "level", kind.alias("kind"), text.alias("value"), "v")
 
 
+def nesting(docs: DataFrame, source: str) -> int:
+    """How deep the documents nest at most: brackets outside strings, counted in one pass."""
+    outside = F.regexp_replace(F.col(source), r'"(?:[^"\\]|\\.)*+"', "")
+    brackets = F.regexp_extract_all(outside, F.lit(r"[\[{]+|[\]}]+"), F.lit(0))
+    depths = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, b: let(
+        F.when(b.rlike(r"^[\[{]"), a["now"] + F.length(b)).otherwise(a["now"] - F.length(b)),
+        lambda n: F.struct(n.alias("now"), F.greatest(a["most"], n).alias("most"))), lambda a: a["most"])
+    return docs.filter(F.try_parse_json(source).isNotNull()).agg(F.max(depths)).first()[0] or 0
+
+
 def json_leaves(docs: DataFrame, ids: Sequence[str], source: str = "json",
-                depth: int = R.SCHEMA_DEPTH, **options) -> DataFrame:
+                depth: int | None = R.SCHEMA_DEPTH, **options) -> DataFrame:
     return json_nodes(docs, ids, source, depth, **options).filter("kind not in ('object', 'array')")
 
 
@@ -140,19 +153,17 @@ _SHAPES = [(re.compile(p.replace(R.B, r"\b").replace(R.WS, r"\s").replace("(?i)"
     (R.SECRET_PREFIXED, R.REDACTED, 0), (R.SECRET_HEX, R.REDACTED, re.I), (R.SECRET_BASE64, R.REDACTED, 0))]
 
 
-def _mask(value, shapes: bool, depth: int = 0):
-    if depth > R.REDACT_DEPTH:
-        return value
+def _mask(value, shapes: bool):
     if isinstance(value, str):
         if shapes and len(value) >= R.MIN_SECRET_CHARS:
             for pattern, mark in _SHAPES:
                 value = pattern.sub(mark, value)
         return value
     if isinstance(value, list):
-        return [_mask(v, shapes, depth + 1) for v in value]
+        return [_mask(v, shapes) for v in value]
     if isinstance(value, dict):
         return {k: R.REDACTED if k.lower() in R.SENSITIVE_HEADERS or _NAME.search(k)
-                else _mask(v, shapes, depth + 1) for k, v in value.items()}
+                else _mask(v, shapes) for k, v in value.items()}
     return value
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import number_rows, pad, seq_bucket, top_per_group
+from ..functions.core import first_rows, number_rows, pad, seq_bucket, top_per_group
 from ..session import cut_lineage
 
 _ANCHOR = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
@@ -149,33 +149,31 @@ def mint_pagination(urls: DataFrame, cap: int | None = None) -> DataFrame:
         .filter("minted is not null and minted <> own")
         .groupBy(F.col("minted").alias("url")).agg(F.min("seq").alias("seq"))
     )
-    if cap is not None:
-        minted = minted.orderBy("seq", "url").limit(cap)
+    minted = first_rows(minted, ["seq", "url"], cap)
     known = urls.select(U.normalize_url(F.col("url")).alias("url"))
     return minted.join(known, "url", "left_anti")
 
 
-def merge_seeds(existing: DataFrame, sitemap: DataFrame, cap: int) -> DataFrame:
-    """Sitemap seeds, then minted pages, not yet known; ``existing`` counts to the cap.
+def merge_seeds(existing: DataFrame, sitemap: DataFrame, cap: int | None = None) -> DataFrame:
+    """Sitemap seeds, then minted pages, not yet known; ``existing`` counts to a cap.
 
     ``existing`` and ``sitemap`` are (url, seq). Output: url, label, category, rank_source, seq.
     """
     known = existing.select(U.normalize_url(F.col("url")).alias("url")).filter("url is not null")
-    room = existing.agg(F.greatest(F.lit(cap) - F.count(F.lit(1)), F.lit(0)).alias("room"))
-    seeded = (
+    seeded = first_rows(
         sitemap.select(U.normalize_url(F.col("url")).alias("url"), "seq").filter("url is not null")
-        .groupBy("url").agg(F.min("seq").alias("seq")).join(known, "url", "left_anti")
-        .orderBy("seq", "url").limit(cap).withColumn("source", F.lit(0))
-    )
+        .groupBy("url").agg(F.min("seq").alias("seq")).join(known, "url", "left_anti"),
+        ["seq", "url"], cap).withColumn("source", F.lit(0))
     bases = existing.select("url", F.array(F.lit(0), F.col("seq")).alias("seq")).unionByName(
         seeded.select("url", F.array(F.lit(1), F.col("seq")).alias("seq")))
     minted = mint_pagination(bases, cap).select(
         "url", F.col("seq")[1].alias("seq"), (F.col("seq")[0] + 1).alias("source"))
-    # Both parts are cut to ``cap`` rows, so the numbering below is small.
-    both = seeded.unionByName(minted.join(known, "url", "left_anti")).orderBy(
-        "source", "seq", "url").limit(cap)
-    ranked = number_rows(both, [], ["source", "seq", "url"], F.lit(0), "rank")
-    return ranked.join(room, F.col("rank") <= F.col("room")).select(
+    both = first_rows(seeded.unionByName(minted.join(known, "url", "left_anti")), ["source", "seq", "url"], cap)
+    ranked = number_rows(both, [], ["source", "seq", "url"], F.struct("source", seq_bucket()), "rank")
+    if cap is not None:
+        room = existing.agg(F.greatest(F.lit(cap) - F.count(F.lit(1)), F.lit(0)).alias("room"))
+        ranked = ranked.join(room, F.col("rank") <= F.col("room"))
+    return ranked.select(
         "url", U.page_slug(F.col("url")).alias("label"),
         U.page_category(F.col("url")).alias("category"), "rank")
 
@@ -200,22 +198,22 @@ def section_pages(links: DataFrame, sections: DataFrame) -> DataFrame:
             F.coalesce(F.get(U.segments(U.pathname(F.col("page_url"))), F.lit(0)), F.lit(""))))
 
 
-def promote_navigations(actions: DataFrame, planned: DataFrame, host: str, max_pages: int) -> DataFrame:
-    """Pages only seen through interaction, first seen first, within the page budget."""
+def promote_navigations(actions: DataFrame, planned: DataFrame, host: str, max_pages: int | None = None) -> DataFrame:
+    """Pages only seen through interaction, first seen first, within a page budget if there is one."""
     have = planned.select(U.normalize_url(F.col("url")).alias("url")).filter("url is not null")
-    new = (
+    new = first_rows(
         actions.filter("outcome = 'navigation' and to_url is not null")
         .filter(U.hostname(F.col("to_url")) == host)
         .filter(~U.is_crawl_asset(U.pathname(F.col("to_url"))))
         .select(U.normalize_url(F.col("to_url")).alias("url"), "seq")
         .filter("url is not null")
         .groupBy("url").agg(F.min("seq").alias("seq"))
-        .join(have, "url", "left_anti")
-        .orderBy("seq").limit(max_pages)
-    )
-    count = planned.agg(F.count(F.lit(1)).alias("planned"))
-    ranked = number_rows(new, [], ["seq"], F.lit(0), "rank")
-    return ranked.join(count, F.col("rank") <= F.lit(max_pages) - F.col("planned")).select(
+        .join(have, "url", "left_anti"), ["seq"], max_pages)
+    ranked = number_rows(new, [], ["seq"], seq_bucket(), "rank")
+    if max_pages is not None:
+        count = planned.agg(F.count(F.lit(1)).alias("planned"))
+        ranked = ranked.join(count, F.col("rank") <= F.lit(max_pages) - F.col("planned"))
+    return ranked.select(
         "url", U.file_slug(F.col("url")).alias("label"), F.lit("explored").alias("category"), "rank")
 
 
@@ -236,12 +234,12 @@ def plan_paths(targets: DataFrame, mode: str = "web") -> DataFrame:
         pad(F.col("index"), 2), F.lit("-"), U.file_slug(F.col("url")), F.lit(".png")))
 
 
-def resolve_page_list(entries: DataFrame, base: str, n: int) -> DataFrame:
-    """Explicit page list (entry, seq) against a base URL, first wins, first ``n``."""
+def resolve_page_list(entries: DataFrame, base: str, n: int | None = None) -> DataFrame:
+    """Explicit page list (entry, seq) against a base URL, first wins, first ``n`` if given."""
     url = F.when(F.col("entry").rlike("(?i)^https?://"), U.href(F.col("entry"))).otherwise(
         U.href(U.resolve(F.lit(base), F.col("entry"))))
-    return (entries.select(url.alias("url"), "seq").groupBy("url").agg(F.min("seq").alias("seq"))
-            .orderBy("seq").limit(n)
+    distinct = entries.select(url.alias("url"), "seq").groupBy("url").agg(F.min("seq").alias("seq"))
+    return (first_rows(distinct, ["seq"], n)
             .select("url", U.page_slug(F.col("url")).alias("label"), F.lit("pages").alias("category"),
                     "seq"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import running, seq_bucket, strip, top_per_group
+from ..functions.core import first_items, first_rows, head, running, seq_bucket, strip, top_per_group
 from ..session import cut_lineage
 
 
@@ -18,30 +18,33 @@ def split_frames(streams: DataFrame) -> DataFrame:
     events = F.lower(F.coalesce("content_type", F.lit(""))).contains("text/event-stream")
     raw = F.when(events, F.split("text", "\n\n+")).otherwise(F.split("text", "\r?\n"))
     frames = F.filter(F.transform(raw, lambda f: strip(f)), lambda f: f != "")
-    cut = F.transform(F.slice(frames, 1, R.MAX_FRAMES), lambda f: F.substring(f, 1, R.MAX_FRAME_CHARS))
+    cut = F.transform(first_items(frames, R.MAX_FRAMES), lambda f: head(f, R.MAX_FRAME_CHARS))
     return streams.select("stream_key", F.posexplode(cut).alias("pos", "frame"))
 
 
 def socket_frames(log: DataFrame) -> DataFrame:
-    """First 200 frames of the first 40 sockets, with a direction prefix.
+    """Numbered frames of sockets, with a direction prefix.
 
     ``log`` is (socket, seq, direction, payload, is_binary).
     """
-    first = log.groupBy("socket").agg(F.min("seq").alias("opened")).orderBy("opened").limit(R.MAX_SOCKETS)
-    kept = top_per_group(log.join(first.select("socket"), "socket", "left_semi"), ["socket"],
-                         [F.col("seq")], R.MAX_FRAMES, "frame_no")
+    if R.MAX_SOCKETS is not None:
+        first = first_rows(log.groupBy("socket").agg(F.min("seq").alias("opened")), ["opened"], R.MAX_SOCKETS)
+        log = log.join(first.select("socket"), "socket", "left_semi")
+    kept = top_per_group(log, ["socket"], [F.col("seq")], R.MAX_FRAMES, "frame_no")
     payload = F.when(F.col("is_binary"), F.lit("[binary]")).otherwise(
-        F.substring("payload", 1, R.MAX_FRAME_CHARS))
+        head(F.col("payload"), R.MAX_FRAME_CHARS))
     return kept.select("socket", "frame_no", F.concat("direction", F.lit(": "), payload).alias("frame"))
 
 
-def stylesheet_budget(sheets: DataFrame, budget: int = R.MAX_STYLESHEET_BYTES) -> DataFrame:
-    """Style sheets kept in order while they fit the byte budget.
+def stylesheet_budget(sheets: DataFrame, budget: int | None = R.MAX_STYLESHEET_BYTES) -> DataFrame:
+    """Style sheets kept in order while they fit a byte budget; all without one.
 
     A sheet that does not fit is passed over and smaller ones behind it may still
     fit. Each round takes the longest run that fits, then drops what is larger
     than the rest of the budget; the driver only sees two numbers per round.
     """
+    if budget is None:
+        return sheets
     sized = sheets.withColumn("_size", F.octet_length("css").cast("long"))
     left, after, kept = budget, None, None
     while True:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import lookup, position_in, strip, top_per_group
+from ..functions.core import first_items, first_rows, lookup, position_in, strip, top_per_group
 
 
 # --- assets -----------------------------------------------------------------------------------
@@ -35,7 +35,7 @@ def asset_category(media: Column, ext: Column) -> Column:
         .when(media.contains("javascript") | media.contains("ecmascript") | ext.isin(*R.SCRIPT_EXTS), "js"))
 
 
-def assets(responses: DataFrame, max_bytes: int = R.MAX_ASSET_BYTES, mode: str = "web") -> DataFrame:
+def assets(responses: DataFrame, max_bytes: int | None = R.MAX_ASSET_BYTES, mode: str = "web") -> DataFrame:
     """Saved assets: category, file name and size, first response per URL.
 
     ``responses`` is (url, content_type, bytes, seq). The first response of a URL
@@ -47,14 +47,16 @@ def assets(responses: DataFrame, max_bytes: int = R.MAX_ASSET_BYTES, mode: str =
     media = _media_type(F.col("content_type"))
     named = first.withColumns({"base": _base_name(F.col("url")), "media": media})
     named = named.withColumn("url_ext", _extension(F.col("base"))).withColumn(
-        "category", asset_category(F.col("media"), F.col("url_ext"))).filter(F.col("category").isNotNull() & (F.col("bytes") <= max_bytes))
+        "category", asset_category(F.col("media"), F.col("url_ext"))).filter(F.col("category").isNotNull())
+    if max_bytes is not None:
+        named = named.filter(F.col("bytes") <= max_bytes)
     by_type = F.coalesce(lookup(F.col("media"), R.EXT_BY_MEDIA_TYPE),
                          F.when(F.col("media").rlike("^font/."), F.concat(F.lit("."), F.substring("media", 6, 100))),
                          F.when(F.col("media").rlike("^image/[a-z0-9]+$"), F.concat(F.lit("."), F.substring("media", 7, 100))), F.lit(".bin"))
     stem = F.regexp_replace(F.lower(F.regexp_replace("base", r"(?<=.)\.[^.]*$", "")), r"[^a-z0-9._-]", "-")
     stem = F.substring(F.regexp_replace(F.regexp_replace(stem, "-+", "-"), r"^[-.]+|[-.]+$", ""), 1, 40)
     slug = F.coalesce(F.nullif(stem, F.lit("")), F.lit("asset"))
-    file = F.concat(F.lit(f"{mode}/assets/"), "category", F.lit("/"), slug, F.lit("-"), F.substring(F.sha1("url"), 1, 8),
+    file = F.concat(F.lit(f"{mode}/assets/"), "category", F.lit("/"), slug, F.lit("-"), F.sha1("url"),
                     F.when(F.col("url_ext").isin(*known), F.col("url_ext")).otherwise(by_type))
     return named.select("url", "content_type", "bytes", "category", file.alias("file"), "seq")
 
@@ -65,7 +67,7 @@ def _no_comments(css: Column) -> Column:
 
 def font_faces(sheets: DataFrame) -> DataFrame:
     """@font-face rules of style sheets (url, css, seq), one row per source URL."""
-    blocks = F.slice(F.regexp_extract_all(_no_comments(F.col("css")), F.lit(r"(?i)@font-face\s*\{([^}]*)\}"), F.lit(1)), 1, R.MAX_FONT_FACES)
+    blocks = first_items(F.regexp_extract_all(_no_comments(F.col("css")), F.lit(r"(?i)@font-face\s*\{([^}]*)\}"), F.lit(1)), R.MAX_FONT_FACES)
     rules = sheets.select("url", "seq", F.posexplode(blocks).alias("rule_no", "body"))
     value = lambda prop: F.nullif(strip(F.regexp_extract("body", rf"(?i){prop}\s*:\s*([^;]+)", 1)), F.lit(""))
     refs = F.regexp_extract_all(F.regexp_extract("body", r"(?i)src\s*:\s*([^;]+)", 1),
@@ -113,8 +115,8 @@ def token_tally(values: DataFrame) -> DataFrame:
     return values.groupBy("page_id", "category", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_tokens(values: DataFrame) -> DataFrame:
-    """Values of a category over all pages, most used first, capped per category.
+def ranked_tokens(values: DataFrame, capped: bool = False) -> DataFrame:
+    """Values of a category over all pages, most used first; ``capped`` keeps each category's first few.
 
     Counting goes straight to (category, value), where partial counts on the map
     side leave little to shuffle; a tally per page is not needed for the totals.
@@ -122,18 +124,19 @@ def ranked_tokens(values: DataFrame) -> DataFrame:
     """
     totals = values.groupBy("category", "value").agg(F.count(F.lit(1)).alias("n"))
     caps = lookup(F.col("category"), {c: t[1] for c, t in R.TOKEN_CATEGORIES.items()})
-    ranked = top_per_group(totals, ["category"], [F.desc("n"), F.col("value")], max(t[1] for t in R.TOKEN_CATEGORIES.values()))
-    return ranked.filter(F.col("rank") <= caps)
+    most = max(t[1] for t in R.TOKEN_CATEGORIES.values()) if capped else None
+    ranked = top_per_group(totals, ["category"], [F.desc("n"), F.col("value")], most)
+    return ranked.filter(F.col("rank") <= caps) if capped else ranked
 
 
 def css_variables(sheets: DataFrame) -> DataFrame:
-    """Custom properties per page: scope, name, value, in order, 600 distinct per page.
+    """Custom properties per page: scope, name, value, distinct and in order.
 
     ``sheets`` is (page_id, seq, css).
     """
     blocks = F.regexp_extract_all(_no_comments(F.col("css")), F.lit(r"([^{}]*)\{([^{}]*)\}"), F.lit(0))
     rules = sheets.select("page_id", "seq", F.posexplode(blocks).alias("rule_no", "rule"))
-    scope = F.substring(strip(F.regexp_extract("rule", r"^([^{}]*)\{", 1)), 1, 60)
+    scope = strip(F.regexp_extract("rule", r"^([^{}]*)\{", 1))
     decls = F.split(F.regexp_extract("rule", r"\{([^{}]*)\}", 1), ";")
     rows = rules.filter(~strip(F.col("rule")).startswith("@")).select(
         "page_id", "seq", "rule_no", F.coalesce(F.nullif(scope, F.lit("")), F.lit(":root")).alias("scope"), F.posexplode(decls).alias("decl_no", "d"))
@@ -176,7 +179,8 @@ def font_families(samples: DataFrame) -> DataFrame:
 
 def text_colors(samples: DataFrame) -> DataFrame:
     """Twelve most used text colours."""
-    return samples.filter("color <> ''").groupBy("color").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "color").limit(R.MAX_TEXT_COLORS)
+    counts = samples.filter("color <> ''").groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+    return first_rows(counts, [F.desc("n"), "color"], R.MAX_TEXT_COLORS)
 
 
 def type_scale(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import lookup, number_rows, pad, position_in, top_per_group
+from ..functions.core import first_items, first_rows, lookup, number_rows, pad, position_in, top_per_group
 from .dom import role
 
 TASK_COLUMNS = ["grp", "ord", "title", "page", "page_url", "role", "name", "action", "outcome", "detail", "api", "pre", "data", "value"]
@@ -43,7 +43,7 @@ def feature_tasks(features: DataFrame) -> DataFrame:
 def route_tasks(edges: DataFrame, features: DataFrame) -> DataFrame:
     """Light navigation tasks for the first twenty edges."""
     start = features.groupBy("page").agg(F.min_by("page_url", "seq").alias("from_url"))
-    first = edges.orderBy("seq").limit(R.MAX_ROUTE_TASKS).join(start, "page", "left")
+    first = first_rows(edges, ["seq"], R.MAX_ROUTE_TASKS).join(start, "page", "left")
     return _task(first, 2, ord=F.col("seq"), title=F.concat(F.lit('navigation: "'), "label", F.lit('" on '), "page"), page=F.col("page"),
                  page_url=F.coalesce("from_url", U.origin(F.col("to_url")), "to_url"), role=F.lit("link"), name=F.col("label"), action=F.lit("click"),
                  outcome=F.lit("navigation"), detail=F.concat(F.lit("navigates to "), "to_url"))
@@ -60,7 +60,7 @@ def salient_pairs(entries: Column) -> Column:
     kept = F.filter(F.transform(entries, lambda e, i: F.struct(
         position_in(e["key"], R.SALIENT_KEYS).alias("p"), i.alias("i"), e["key"].alias("key"), F.trim(e["value"]).alias("value"))),
         lambda e: is_salient(e["value"]))
-    return F.transform(F.slice(F.array_sort(kept), 1, R.MAX_DATA_ASSERTIONS), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(first_items(F.array_sort(kept), R.MAX_DATA_ASSERTIONS), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
 
 def _text_entries(v: Column, keys: Column) -> Column:
@@ -97,7 +97,7 @@ def fixture_data_tasks(fixture: DataFrame) -> DataFrame:
 
 def entity_data_tasks(entity: DataFrame) -> DataFrame:
     """Data task for the first thirty entities (type, id, url, seq, entries) that have a URL and fields."""
-    rich = entity.filter("url is not null and size(entries) > 0").orderBy("seq").limit(R.MAX_ENTITY_TASKS)
+    rich = first_rows(entity.filter("url is not null and size(entries) > 0"), ["seq"], R.MAX_ENTITY_TASKS)
     found = rich.withColumn("pairs", salient_pairs(F.col("entries"))).filter("size(pairs) > 0")
     route = U.pathname_or(F.col("url"))
     return _task(found, 4, ord=F.col("seq"), title=F.concat(F.lit("data: "), "type", F.lit(' "'), "id", F.lit('" renders on '), route), page=route,
@@ -108,15 +108,15 @@ def entity_data_tasks(entity: DataFrame) -> DataFrame:
 
 
 def listing_data_tasks(listing: DataFrame) -> DataFrame:
-    """Data task for the first twenty listings from their first eight rows.
+    """Data task for listings from their rows.
 
     ``listing`` is (listing_seq, page, page_url, row_no, fields).
     """
-    heads = listing.groupBy("listing_seq").agg(F.count(F.lit(1)).alias("n")).orderBy("listing_seq").limit(R.MAX_LISTING_TASKS)
-    rows = top_per_group(listing.join(heads.select("listing_seq"), "listing_seq", "left_semi"), ["listing_seq"], [F.col("row_no")], 8, "k")
+    heads = first_rows(listing.groupBy("listing_seq").agg(F.count(F.lit(1)).alias("n")), ["listing_seq"], R.MAX_LISTING_TASKS)
+    rows = top_per_group(listing.join(heads.select("listing_seq"), "listing_seq", "left_semi"), ["listing_seq"], [F.col("row_no")], R.MAX_LISTING_TASK_ROWS, "k")
     first = rows.withColumn("value", F.get(salient_pairs(F.map_entries("fields")), F.lit(0))["value"]).filter("value is not null")
     grouped = first.groupBy("listing_seq", "page", "page_url").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("vs"))
-    values = F.slice(F.array_distinct(F.transform("vs", lambda x: x["value"])), 1, R.MAX_DATA_ASSERTIONS)
+    values = first_items(F.array_distinct(F.transform("vs", lambda x: x["value"])), R.MAX_DATA_ASSERTIONS)
     # Named before the task columns, which reuse the name "page".
     grouped = grouped.withColumns({"values": values, "listing_page": F.col("page")})
     route = F.coalesce(U.pathname_or(F.col("page_url")), "page")
@@ -127,11 +127,12 @@ def listing_data_tasks(listing: DataFrame) -> DataFrame:
 
 
 def coverage_tasks(targets: DataFrame, listing: DataFrame) -> DataFrame:
-    """One task per distinct route (url, label, seq), at most sixty, with the captured row count."""
+    """One task per distinct route (url, label, seq) with the captured row count."""
     counts = listing.groupBy("listing_seq", "page_url").agg(F.count(F.lit(1)).alias("n")).groupBy(
         U.pathname_or(F.col("page_url")).alias("route")).agg(F.max("n").alias("rows"))
     routes = targets.withColumn("route", U.pathname_or(F.col("url"))).groupBy("route").agg(
-        F.min_by(F.struct("url", "label", "seq"), F.col("seq")).alias("t")).select("route", "t.*").orderBy("seq").limit(R.MAX_COVERAGE_TASKS)
+        F.min_by(F.struct("url", "label", "seq"), F.col("seq")).alias("t")).select("route", "t.*")
+    routes = first_rows(routes, ["seq"], R.MAX_COVERAGE_TASKS)
     found = routes.join(counts, "route", "left")
     some = F.col("rows").isNotNull()
     return _task(found, 6, ord=F.col("seq"), page=F.coalesce("label", "route"), page_url=F.col("url"), name=F.coalesce("label", "route"), action=F.lit("none"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import round_half_up, strip, top_per_group
+from ..functions.core import first_items, round_half_up, strip, top_per_group
 from ..functions.redact import normalize_text
 
 _FLAT = "array<struct<role:string,name:string,depth:int>>"
@@ -28,7 +28,7 @@ def tree_text_nodes(texts: DataFrame) -> DataFrame:
         return F.struct(F.when(~skipped, role).alias("role"), name.alias("name"), F.floor(spaces / 2).cast("int").alias("depth"))
     nodes = F.filter(F.transform(F.split("yaml", r"\r?\n"), parse), lambda n: (
         F.coalesce(n["role"], F.lit("")) != "") & ~n["role"].startswith("/") & ~n["role"].isin(*R.ROOT_ROLES))
-    return texts.select("tree_id", F.posexplode(F.slice(nodes, 1, R.MAX_TREE_NODES)).alias("pos", "n")).select("tree_id", "pos", "n.*")
+    return texts.select("tree_id", F.posexplode(first_items(nodes, R.MAX_TREE_NODES)).alias("pos", "n")).select("tree_id", "pos", "n.*")
 
 
 def _flatten(tree) -> list[tuple]:
@@ -41,9 +41,9 @@ def _flatten(tree) -> list[tuple]:
     if isinstance(tree, dict) and "role" not in tree and "children" not in tree:
         tree = next((tree[k] for k in ("nodes", "tree", "root") if isinstance(tree.get(k), list) or (k != "nodes" and k in tree)), tree)
     out, stack = [], [(tree, 0)]
-    while stack and len(out) < R.MAX_TREE_NODES:
+    while stack and (R.MAX_TREE_NODES is None or len(out) < R.MAX_TREE_NODES):
         node, depth = stack.pop()
-        if depth > R.MAX_TREE_DEPTH:
+        if R.MAX_TREE_DEPTH is not None and depth > R.MAX_TREE_DEPTH:
             continue
         if isinstance(node, list):
             stack.extend((child, depth) for child in reversed(node))
@@ -80,9 +80,10 @@ def normalize_names(nodes: DataFrame) -> DataFrame:
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
-    """Nearest earlier node with a smaller depth; trees hold at most 5,000 nodes."""
+    """Nearest earlier node with a smaller depth; the deepest node of the table sets how many levels are looked at."""
+    levels = (nodes.agg(F.max("depth")).first()[0] or 0) + 1
     before = Window.partitionBy("tree_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*[F.max(F.when(F.col("depth") == d, F.col("pos"))).over(before) for d in range(R.MAX_TREE_DEPTH)])
+    last = F.array(*[F.max(F.when(F.col("depth") == d, F.col("pos"))).over(before) for d in range(levels)])
     return nodes.withColumn("_last", last).withColumn("parent_pos", F.array_max(F.slice("_last", 1, F.col("depth")))).drop("_last")
 
 
@@ -110,7 +111,7 @@ def tree_scores(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def tree_surplus(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nodes one side has beyond the other: first surplus instances in order, 200 per side."""
+    """Nodes one side has beyond the other: first surplus instances in order."""
     counts = _counts(nodes)
 
     def side(own: str, other: str, name: str) -> DataFrame:
@@ -139,4 +140,4 @@ def nodes_from_dom(elements: DataFrame) -> DataFrame:
     """Tree nodes of an element table: implied roles and text names."""
     from ..functions.core import lookup
     return elements.withColumn("role", lookup(F.col("tag"), _ROLES)).filter("role is not null").select(
-        F.col("page_id").alias("tree_id"), "pos", "role", F.substring("text", 1, 80).alias("name"), "depth")
+        F.col("page_id").alias("tree_id"), "pos", "role", F.col("text").alias("name"), "depth")

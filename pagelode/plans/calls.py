@@ -289,7 +289,7 @@ ORACLES = {
         "'Internal Server Error' ELSE '' END AS description FROM t GROUP BY host, method, template, status",
     "c07_examples": f"WITH {_API}, {_TEMPLATE}, d AS (SELECT host, method, template, status, response_body AS value, min(seq) AS seq "
         "FROM t WHERE json_valid(response_body) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY host, method, "
-        "template, status ORDER BY seq) AS sample FROM d) SELECT host, method, template, status, sample, value FROM r WHERE sample <= 5",
+        "template, status ORDER BY seq) AS sample FROM d) SELECT host, method, template, status, sample, value FROM r",
     "c08_graphql_operation": f"WITH {_API} SELECT seq, {_SAFE_OP} AS op FROM api WHERE contains(pathname, 'graphql')",
     "c09_endpoint_catalog": f"WITH {_API}, q AS (SELECT host, method, pathname, string_agg(DISTINCT k, ', ' ORDER BY k) AS query_keys "
         "FROM (SELECT host, method, pathname, regexp_extract(unnest(string_split(qs, '&')), '^[^=]*') AS k FROM api) GROUP BY 1, 2, 3), "
@@ -370,13 +370,13 @@ ORACLES = {
         "content_type, ' data: one' || chr(13) || chr(10) || chr(10) || replace(text, '. ', '.' || chr(10) || chr(10)) || chr(10) || "
         "chr(10) || '  ' AS text FROM x), f AS (SELECT stream_key, list_filter(list_transform(CASE WHEN content_type LIKE "
         "'%event-stream' THEN regexp_split_to_array(text, '\\n\\n+') ELSE regexp_split_to_array(text, '\\r?\\n') END, lambda v: "
-        "regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '')[:200] AS fs FROM s) SELECT stream_key, unnest(fs) AS frame, "
+        "regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '') AS fs FROM s) SELECT stream_key, unnest(fs) AS frame, "
         "generate_subscripts(fs, 1) - 1 AS pos FROM f",
     "s05_socket_frames": "WITH l AS (SELECT 'wss://live.example.com/' || conv_id AS socket, conv_id * 1000 + turn AS seq, CASE role WHEN "
-        "'user' THEN 'send' ELSE 'recv' END || ': ' || CASE WHEN turn % 3 = 2 THEN '[binary]' ELSE left(text, 16384) END AS frame FROM "
-        "conversations), k AS (SELECT socket FROM l GROUP BY socket ORDER BY min(seq) LIMIT 40), n AS (SELECT *, row_number() OVER "
+        "'user' THEN 'send' ELSE 'recv' END || ': ' || CASE WHEN turn % 3 = 2 THEN '[binary]' ELSE text END AS frame FROM "
+        "conversations), k AS (SELECT socket FROM l GROUP BY socket), n AS (SELECT *, row_number() OVER "
         "(PARTITION BY socket ORDER BY seq) AS frame_no FROM l WHERE socket IN (SELECT socket FROM k)) SELECT socket, frame_no, frame FROM "
-        "n WHERE frame_no <= 200",
+        "n",
     "s09_stylesheet_budget": f"WITH {S.view('css', A.CSS_TEXTS, 'part')}, a AS (SELECT list(struct_pack(q := seq, n := strlen(css)) ORDER "
         "BY seq) AS l FROM css), k AS (SELECT unnest(list_reduce(l, lambda acc, x: CASE WHEN acc.used + x.n <= 20000 THEN struct_pack(used "
         ":= acc.used + x.n, ids := list_append(acc.ids, x.q)) ELSE acc END, struct_pack(used := CAST(0 AS BIGINT), ids := CAST([] AS "

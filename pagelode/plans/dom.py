@@ -75,7 +75,7 @@ QUERIES = {
 }
 
 DOM = "WITH " + M.dom()
-_SIG = (f"tag || '|' || coalesce({M.a('role')}, '') || '|' || array_to_string(list_sort({M.CLASSES}[:4]), '.')")
+_SIG = (f"tag || '|' || coalesce({M.a('role')}, '') || '|' || array_to_string(list_sort({M.CLASSES}), '.')")
 _GROUPS = (f", groups AS (SELECT page_id, parent_pos, {_SIG} AS signature, count(*) AS items, min(pos) AS first_pos FROM elp WHERE parent_pos IS NOT "
            "NULL GROUP BY 1, 2, 3 HAVING count(*) >= 4), best AS (SELECT g.page_id, g.parent_pos, g.signature, g.items FROM (SELECT *, row_number() "
            "OVER (PARTITION BY page_id ORDER BY items DESC, parent_pos, first_pos) AS rn FROM groups WHERE (page_id, parent_pos) IN (SELECT (page_id, "
@@ -110,11 +110,11 @@ ORACLES = {
         f"b.signature = e.sig), m AS (SELECT i.page_id, i.url, i.row_no, i.raw AS item_raw, i.text AS item_text, arg_min({M.a('href').replace('raw', 'd.raw')}, d.pos) "
         "FILTER (d.tag = 'a') AS h, arg_min(d.text, d.pos) FILTER (d.tag = 'a') AS lt, arg_min(d.text, d.pos) FILTER (d.tag IN ('h1', 'h2', 'h3', "
         f"'h4', 'h5', 'h6')) AS title, arg_min({M.a('datetime').replace('raw', 'd.raw')}, d.pos) FILTER (d.tag = 'time') AS date, arg_min(d.text, d.pos) FILTER (contains("
-        "d.raw, 'author')) AS author FROM items i JOIN el d ON d.page_id = i.page_id AND d.pos >= i.pos AND d.pos < i.end_pos WHERE i.row_no <= 60 "
+        "d.raw, 'author')) AS author FROM items i JOIN el d ON d.page_id = i.page_id AND d.pos >= i.pos AND d.pos < i.end_pos "
         f"GROUP BY ALL), f AS (SELECT page_id, row_no, {_abs('h')} AS href, item_text, list_filter(list_sort([CASE WHEN title <> '' THEN 'title=' || title END, CASE WHEN lt <> '' AND "
         f"lt IS DISTINCT FROM title THEN 'link=' || lt END, CASE WHEN date <> '' THEN 'date=' || date END, CASE WHEN author <> '' THEN 'author=' || author END, CASE "
         f"WHEN {M.a('data-id').replace('raw', 'item_raw')} <> '' THEN 'id=' || {M.a('data-id').replace('raw', 'item_raw')} END]), lambda x: x IS NOT NULL) AS fs FROM m), k AS (SELECT *, CASE WHEN len(fs) = 0 AND item_text "
-        "<> '' THEN 'text=' || left(item_text, 200) ELSE array_to_string(fs, ';') END AS fields FROM f) SELECT page_id, row_no, " + S.origin("href") + " || " + S.path("href") + " || " + S.search("href") + " AS href, fields FROM k WHERE "
+        "<> '' THEN 'text=' || item_text ELSE array_to_string(fs, ';') END AS fields FROM f) SELECT page_id, row_no, " + S.origin("href") + " || " + S.path("href") + " || " + S.search("href") + " AS href, fields FROM k WHERE "
         "(fields <> '' OR href IS NOT NULL) AND page_id IN (SELECT page_id FROM k WHERE fields <> '' OR href IS NOT NULL GROUP BY page_id HAVING count(*) >= 4)",
     "e05_main_content": DOM + f", r AS (SELECT page_id, pos, end_pos, text, {_CONTENT_TIER} AS tier FROM el WHERE length(text) >= 120), s AS (SELECT r.page_id, "
         "r.pos, r.tier, r.text, r.end_pos, length(any_value(r.text)) + 200 * count(x.pos) AS score FROM r LEFT JOIN (SELECT page_id, pos FROM el WHERE tag IN "
@@ -136,7 +136,7 @@ ORACLES = {
         f"'audio', 'iframe') THEN coalesce(nullif({M.a('src')}, ''), inner_src) END AS ref, CASE WHEN tag = 'video' THEN {M.a('poster')} END AS pref, CASE WHEN tag "
         f"= 'canvas' AND lib THEN 'chart.js' END AS chart_lib FROM s WHERE tag <> 'svg' OR moves), o AS (SELECT *, {_abs('ref')} AS src FROM r) SELECT page_id, "
         "row_number() OVER (PARTITION BY page_id ORDER BY g, pos) AS surface_no, kind, src, " + _abs("pref") + f" AS poster, chart_lib, CASE WHEN src IS NOT NULL THEN "
-        f"{S.origin('src')} <> {S.origin('url')} WHEN kind = 'iframe' THEN false END AS cross_origin FROM o QUALIFY surface_no <= 60",
+        f"{S.origin('src')} <> {S.origin('url')} WHEN kind = 'iframe' THEN false END AS cross_origin FROM o",
     "e17_custom_elements": DOM + ", d AS (SELECT page_id, tag, min(pos) AS pos FROM el WHERE contains(tag, '-') GROUP BY 1, 2) SELECT page_id, row_number() OVER "
         "(PARTITION BY page_id ORDER BY pos) AS tag_no, tag FROM d",
     "e18_representatives": DOM + f", g AS (SELECT page_id, pos, raw, tag, unnest(list_filter([CASE WHEN tag = 'button' THEN '0button' END, CASE WHEN tag = 'a' AND "
@@ -148,7 +148,7 @@ ORACLES = {
         f"array_to_string(list_sort({M.CLASSES}), '.') AS sig, {M.a('disabled')} IS NOT NULL AS disabled FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, sig, disabled ORDER "
         "BY gn, pos) AS rn FROM c), f AS (SELECT page_id, sig, role, gn, pos, disabled, CASE WHEN disabled AND rn = 1 THEN 'off' ELSE 'on' END AS slot FROM n), u AS (SELECT *, "
         "row_number() OVER (PARTITION BY page_id, sig, slot ORDER BY gn, pos) AS k FROM f), v AS (SELECT page_id, sig, role, gn, pos, disabled FROM u WHERE k = 1) SELECT page_id, row_number() "
-        "OVER (PARTITION BY page_id ORDER BY role, gn, pos) AS rank, role, sig, pos, disabled FROM v QUALIFY rank <= 12",
+        "OVER (PARTITION BY page_id ORDER BY role, gn, pos) AS rank, role, sig, pos, disabled FROM v",
     "e21_controls": DOM + f", c0 AS (SELECT *, left(coalesce(nullif({M.collapse(M.a('aria-label'))}, ''), nullif(text, ''), nullif({M.collapse(M.a('title'))}, ''), nullif("
         f"{M.collapse(M.a('alt'))}, ''), nullif({M.collapse(M.a('placeholder'))}, ''), nullif({M.collapse(M.a('value'))}, ''), ''), 80) AS name, {_KIND} AS kind, tag = 'a' AND {M.a('href')} IS NOT "
         f"NULL AS is_link, tag IN ('select', 'textarea') OR (tag = 'input' AND coalesce({M.a('type')}, 'text') <> 'checkbox') OR (tag = 'input' AND {_KIND} = 'input') AS is_field FROM elp WHERE {_IS_CONTROL} AND {M.a('disabled')} IS NULL), c1 AS "
@@ -160,7 +160,7 @@ ORACLES = {
         f"{M.a('placeholder')} END AS placeholder, CASE WHEN is_link AND {S.host(S.resolve('url', M.a('href')))} = {S.host('url')} THEN {S.origin('url')} || CASE WHEN starts_with({M.a('href')}, '#') THEN {S.path('url')} || {M.a('href')} "
         f"ELSE {S.path(S.resolve('url', M.a('href')))} || {S.search(S.resolve('url', M.a('href')))} END END AS same_site_href FROM c2 WHERE dup = 1",
     "e21_option_labels": DOM + ", o AS (SELECT x.page_id, w.pos AS owner_pos, x.pos, x.text FROM el x JOIN el w ON w.page_id = x.page_id AND x.pos > w.pos AND x.pos < w.end_pos AND w.tag = 'select' WHERE x.tag = "
-        "'option' AND x.text <> '') SELECT page_id, owner_pos, row_number() OVER (PARTITION BY page_id, owner_pos ORDER BY pos) AS option_no, left(text, 80) AS label FROM o QUALIFY option_no <= 30",
+        "'option' AND x.text <> '') SELECT page_id, owner_pos, row_number() OVER (PARTITION BY page_id, owner_pos ORDER BY pos) AS option_no, text AS label FROM o QUALIFY option_no <= 30",
     "e22_selectors": DOM + f", n AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent_pos, tag ORDER BY pos) AS nth, {M.a('id')} AS ident, {M.a('data-testid')} AS test FROM elp), u AS (SELECT *, ident IS "
         "NOT NULL AND count(ident) OVER (PARTITION BY page_id, ident) = 1 AS uid, test IS NOT NULL AND count(test) OVER (PARTITION BY page_id, test) = 1 AS utest FROM n), up AS (SELECT c.page_id, c.pos, x.depth, "
         "CASE WHEN x.uid THEN '#' || x.ident ELSE x.tag || ':nth-of-type(' || x.nth || ')' END AS step, x.uid OR x.tag = 'body' AS stop FROM u c JOIN u x ON x.page_id = c.page_id AND x.pos <= c.pos AND x.end_pos > "
@@ -174,7 +174,7 @@ ORACLES = {
         "2), i AS (SELECT l.page_id, l.side, greatest(links, coalesce(n, 0)) AS items FROM l LEFT JOIN n USING (page_id, side)) SELECT a.page_id, b.items AS before, a.items AS after, a.items > b.items + 2 AS grew FROM i a JOIN i b ON "
         "a.page_id = b.page_id AND a.side = 1 AND b.side = 2",
     "i04_state_signature": DOM + f" SELECT page_id, any_value({S.path('url')}) || '|' || count(*) || '|' || count(*) FILTER ({M.ROLE} = 'dialog' OR {_HAS('modal')}) || '|' || CAST(floor(coalesce(max(length(text)) FILTER (tag = 'body'), 0) / "
-        f"200.0 + 0.5) AS BIGINT) || '|' || count(*) FILTER ({M.ROLE} IN ('menuitem', 'option', 'menu', 'listbox')) || '|' || count(*) FILTER ({M.a('aria-expanded')} = 'true') || '|' || count(*) FILTER (pos < 1500) AS signature FROM el GROUP "
+        f"200.0 + 0.5) AS BIGINT) || '|' || count(*) FILTER ({M.ROLE} IN ('menuitem', 'option', 'menu', 'listbox')) || '|' || count(*) FILTER ({M.a('aria-expanded')} = 'true') || '|' || count(*) AS signature FROM el GROUP "
         "BY page_id",
     "i05_transient_state": DOM + f" SELECT page_id, CASE WHEN bool_or(contains({_LOWCLASS}, 'skeleton') OR contains({_LOWCLASS}, 'loading')) THEN 'loading' WHEN bool_or({M.ROLE} = 'alert' OR contains({_LOWCLASS}, 'error')) THEN 'error' WHEN "
         f"bool_or(contains({_LOWCLASS}, 'empty')) THEN 'empty' WHEN bool_or({M.ROLE} = 'status' OR contains({_LOWCLASS}, 'toast')) THEN 'success' END AS state FROM el GROUP BY page_id",

@@ -85,7 +85,7 @@ ORACLES = {
     "i06_page_totals": f"WITH {ACT} SELECT page, count(*) AS actions, count(*) FILTER (outcome NOT IN ('noop', 'skipped')) AS meaningful, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'noop') AS noop, count(*) FILTER "
         "(outcome = 'download') AS downloads, count(*) FILTER (outcome = 'navigation') AS navigations FROM actions GROUP BY ROLLUP (page)",
     "i07_top_behaviors": f"WITH {ACT}, r AS (SELECT *, CASE outcome WHEN 'download' THEN 0 WHEN 'navigation' THEN 1 WHEN 'modal' THEN 2 WHEN 'dom-change' THEN 3 END AS o FROM actions), d AS (SELECT page, outcome, label, to_url, download_file, min([o, seq]) AS p, "
-        "arg_min(screenshot, seq) AS screenshot FROM r WHERE o IS NOT NULL GROUP BY 1, 2, 3, 4, 5) SELECT page, row_number() OVER (PARTITION BY page ORDER BY p) AS rank, outcome, label, to_url, download_file, screenshot FROM d QUALIFY rank <= 8"
+        "arg_min(screenshot, seq) AS screenshot FROM r WHERE o IS NOT NULL GROUP BY 1, 2, 3, 4, 5) SELECT page, row_number() OVER (PARTITION BY page ORDER BY p) AS rank, outcome, label, to_url, download_file, screenshot FROM d"
         .replace("arg_min(screenshot, seq)", "arg_min_null(screenshot, seq)"),
     "i08_nav_edges": f"WITH {ACT} SELECT page, label, to_url, min(seq) AS seq FROM actions WHERE outcome = 'navigation' AND to_url IS NOT NULL GROUP BY 1, 2, 3",
     "i08_features": f"WITH {ACT}, f AS (SELECT *, len(list_filter(string_split(path_text, '|'), lambda s: s <> '')) AS steps FROM actions WHERE outcome IN ('modal', 'dom-change', 'download')) SELECT page, label, kind, outcome, min(seq) AS seq, min(steps) AS "
@@ -99,6 +99,6 @@ ORACLES = {
     "i10_action_budget": f"WITH {ACT}, p AS (SELECT * FROM actions WHERE outcome <> 'skipped' QUALIFY row_number() OVER (PARTITION BY page ORDER BY seq) <= 15), k AS (SELECT * FROM p ORDER BY seq LIMIT 3000) SELECT seq, page, outcome FROM k UNION ALL SELECT seq, "
         "page, outcome FROM actions WHERE outcome = 'skipped'",
     "i11_download_manifest": f"WITH {ACT}, d AS (SELECT seq, 'https://site.example.com/d/' || (id % 30) AS url, CASE WHEN id % 4 = 0 THEN 'download' ELSE download_file END AS raw, bytes * 100 AS bytes FROM actions WHERE download_file IS NOT NULL), e AS (SELECT *, "
-        "regexp_extract(raw, '(\\.[^.]*)$', 1) AS ext FROM d WHERE bytes <= 52428800) SELECT seq, url, bytes, 'web/downloads/' || " + S.sanitize("regexp_replace(raw, '\\.[^.]*$', '')") + " || '-' || left(sha1(url || '|' || raw), 4) || lower(ext) AS file FROM e",
+        "regexp_extract(raw, '(\\.[^.]*)$', 1) AS ext FROM d) SELECT seq, url, bytes, 'web/downloads/' || " + S.sanitize("regexp_replace(raw, '\\.[^.]*$', '')") + " || '-' || sha1(url || '|' || raw) || lower(ext) AS file FROM e",
     "i12_distinct_network": f"WITH {ACT}, n AS (SELECT seq, regexp_extract_all(network_text, '[A-Z]+ \\S+') AS l FROM actions) SELECT seq, CASE WHEN l[1] = l[2] THEN l[1] ELSE array_to_string(l, ' | ') END AS network FROM n",
 }

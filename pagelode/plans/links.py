@@ -67,7 +67,7 @@ def g04(spark, sf):
     existing = pages.filter(U.is_web_url(F.col("url"))).select("url", F.col("page_id").alias("seq"))
     sitemap = _links(spark, sf).select(F.col("target").alias("url"),
                                        (F.col("page_id") * 100 + F.col("pos")).alias("seq"))
-    return L.merge_seeds(existing, sitemap, 600)
+    return L.merge_seeds(existing, sitemap)
 
 
 def g05(spark, sf):
@@ -81,7 +81,7 @@ def g06(spark, sf):
     actions = A.actions(spark, sf)
     planned = actions.filter("outcome = 'modal'").select(
         F.concat(F.lit("https://site.example.com/go/"), F.col("id") % 9, F.lit("?a=1&b=2")).alias("url")).distinct()
-    return L.promote_navigations(actions, planned, "site.example.com", 60)
+    return L.promote_navigations(actions, planned, "site.example.com")
 
 
 def g07(spark, sf):
@@ -142,7 +142,7 @@ ORACLES = {
     "g02_page_budget": _BFS.replace("{depth}", "2") + " SELECT node, depth FROM firsts ORDER BY depth, trail LIMIT 25",
     "g04_merge_seeds": f"WITH {S.LINKS}, known AS (SELECT DISTINCT {S.normal('url')} AS url FROM pages), seeded AS ("
                        "SELECT target AS url, min(page_id * 100 + pos) AS seq, 0 AS source FROM links WHERE target NOT IN"
-                       " (SELECT url FROM known) GROUP BY target ORDER BY seq, url LIMIT 600), bases AS (SELECT url, "
+                       " (SELECT url FROM known) GROUP BY target), bases AS (SELECT url, "
                        "page_id AS seq, 1 AS source FROM pages UNION ALL SELECT url, seq, 2 FROM seeded), nx AS ("
                        "SELECT source, seq, " + S.normal("url") + " AS own, CASE WHEN regexp_matches(url, '[?&]page=') THEN "
                        "regexp_replace(url, '([?&]page=)[0-9]+', '\\1' || CAST(CAST(regexp_extract(url, "
@@ -150,12 +150,11 @@ ORACLES = {
                        "regexp_replace(url, '#.*$', '') || '&page=2' ELSE regexp_replace(url, '#.*$', '') || '?page=2' END"
                        f" AS nxt FROM bases WHERE NOT {S.crawl_asset(S.path('url'))}), minted AS (SELECT url, "
                        "min([source, seq]) AS k FROM (SELECT source, seq, own, " + S.normal("nxt") + " AS url FROM nx) "
-                       "WHERE url <> own GROUP BY url ORDER BY k, url LIMIT 600), fresh AS (SELECT url, k[2] AS seq, k[1] AS"
+                       "WHERE url <> own GROUP BY url), fresh AS (SELECT url, k[2] AS seq, k[1] AS"
                        " source FROM minted WHERE url NOT IN (SELECT url FROM known) AND url NOT IN (SELECT url FROM seeded)"
                        "), ranked AS (SELECT url, row_number() OVER (ORDER BY source, seq, url) AS rank FROM (SELECT * FROM "
                        "seeded UNION ALL SELECT * FROM fresh)) SELECT url, " + S.page_slug("url") + " AS label, "
-                       + S.category("url") + " AS category, rank FROM ranked WHERE rank <= greatest(600 - (SELECT count(*) "
-                       "FROM pages), 0)",
+                       + S.category("url") + " AS category, rank FROM ranked",
     "g05_section_pages": f"WITH {S.LINKS}, hits AS (SELECT {S.category('url')} AS section, url AS index_url, pos, target, "
                          f"{S.path('target')} AS p FROM links WHERE regexp_replace({S.path('target')}, '/$', '') <> "
                          f"regexp_replace({S.path('url')}, '/$', '') AND CASE WHEN page_id % 2 = 0 THEN regexp_matches("
@@ -169,8 +168,7 @@ ORACLES = {
                                f"'navigation' AND {S.host('to_url')} = 'site.example.com' AND NOT "
                                f"{S.crawl_asset(S.path('to_url'))} GROUP BY 1), r AS (SELECT url, row_number() OVER (ORDER "
                                "BY seq) AS rank FROM n WHERE url NOT IN (SELECT url FROM planned)) SELECT url, "
-                               + S.file_slug("url") + " AS label, 'explored' AS category, rank FROM r WHERE rank <= 60 - "
-                               "(SELECT count(*) FROM planned)",
+                               + S.file_slug("url") + " AS label, 'explored' AS category, rank FROM r",
     "g07_pick_profile": f"SELECT page_id, CASE WHEN regexp_matches({S.host('url')}, '(^|\\.)hub\\.example\\.org$') THEN "
                         f"'hub' WHEN starts_with({S.host('url')}, 'm.') THEN 'mobile' WHEN ends_with({S.host('url')}, "
                         "'.com') THEN 'com' ELSE 'generic' END AS profile FROM pages",

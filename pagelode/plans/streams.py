@@ -63,8 +63,8 @@ def st1(spark, sf):
 def st2(spark, sf):
     frames = A.table(spark, sf, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 20).alias("stream_key"), (
         F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.timestamp_seconds(
-        F.col("conv_id") * 10 + F.col("turn")).alias("ts"), F.col("text").alias("frame"))
-    kept = _done(spark, J.capped_frames(_staged(spark, frames, "seq", 4), 10))
+        1 + F.col("conv_id") * 10 + F.col("turn")).alias("ts"), F.col("text").alias("frame"))
+    kept = _done(spark, J.capped_frames(_staged(spark, frames, "seq", 4)))
     return kept.groupBy("stream_key").agg(F.count(F.lit(1)).alias("frames"), F.max("frame_no").alias("last_no"), F.count_distinct("seq").alias("distinct_frames"))
 
 
@@ -120,7 +120,7 @@ def _sessions(source: str, keys: str, gap: str) -> str:
 
 ORACLES = {
     "st1_first_per_key": f"WITH {_CALLS} SELECT DISTINCT method || ' https://' || host || pathname AS body_key, 1 AS kept FROM calls",
-    "st2_capped_frames": "WITH f AS (SELECT 's' || (conv_id % 20) AS stream_key, count(*) AS c FROM conversations GROUP BY 1) SELECT stream_key, least(c, 10) AS frames, least(c, 10) AS last_no, least(c, 10) AS distinct_frames FROM f",
+    "st2_capped_frames": "WITH f AS (SELECT 's' || (conv_id % 20) AS stream_key, count(*) AS c FROM conversations GROUP BY 1) SELECT stream_key, c AS frames, c AS last_no, c AS distinct_frames FROM f",
     "st3_tumbling_counts": f"WITH {_CALLS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, host, count(*) AS calls, count(*) FILTER (status >= 500) AS errors FROM calls WHERE date_trunc('hour', ts) + INTERVAL 1 "
         f"HOUR {_CLOSED} GROUP BY 1, 2",
     "st3_sliding_counts": f"WITH {_CALLS}, w AS (SELECT host, status, date_trunc('hour', ts) - INTERVAL 1 HOUR * d AS a FROM calls, (VALUES (0), (1)) x(d)) SELECT strftime(a, '%Y-%m-%d %H:%M') AS window_start, host, count(*) AS calls, count(*) "

@@ -18,8 +18,7 @@ def _samples(spark, sf):
 
 
 _SAMPLES = ("t0 AS (" + A.select_sql(A.TYPE_SAMPLES, A.LINES_WITH_PARTS_SQL) + "), t AS (SELECT *, page_id || '|' || role || '|' || family || "
-            "'|' || size || '|' || weight || '|' || line_height || '|' || spacing || '|' || color AS seq FROM t0), kept AS (SELECT * FROM t QUALIFY "
-            "row_number() OVER (PARTITION BY page_id, role ORDER BY seq) <= 12)")
+            "'|' || size || '|' || weight || '|' || line_height || '|' || spacing || '|' || color AS seq FROM t0), kept AS (SELECT * FROM t)")
 
 
 def _boxes(spark, sf):
@@ -52,7 +51,7 @@ def _vars(spark, sf):
 
 QUERIES = {
     "e12_page_tally": lambda spark, sf: T.token_tally(T.token_values(A.style_rows(spark, sf))),
-    "e09_assets": lambda spark, sf: T.assets(A.asset_responses(spark, sf), 9500).drop("seq"),
+    "e09_assets": lambda spark, sf: T.assets(A.asset_responses(spark, sf)).drop("seq"),
     "e10_font_faces": lambda spark, sf: T.font_faces(A.css_texts(spark, sf)),
     "e10_font_links": lambda spark, sf: T.link_fonts(T.assets(A.asset_responses(spark, sf)), T.font_faces(A.css_texts(spark, sf))),
     "e12_ranked_tokens": lambda spark, sf: T.ranked_tokens(T.token_values(A.style_rows(spark, sf))),
@@ -72,7 +71,7 @@ _ASSETS = (S.view("r", A.ASSET_RESPONSES, "part") + ", f AS (SELECT url, min_by(
            f"({S.quoted(R.FONT_EXTS)}) THEN 'fonts' WHEN media = 'image/svg+xml' OR ext = '.svg' THEN 'svg' WHEN starts_with(media, 'image/') OR ext IN "
            f"({S.quoted(R.IMAGE_EXTS)}) THEN 'images' WHEN media = 'text/css' OR ext = '.css' THEN 'css' WHEN contains(media, 'javascript') OR ext = '.js' THEN 'js' END AS "
            "category FROM x), n AS (SELECT url, content_type, bytes, category, 'web/assets/' || category || '/' || left(regexp_replace(lower(regexp_replace(base, "
-           "'\\.[^.]*$', '')), '[^a-z0-9._-]', '-', 'g'), 40) || '-' || left(sha1(url), 8) || CASE WHEN ext <> '' AND ext <> '.html' THEN ext WHEN media = 'image/avif' THEN "
+           "'\\.[^.]*$', '')), '[^a-z0-9._-]', '-', 'g'), 40) || '-' || sha1(url) || CASE WHEN ext <> '' AND ext <> '.html' THEN ext WHEN media = 'image/avif' THEN "
            "'.avif' ELSE '.bin' END AS file FROM c WHERE category IS NOT NULL)")
 _FACES = (S.view("css", A.CSS_TEXTS, "part") + ", bl AS (SELECT url, seq, regexp_extract_all(regexp_replace(css, '(?s)/\\*.*?\\*/', '', 'g'), "
           "'(?i)@font-face\\s*\\{([^}]*)\\}', 1) AS bs FROM css), ru AS (SELECT url, seq, unnest(bs) AS body, generate_subscripts(bs, 1) - 1 AS rule_no FROM bl), rf AS (SELECT "
@@ -85,15 +84,15 @@ _TALLY = ("s AS (" + A.select_sql(A.STYLE_ROWS, A.LINES_WITH_PARTS_SQL) + "), v
           "UNION ALL SELECT 'borderColors', border_color FROM s WHERE border_width = '1px' UNION ALL SELECT 'radii', radius FROM s UNION ALL SELECT 'shadows', shadow FROM s UNION ALL SELECT "
           "'spacing', unnest(string_split(spacing, ' ')) FROM s UNION ALL SELECT 'fonts', trim(replace(string_split(font_family, ',')[1], '\"', '')) FROM s UNION ALL SELECT 'fontSizes', font_size "
           f"FROM s), tot AS (SELECT category, value, count(*) AS n FROM v WHERE value NOT IN ({S.quoted(R.TOKEN_NOISE)}) GROUP BY 1, 2), ranked AS (SELECT category, value, n, row_number() OVER "
-          "(PARTITION BY category ORDER BY n DESC, value) AS rank FROM tot QUALIFY rank <= CASE WHEN category IN ('colors', 'backgrounds') THEN 24 ELSE 16 END)")
+          "(PARTITION BY category ORDER BY n DESC, value) AS rank FROM tot)")
 _VARS = (S.view("css", A.CSS_TEXTS, "part") + ", ru AS (SELECT page_id, seq, x.r AS rule_no, x.s AS scope, x.body FROM css, (VALUES (0, ':root'), (1, '.dark')) y(r, s), LATERAL (SELECT y.r, y.s, "
          "regexp_extract(css, CASE y.r WHEN 0 THEN ':root\\{([^}]*)' ELSE '\\.dark\\{([^}]*)' END, 1) AS body) x), de AS (SELECT page_id, seq, rule_no, scope, unnest(string_split(body, ';')) AS d, "
          "generate_subscripts(string_split(body, ';'), 1) AS i FROM ru), nv AS (SELECT page_id, scope, trim(regexp_extract(d, '^([^:]*):', 1)) AS name, trim(regexp_extract(d, '^[^:]*:(.*)$', 1)) AS value, "
          "min([seq, rule_no, i]) AS place FROM de WHERE starts_with(trim(d), '--') GROUP BY 1, 2, 3, 4), vars AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS var_no FROM nv WHERE value "
-         "<> '' QUALIFY var_no <= 600)")
+         "<> '')")
 
 ORACLES = {
-    "e09_assets": f"WITH {_ASSETS} SELECT * FROM n WHERE bytes <= 9500",
+    "e09_assets": f"WITH {_ASSETS} SELECT * FROM n",
     "e10_font_faces": f"WITH {_FACES} SELECT * FROM faces",
     "e10_font_links": f"WITH {_ASSETS}, {_FACES}, first AS (SELECT src_url, min_by(struct_pack(f := family, w := weight, s := style), [seq, rule_no, src_no]) AS d FROM faces GROUP BY 1) SELECT url, file, d.f AS "
         "family, d.w AS weight, d.s AS style FROM n LEFT JOIN first ON src_url = url WHERE category = 'fonts'",
@@ -105,14 +104,14 @@ ORACLES = {
     "e13_scoped_variables": f"WITH {_VARS} SELECT name, scope, max_by(value, [page_id, var_no]) AS value FROM vars GROUP BY 1, 2",
     "e14_font_families": f"WITH {_SAMPLES}, f AS (SELECT trim(replace(string_split(family, ',')[1], '\"', '')) AS family, count(*) AS n FROM kept GROUP BY 1) SELECT family, n, row_number() OVER (ORDER BY contains(family, "
         "'mono'), n DESC, family) = 1 AS is_body, contains(family, 'mono') AND row_number() OVER (PARTITION BY contains(family, 'mono') ORDER BY n DESC, family) = 1 AS is_mono FROM f",
-    "e14_text_colors": f"WITH {_SAMPLES} SELECT color, count(*) AS n FROM kept GROUP BY color ORDER BY n DESC, color LIMIT 12",
-    "e15_type_scale": f"WITH {_SAMPLES}, g AS (SELECT role, size, weight, line_height, spacing, count(*) AS n, CAST(replace(size, 'px', '') AS INT) AS px FROM kept GROUP BY ALL) SELECT CASE role WHEN 'p' THEN 'body' "
+    "e14_text_colors": f"WITH {_SAMPLES} SELECT color, count(*) AS n FROM kept GROUP BY color",
+    "e15_type_scale": f"WITH {_SAMPLES}, g AS (SELECT role, size, weight, line_height, spacing, count(*) AS n, min(seq) AS sq, CAST(replace(size, 'px', '') AS INT) AS px FROM kept GROUP BY ALL) SELECT CASE role WHEN 'p' THEN 'body' "
         "ELSE role END AS role, size, weight, line_height, spacing, n, CASE role WHEN 'h1' THEN 0 WHEN 'h2' THEN 1 WHEN 'p' THEN 6 WHEN 'a' THEN 7 WHEN 'button' THEN 8 WHEN 'li' THEN 9 ELSE 10 END AS role_order FROM g "
-        "QUALIFY row_number() OVER (PARTITION BY role ORDER BY n DESC, px DESC, weight, line_height, spacing) = 1",
+        "QUALIFY row_number() OVER (PARTITION BY role ORDER BY n DESC, px DESC, sq) = 1",
     "e19_style_delta": f"WITH s0 AS ({A.select_sql(A.SNAPSHOTS, 'lineitem')}), s AS (SELECT page_id, selector, state, prop, min(value) AS value FROM s0 GROUP BY 1, 2, 3, 4) SELECT o.page_id, o.selector, o.prop, o.state, r.value AS from_value, o.value "
         f"AS to_value FROM s o JOIN s r ON r.page_id = o.page_id AND r.selector = o.selector AND r.prop = o.prop AND r.state = 'rest' AND o.state <> 'rest' WHERE r.value <> o.value AND o.prop IN ({S.quoted(R.STATE_PROPS)})",
     "e20_layout_boxes": "WITH b AS (" + A.select_sql(_BOX, A.LINES_WITH_PARTS_SQL) + "), t AS (SELECT *, CASE WHEN tag IN ('header', 'h2') OR role = 'search' THEN 0 WHEN tag IN ('div', 'ul') OR contains(lower(class), 'card') THEN 1 "
         "END AS tier FROM b WHERE width > 0 AND height > 0), p AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tier, CASE WHEN tier = 1 THEN -(width * height) ELSE 0.0 END, pos) AS box_no FROM t WHERE tier IS NOT NULL "
-        "QUALIFY box_no <= 40) SELECT page_id, box_no, pos, tag, floor(x * 10 + 0.5) / 10.0 AS x, floor(y * 10 + 0.5) / 10.0 AS y, floor(width * 10 + 0.5) / 10.0 AS width, floor(height * 10 + 0.5) / 10.0 AS height, "
+        ") SELECT page_id, box_no, pos, tag, floor(x * 10 + 0.5) / 10.0 AS x, floor(y * 10 + 0.5) / 10.0 AS y, floor(width * 10 + 0.5) / 10.0 AS width, floor(height * 10 + 0.5) / 10.0 AS height, "
         "array_to_string(list_filter([CASE WHEN pos % 2 <> 0 THEN 'display:flex' END, CASE WHEN gap <> '0px' THEN 'gap:' || gap END], lambda s: s IS NOT NULL), ';') AS box FROM p",
 }

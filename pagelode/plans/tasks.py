@@ -185,15 +185,15 @@ _FEAT = (ACT + ", g AS (SELECT *, list_filter(string_split(path_text, '|'), lamb
          "list_transform(net, lambda c: regexp_extract(c, '^(\\S+)', 1) || ' ' || regexp_extract(c, '//[^/]+(/.*)$', 1)) AS a2 FROM f), tk AS (SELECT seq AS ord, outcome || ': \"' || label || '\" on ' || page AS title, page, f.page_url AS page_url, CASE kind WHEN "
          "'searchbox' THEN 'textbox' WHEN 'pointer' THEN NULL ELSE kind END AS role, label AS name, f.action AS action, outcome, CASE WHEN a2[1] = a2[2] THEN [a2[1]] ELSE a2 END AS apis, f, label FROM h), ft AS (SELECT *, CASE outcome WHEN 'modal' THEN 'a dialog/modal "
          "opens' WHEN 'download' THEN 'downloads ' || f.download_file ELSE 'the view updates (fires ' || array_to_string(apis, ', ') || ')' END AS detail FROM tk)")
-_EDGES = "e AS (SELECT page, label, to_url, min(seq) AS seq FROM actions WHERE outcome = 'navigation' GROUP BY 1, 2, 3 ORDER BY seq LIMIT 20)"
+_EDGES = "e AS (SELECT page, label, to_url, min(seq) AS seq FROM actions WHERE outcome = 'navigation' GROUP BY 1, 2, 3)"
 _V03 = (f"b AS (SELECT o_orderkey AS seq, o_custkey, o_orderkey, o_orderkey % 5 AS k FROM orders), d3 AS (SELECT seq, '/o/' || o_custkey AS page, 'https://api.example.com/o/' || o_custkey AS page_url, CASE k WHEN 0 THEN 'N' || o_orderkey WHEN 1 THEN 'T' || "
         "o_custkey ELSE 's' || o_orderkey END AS name, CASE k WHEN 0 THEN 'N' || o_orderkey || '@fixture:f' || o_orderkey || '.json#[1].name;Zed ' || o_custkey || '@fixture:f' || o_orderkey || '.json#[1].zeta' WHEN 1 THEN 'T' || o_custkey || '@fixture:f' || o_orderkey || "
         "'.json#title' ELSE 's' || o_orderkey || '@fixture:f' || o_orderkey || '.json#[1].slug' END AS data FROM b WHERE k IN (0, 1, 3))")
 _V04 = ("d4 AS (SELECT c_custkey AS ord, 'data: model \"own/' || c_custkey || '\" renders on /e/' || c_custkey AS title, '/e/' || c_custkey AS page, c_name AS name, c_name || '@entity:model/own/' || c_custkey || '#name;a' || c_nationkey || '@entity:model/own/' || "
-        "c_custkey || '#author;' || c_mktsegment || '@entity:model/own/' || c_custkey || '#segment' AS data FROM customer WHERE c_custkey % 4 <> 0 ORDER BY c_custkey LIMIT 30)")
-_V05 = ("lr AS (" + A.select_sql(A.LISTING_ROWS, "customer") + "), ls AS (SELECT seq // 10 AS ls, seq % 10 AS row_no, title FROM lr), l5 AS (SELECT ls, list(title ORDER BY row_no)[:5] AS vs FROM ls WHERE row_no < 8 GROUP BY ls ORDER BY ls LIMIT 20), d5 AS (SELECT ls AS ord, "
+        "c_custkey || '#author;' || c_mktsegment || '@entity:model/own/' || c_custkey || '#segment' AS data FROM customer WHERE c_custkey % 4 <> 0)")
+_V05 = ("lr AS (" + A.select_sql(A.LISTING_ROWS, "customer") + "), ls AS (SELECT seq // 10 AS ls, seq % 10 AS row_no, title FROM lr), l5 AS (SELECT ls, list(title ORDER BY row_no) AS vs FROM ls GROUP BY ls), d5 AS (SELECT ls AS ord, "
         "'data: listing rows render on /l/' || (ls // 3) AS title, '/l/' || (ls // 3) AS page, vs[1] AS name, len(vs) || ' captured listing rows render' AS detail, array_to_string(list_transform(vs, lambda v, i: v || '@listing:p' || ls || '#row' || (i - 1)), ';') AS data FROM l5)")
-_V06 = ("cn AS (SELECT route, max(n) AS rows FROM (SELECT '/l/' || (seq // 30) AS route, seq // 10 AS ls, count(*) AS n FROM lr GROUP BY 1, 2) GROUP BY 1), tg AS (SELECT '/l/' || (seq // 7) AS route, min(seq) AS seq FROM lr GROUP BY 1 ORDER BY 2 LIMIT 60), d6 AS (SELECT tg.seq AS ord, "
+_V06 = ("cn AS (SELECT route, max(n) AS rows FROM (SELECT '/l/' || (seq // 30) AS route, seq // 10 AS ls, count(*) AS n FROM lr GROUP BY 1, 2) GROUP BY 1), tg AS (SELECT '/l/' || (seq // 7) AS route, min(seq) AS seq FROM lr GROUP BY 1), d6 AS (SELECT tg.seq AS ord, "
         "'coverage: ' || tg.route || ' renders' || coalesce(' >= ' || rows || ' row(s)', '') AS title, 'L' || tg.seq AS page, 'https://hub.example.com' || tg.route || '?q=1' AS page_url, coalesce('route renders with >= ' || rows || ' row(s) (captured listing count)', 'route renders "
         "without error') AS detail FROM tg LEFT JOIN cn ON cn.route = tg.route)")
 _ROUTES = ("r AS (SELECT '/r/' || s_suppkey AS route, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 64) / 64.0 END AS px, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 32) / 32.0 END AS tr, CASE WHEN s_suppkey % 15 = 0 THEN 'failed' END AS note FROM supplier), sc AS (SELECT *, CASE WHEN "

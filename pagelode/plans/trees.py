@@ -59,7 +59,7 @@ _YAML = ("y AS (" + A.select_sql(A.TREE_TEXTS, "conversations") + "), ln AS (SEL
          "'\\\\(.)', '\\1', 'g') AS name, (length(ind) + length(replace(ind, ' ', ''))) // 2 AS depth FROM pr), fl AS (SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY i) - 1 AS pos, role, name, depth "
          "FROM nd WHERE role <> '' AND NOT starts_with(role, '/'))")
 _AX = ("WITH " + M.dom("SELECT page_id, url, html FROM pages") + ", ax AS (SELECT page_id AS tree_id, pos, CASE tag WHEN 'a' THEN 'link' WHEN 'li' THEN 'listitem' WHEN 'h1' THEN 'heading' WHEN 'nav' THEN "
-       "'navigation' WHEN 'article' THEN 'article' ELSE 'paragraph' END AS role, left(text, 80) AS name FROM el WHERE tag IN ('a', 'li', 'h1', 'nav', 'article', 'p')), ct AS (SELECT tree_id, role, name, count(*) AS n FROM "
+       "'navigation' WHEN 'article' THEN 'article' ELSE 'paragraph' END AS role, text AS name FROM el WHERE tag IN ('a', 'li', 'h1', 'nav', 'article', 'p')), ct AS (SELECT tree_id, role, name, count(*) AS n FROM "
        "ax GROUP BY 1, 2, 3), sz AS (SELECT tree_id, CAST(sum(n) AS BIGINT) AS n FROM ct GROUP BY 1), pairs AS (SELECT page_id AS e, page_id + 1 AS a FROM pages), sh AS (SELECT p.e, p.a, CAST(sum(least(l.n, r.n)) AS "
        "BIGINT) AS shared FROM pairs p JOIN ct l ON l.tree_id = p.e JOIN ct r ON r.tree_id = p.a AND r.role = l.role AND r.name = l.name GROUP BY 1, 2), sc AS (SELECT p.e AS expected_id, p.a AS actual_id, coalesce(x.n, 0) AS "
        "expected_nodes, coalesce(y.n, 0) AS actual_nodes, coalesce(shared, 0) AS shared, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 1.0 ELSE floor(coalesce(shared, 0) * 2.0 / (coalesce(x.n, 0) + coalesce(y.n, "
@@ -74,7 +74,7 @@ ORACLES = {
     "x03_tree_parents": f"WITH {_YAML} SELECT tree_id, pos, (SELECT max(o.pos) FROM fl o WHERE o.tree_id = fl.tree_id AND o.pos < fl.pos AND o.depth < fl.depth) AS parent_pos FROM fl",
     "x04_tree_scores": _AX + " SELECT * FROM sc",
     "x05_tree_surplus": _AX + ", s AS (" + _SIDE.format(side="removed", own="e", other="a") + " UNION ALL " + _SIDE.format(side="added", own="a", other="e") + "), k AS (SELECT expected_id, actual_id, side, pos, role, name, row_number() OVER "
-        "(PARTITION BY expected_id, actual_id, side ORDER BY pos) AS item_no FROM s WHERE k <= quota) SELECT * FROM k WHERE item_no <= 200",
+        "(PARTITION BY expected_id, actual_id, side ORDER BY pos) AS item_no FROM s WHERE k <= quota) SELECT * FROM k",
     "x06_tree_gate": _AX + " SELECT expected_id, actual_id, score >= 0.05 AS pass, score = 1 AS exact_pass FROM sc",
     "r10_normalize_names": f"WITH {S.view('s', A.SNIPPETS, 'events')} SELECT seq AS tree_id, 'text' AS role, " + reduce(
         lambda e, r: f"regexp_replace({e}, '{S.b(r[0])}', '{r[1]}', 'g')", R.VOLATILE_TEXT, "text") + " AS name FROM s",

@@ -94,7 +94,7 @@ def u15(spark, sf):
     url = F.col("url")
     entry = F.when(F.col("seq") % 2 == 0, url).otherwise(U.pathname(url))
     return L.resolve_page_list(A.captures(spark, sf).select(entry.alias("entry"), "seq"),
-                               "https://site.example.com/home", 150)
+                               "https://site.example.com/home")
 
 
 def u08(spark, sf):
@@ -167,6 +167,6 @@ ORACLES = {
     "u14_redact_url": f"WITH {_CALLS} SELECT seq, 'https://' || host || pathname || '?' || regexp_replace(qs, "
                       "'api_key=[^&]*', 'api_key=%5BREDACTED%5D') AS safe_url FROM calls",
     "u15_page_list": f"WITH {S.view('captures', A.CAPTURES, 'events')}, u AS (SELECT url, min(seq) AS seq FROM captures"
-                     f" GROUP BY url ORDER BY seq LIMIT 150) SELECT url, {S.page_slug('url')} AS label, 'pages' AS category,"
+                     f" GROUP BY url) SELECT url, {S.page_slug('url')} AS label, 'pages' AS category,"
                      " seq FROM u",
 }

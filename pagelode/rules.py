@@ -30,8 +30,8 @@ GENERIC_HOST_LABELS = [
 ]
 PAGE_PARAMS = ["page", "p", "offset"]
 OFFSET_STEP = 20
-SLUG_MAX = 60
-MAX_SITEMAPS = 8
+SLUG_MAX = None
+MAX_SITEMAPS = None
 
 # --- fixed values: redaction and normalisation ------------------------------
 REDACTED = "[REDACTED]"
@@ -43,7 +43,7 @@ SENSITIVE_NAME = (
     r"(?i)(token|secret|password|passwd|authorization|api[-_]?key|access[_-]?token"
     r"|refresh[_-]?token|client[_-]?secret|session|credential|bearer)"
 )
-REDACT_DEPTH = 12
+REDACT_DEPTH = None
 MIN_SECRET_CHARS = 12
 SECRET_JWT = B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}" + B
 SECRET_BEARER = B + r"((?i:Bearer|token))" + WS + r"+[A-Za-z0-9._~+/=-]{12,}"
@@ -96,12 +96,12 @@ JSON_MIME = r"(?i)(^|/)json|\+json|graphql"
 STREAM_MIME = r"(?i)text/event-stream|application/x-ndjson|application/stream\+json"
 GRAPHQL = r"(?i)graphql"
 GRAPHQL_OPERATION = B + r"(query|mutation|subscription)" + WS + r"+([A-Za-z0-9_]+)"
-MAX_BODY_BYTES = 262144
-SAMPLE_CHARS = 1500
-MAX_EXAMPLES = 5
-MAX_FRAMES = 200
-MAX_FRAME_CHARS = 16384
-MAX_SOCKETS = 40
+MAX_BODY_BYTES = None
+SAMPLE_CHARS = None
+MAX_EXAMPLES = None
+MAX_FRAMES = None
+MAX_FRAME_CHARS = None
+MAX_SOCKETS = None
 VOLATILE_QUERY = r"(?i)^(_$|_t$|ts$|t$|cb$|v$|timestamp|nonce|sig|signature|rand)"
 STATUS_TEXT = {
     "200": "OK", "201": "Created", "202": "Accepted", "204": "No Content",
@@ -122,8 +122,8 @@ ISO_DATE_VALUE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:
 FIXED_DATE = "2024-01-01T00:00:00.000Z"
 FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
-SCHEMA_DEPTH = 8
-SCHEMA_ARRAY_SAMPLE = 20
+SCHEMA_DEPTH = None
+SCHEMA_ARRAY_SAMPLE = None
 SEGMENT_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SEGMENT_HEX = r"(?i)^[0-9a-f]{12,}$"
 SEGMENT_NUMBER = r"^\d+$"
@@ -143,7 +143,7 @@ CHALLENGE_TEXT = {
     "shell": r"(?i)this is embarrassing|we'?re aware of the (issue|problem)|it'?s not you,? it'?s us"
              r"|something went wrong.{0,40}(try again|helpful links)",
 }
-CHALLENGE_CHARS = 4000
+CHALLENGE_CHARS = None
 THIN_ELEMENTS = 60
 THIN_CHARS = 200
 RETRYABLE_ERROR = r"(?i)timeout|timed out|exceeded"
@@ -160,12 +160,12 @@ PARAGRAPH_CLOSERS = [
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
     "main", "nav", "ol", "p", "pre", "section", "table", "ul",
 ]
-MAX_ELEMENTS = 4000
+MAX_ELEMENTS = None
 LISTING_PARENT_TAGS = ["ul", "ol", "div", "section", "main", "tbody"]
 LISTING_PARENT_ROLES = ["list", "grid", "feed"]
 LISTING_MIN_ITEMS = 4
-LISTING_MAX_ROWS = 60
-LISTING_MAX_CHARS = 200
+LISTING_MAX_ROWS = None
+LISTING_MAX_CHARS = None
 # (tier, css selector) of main-content regions, best first.
 CONTENT_SELECTORS = [
     "#readme", "[data-target=readme]", ".markdown-body", ".markdown", "article .prose",
@@ -175,7 +175,7 @@ CONTENT_SELECTORS = [
 CONTENT_STRUCTURE_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "ul", "ol"]
 CONTENT_MIN_CHARS = 120
 CONTENT_STRUCTURE_WEIGHT = 200
-CONTENT_MAX_CHARS = 200000
+CONTENT_MAX_CHARS = None
 
 ENTITY_TYPES = {
     "models": "model", "model": "model", "datasets": "dataset", "dataset": "dataset",
@@ -192,9 +192,9 @@ RELATION_RULES = [
     (["dataset", "datasets", "trainedOn", "trained_on"], "uses-dataset", "dataset"),
 ]
 OWNED_TYPES = ["model", "dataset", "space", "collection", "paper"]
-MAX_ENTITY_FIELDS = 40
-MAX_ENTITY_ITEMS = 500
-MAX_RELATION_ITEMS = 20
+MAX_ENTITY_FIELDS = None
+MAX_ENTITY_ITEMS = None
+MAX_RELATION_ITEMS = None
 
 FONT_EXTS = [".woff2", ".woff", ".ttf", ".otf", ".eot"]
 IMAGE_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".avif", ".bmp"]
@@ -209,10 +209,10 @@ EXT_BY_MEDIA_TYPE = {
     "text/css": ".css", "application/javascript": ".js", "text/javascript": ".js",
     "application/ecmascript": ".js", "application/x-javascript": ".js",
 }
-MAX_ASSET_BYTES = 10485760
-MAX_STYLESHEET_BYTES = 4194304
-MAX_FONT_FACES = 500
-MAX_CSS_VARS = 600
+MAX_ASSET_BYTES = None
+MAX_STYLESHEET_BYTES = None
+MAX_FONT_FACES = None
+MAX_CSS_VARS = None
 
 TOKEN_NOISE = ["transparent", "rgba(0, 0, 0, 0)", "none", "0px", "normal", "auto", ""]
 # category -> (title, ranked cap, css prefix, css cap)
@@ -227,18 +227,18 @@ TOKEN_CATEGORIES = {
     "shadows": ("Shadows", 16, "shadow", 8),
 }
 MONO_FAMILY = r"(?i)mono|consolas|menlo|courier|code"
-MAX_TEXT_COLORS = 12
+MAX_TEXT_COLORS = None
 TYPE_ROLES = ["h1", "h2", "h3", "h4", "h5", "h6", "body", "a", "button", "li", "code"]
-MAX_TYPE_SAMPLES = 12
+MAX_TYPE_SAMPLES = None
 STATE_PROPS = [
     "color", "background-color", "border-color", "border-top-color", "border-bottom-color",
     "box-shadow", "outline", "outline-color", "outline-width", "opacity", "transform",
     "text-decoration-line", "text-decoration", "cursor", "filter",
 ]
-MAX_SURFACES = 60
-MAX_CUSTOM_TAGS = 100
-MAX_REPRESENTATIVES = 12
-MAX_BOXES = 40
+MAX_SURFACES = None
+MAX_CUSTOM_TAGS = None
+MAX_REPRESENTATIVES = None
+MAX_BOXES = None
 BOX_PROPS = [
     "display", "position", "boxSizing", "margin", "padding", "gap", "rowGap", "columnGap",
     "flexDirection", "flexWrap", "justifyContent", "alignItems", "gridTemplateColumns",
@@ -255,15 +255,15 @@ CLICKY_INPUT_TYPES = [
     "checkbox", "radio", "file", "range", "color", "submit", "button", "reset", "image",
 ]
 POPUP_VALUES = ["menu", "listbox", "dialog", "grid", "tree", "true"]
-PER_REGION_QUOTA = 60
-MAX_LABEL = 80
-MAX_OPTIONS = 30
+PER_REGION_QUOTA = None
+MAX_LABEL = None
+MAX_OPTIONS = None
 
 # --- fixed values: trees, actions, tasks ---------------------------------------------
 ROOT_ROLES = ["WebArea", "RootWebArea"]
-MAX_TREE_NODES = 5000
-MAX_TREE_DEPTH = 60
-MAX_DIFF_ITEMS = 200
+MAX_TREE_NODES = None
+MAX_TREE_DEPTH = None
+MAX_DIFF_ITEMS = None
 HARD_DENY = (
     r"(?i)" + B + r"(log\s?out|sign\s?out|logout|signout|delete\s+account|close\s+account"
     r"|deactivate|pay" + B + r"|payment|checkout|place\s+order|buy\s+now|purchase|billing"
@@ -276,20 +276,21 @@ DESTRUCTIVE = (
 )
 SEARCH_FORM = r"(?i)" + B + r"(search|filter|find|query|go)" + B
 OUTCOME_RANK = {"download": 0, "navigation": 1, "modal": 2, "dom-change": 3}
-MAX_BEHAVIORS = 8
-MAX_NETWORK = 50
-MAX_DOWNLOAD_BYTES = 52428800
-MAX_ACTIONS = 500
-MAX_ACTIONS_PER_PAGE = 40
+MAX_BEHAVIORS = None
+MAX_NETWORK = None
+MAX_DOWNLOAD_BYTES = None
+MAX_ACTIONS = None
+MAX_ACTIONS_PER_PAGE = None
 TASK_ROLES = {
     "link": "link", "button": "button", "tab": "tab", "menuitem": "menuitem",
     "searchbox": "textbox", "textbox": "textbox",
 }
-MAX_ROUTE_TASKS = 20
-MAX_COVERAGE_TASKS = 60
-MAX_DATA_ASSERTIONS = 5
-MAX_ENTITY_TASKS = 30
-MAX_LISTING_TASKS = 20
+MAX_ROUTE_TASKS = None
+MAX_COVERAGE_TASKS = None
+MAX_DATA_ASSERTIONS = None
+MAX_ENTITY_TASKS = None
+MAX_LISTING_TASKS = None
+MAX_LISTING_TASK_ROWS = None
 SALIENT_MIN, SALIENT_MAX = 2, 80
 SALIENT_KEYS = [
     "id", "name", "title", "label", "fullName", "displayName", "slug", "author", "modelId",

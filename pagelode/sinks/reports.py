@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import lookup
+from ..functions.core import head, lookup
 from ..functions.redact import redact_map, redact_multimap
 from ..operators import calls as C
 from ..operators.json_tables import redact_json
@@ -54,7 +54,7 @@ def _if(test: Column, *parts) -> Column:
 def catalog_lines(catalog: DataFrame) -> DataFrame:
     """Readable endpoint catalog, the lines of each endpoint in order."""
     def sample(column: str) -> Column:
-        return _if(F.col(column).isNotNull(), F.substring(column, 1, R.SAMPLE_CHARS), F.when(F.length(column) > R.SAMPLE_CHARS, "… (truncated)").otherwise(""))
+        return _if(F.col(column).isNotNull(), head(F.col(column), R.SAMPLE_CHARS), F.lit("") if R.SAMPLE_CHARS is None else F.when(F.length(column) > R.SAMPLE_CHARS, "… (truncated)").otherwise(""))
     some = lambda c: F.col(c) != ""
     return _lines(catalog, ["host", "method", "pathname"], [
         F.concat(F.lit("### "), "method", F.lit(" "), "pathname"), F.concat(F.lit("- Status: "), F.coalesce(F.nullif("statuses", F.lit("")), F.lit("(none)"))),

@@ -28,8 +28,10 @@ def first_per_key(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["body_key"])
 
 
-def capped_frames(frames: DataFrame, cap: int = R.MAX_FRAMES) -> DataFrame:
-    """ST2: frames (stream_key, seq, ts, frame) up to ``cap`` per stream, numbered on from the state.
+def capped_frames(frames: DataFrame, cap: int | None = R.MAX_FRAMES) -> DataFrame:
+    """ST2: frames (stream_key, seq, ts, frame), all or up to ``cap`` per stream, numbered on from the state.
+
+    A micro-batch is taken in order of ``seq``.
 
     State is one counter per stream; a stream silent for a day of event time is forgotten.
     """
@@ -40,9 +42,11 @@ def capped_frames(frames: DataFrame, cap: int = R.MAX_FRAMES) -> DataFrame:
             state.remove()
             return
         taken, newest = state.get[0] if state.exists else 0, state.getCurrentWatermarkMs()
-        for batch in batches:
+        parts = list(batches)
+        if parts:
+            batch = pd.concat(parts).sort_values("seq", kind="stable")
             newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            kept = batch.head(max(cap - taken, 0))
+            kept = batch if cap is None else batch.head(max(cap - taken, 0))
             if len(kept):
                 yield pd.DataFrame({"stream_key": key[0], "frame_no": range(taken + 1, taken + len(kept) + 1), "seq": kept["seq"].to_numpy(),
                                     "frame": kept["frame"].str.slice(0, R.MAX_FRAME_CHARS).to_numpy()})
