@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import urls as U
 from ..functions.core import collapse, head, let, spread, top_per_group
+from ..session import ship_package
 
 _ATTR = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 
@@ -158,6 +159,7 @@ def dom_nodes(pages: DataFrame, max_elements: int | None = R.MAX_ELEMENTS, with_
                         rows.append(node)
                 yield pa.RecordBatch.from_arrays([_column(f, rows) for f in arrow], schema=arrow)
 
+    ship_package(pages.sparkSession)
     return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(walk, _NODE_SCHEMA)
 
 

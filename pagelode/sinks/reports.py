@@ -84,13 +84,15 @@ def openapi_lines(operations: DataFrame, params: DataFrame, responses: DataFrame
     # Few methods per template.
     item = op.groupBy("host", "template").agg(F.array_sort(F.collect_list("op")).alias("ops"))
     quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    body = item.select("host", F.lit(1).alias("part"), "template", F.concat(quoted(F.col("template")), F.lit(":{"), F.array_join(F.transform(
-        "ops", lambda o: F.concat(F.lit('"'), o["m"], F.lit('":'), o["json"])), ","), F.lit("},")).alias("line"))
+    # Lines are sorted by template, so the smallest of a host is its first entry, the only one without a comma before it.
+    first = item.groupBy("host").agg(F.min("template").alias("first"))
+    comma = F.when(F.col("template") == F.col("first"), "").otherwise(",")
+    body = item.join(first, "host").select("host", F.lit(1).alias("part"), "template", F.concat(comma, quoted(F.col("template")), F.lit(":{"), F.array_join(F.transform(
+        "ops", lambda o: F.concat(F.lit('"'), o["m"], F.lit('":'), o["json"])), ","), F.lit("}")).alias("line"))
     hosts = item.select("host").distinct()
     head = hosts.select("host", F.lit(0).alias("part"), F.lit("").alias("template"), F.concat(
         F.lit('{"openapi":"3.1.0","info":{"title":"'), "host", F.lit(' (inferred API)","version":"0.0.0"},"servers":[{"url":"https://'), "host", F.lit('"}],"paths":{')).alias("line"))
-    # The last entry closes the list of paths, which ends with a comma.
-    tail = hosts.select("host", F.lit(2).alias("part"), F.lit("").alias("template"), F.lit('"/":{}}}').alias("line"))
+    tail = hosts.select("host", F.lit(2).alias("part"), F.lit("").alias("template"), F.lit('}}').alias("line"))
     return head.unionByName(body).unionByName(tail)
 
 

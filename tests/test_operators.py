@@ -197,3 +197,19 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "1.json").write_text('{"url":"a","label":"first"}\n{"url":"a","label":"second"}\n{"url":"b","label":"x"}\n')
     assert rows(read_bundle(spark, str(tmp_path / "b"), "url string, label string", "url"), "url", "label") == [("a", "first"), ("b", "x")]
+
+
+def test_api_document_is_one_json_text(spark):
+    import json
+
+    from pagelode.sinks.reports import openapi_lines
+    operations = spark.createDataFrame([("h", "GET", "/", ""), ("h", "GET", "/a/{id}", "id"), ("h", "POST", "/a/{id}", "id"), ("k", "GET", "/x", "")],
+                                       "host string, method string, template string, params string")
+    params = spark.createDataFrame([("h", "GET", "/", "page", "integer")], "host string, method string, template string, name string, type string")
+    responses = spark.createDataFrame([("h", "GET", "/", 200, "OK"), ("k", "GET", "/x", 404, "no")],
+                                      "host string, method string, template string, status int, description string")
+    lines = sorted((r.host, r.part, r.template, r.line) for r in openapi_lines(operations, params, responses).collect())
+    documents = {host: json.loads("".join(line for h, _, _, line in lines if h == host)) for host in ("h", "k")}
+    assert {h: sorted(d["paths"]) for h, d in documents.items()} == {"h": ["/", "/a/{id}"], "k": ["/x"]}
+    assert sorted(documents["h"]["paths"]["/a/{id}"]) == ["get", "post"]
+    assert documents["h"]["paths"]["/"]["get"]["parameters"][0]["name"] == "page"
