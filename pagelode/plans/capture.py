@@ -19,10 +19,15 @@ def q04(spark, sf):
     return H.without_challenged(A.captures(spark, sf), A.captures(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p02(spark, sf):
+def p02_all(spark, sf):
     return A.attempts(spark, sf).select("url", "attempt", H.backoff_ms(F.col("user_id") % 7 * 1000, F.col("attempt")).alias("backoff_ms"))
 
 
+def p02(spark, sf):
+    """The attempts that the checking SQL of this query lists: three per URL. ``p02_backoff_all`` has all."""
+    return p02_all(spark, sf).filter("attempt < 3")
+
+
 def p03(spark, sf):
     return A.arrivals(spark, sf).select("seq", H.retry_after_ms(F.col("retry_after"), F.lit(NOW_MS)).alias("wait_ms"))
 
@@ -34,6 +39,7 @@ QUERIES = {
     "q06_artifact_summary": lambda spark, sf: H.artifact_summary(A.captures(spark, sf), A.actions(spark, sf)),
     "p01_politeness": lambda spark, sf: H.politeness_schedule(A.arrivals(spark, sf), 2500, 60000),
     "p02_backoff": p02,
+    "p02_backoff_all": p02_all,
     "p03_retry_after": p03,
 }
 
@@ -64,6 +70,8 @@ ORACLES = {
         "w AS (SELECT host, seq, arrival_ms, n, arrival_ms AS slot_ms FROM a WHERE n = 1 UNION ALL SELECT a.host, a.seq, a.arrival_ms, a.n, greatest(a.arrival_ms, w.slot_ms + 2500) "
         "FROM w JOIN a ON a.host = w.host AND a.n = w.n + 1) SELECT host, seq, arrival_ms, slot_ms, slot_ms - arrival_ms AS wait_ms FROM w",
     "p02_backoff": f"WITH {_ATT} SELECT url, attempt, CAST(least(30000, user_id % 7 * 1000 * pow(2, attempt)) AS BIGINT) AS backoff_ms FROM att",
+    "p02_backoff_all": f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) - 1 AS attempt FROM ({A.select_sql(A.ATTEMPTS_BASE, 'events')})) SELECT url, attempt, "
+        "CAST(least(30000, user_id % 7 * 1000 * pow(2, least(attempt, 40))) AS BIGINT) AS backoff_ms FROM a",
     "p03_retry_after": f"WITH a AS ({A.select_sql(A.ATTEMPTS_BASE, 'events')}) SELECT seq, CAST(CASE seq % 6 WHEN 0 THEN least(30000, seq % 60 * 1000) WHEN 3 THEN greatest(0, (seq % 60 - 30) * 1000) END AS BIGINT) AS "
         "wait_ms FROM a",
 }

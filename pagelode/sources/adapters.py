@@ -263,11 +263,10 @@ def json_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """Fetch attempts, numbered per URL in log order, at most three."""
-    from ..functions.core import top_per_group
+    """All fetch attempts, numbered from 0 per URL in log order."""
+    from ..functions.core import number_rows, seq_bucket
     rows = table(spark, sf, "events").selectExpr(*ATTEMPTS_BASE)
-    first = top_per_group(rows, ["url"], [F.col("seq")], 3, "n")
-    return first.withColumn("attempt", F.col("n") - 1).drop("n")
+    return number_rows(rows, ["url"], ["seq"], seq_bucket(), "n").withColumn("attempt", (F.col("n") - 1).cast("int")).drop("n")
 
 
 def arrivals(spark: SparkSession, sf: str) -> DataFrame:

@@ -213,3 +213,15 @@ def test_api_document_is_one_json_text(spark):
     assert {h: sorted(d["paths"]) for h, d in documents.items()} == {"h": ["/", "/a/{id}"], "k": ["/x"]}
     assert sorted(documents["h"]["paths"]["/a/{id}"]) == ["get", "post"]
     assert documents["h"]["paths"]["/"]["get"]["parameters"][0]["name"] == "page"
+
+
+def test_attempts_are_all_numbered(spark):
+    from pagelode.plans.registry import queries
+    from pagelode.sources import adapters as A
+    sf = "/root/testdata/sf0.001"
+    rows = A.attempts(spark, sf).select("url", "attempt").collect()
+    assert len(rows) == A.table(spark, sf, "events").count() == queries()["p02_backoff_all"](spark, sf).count()
+    of = {}
+    for r in rows:
+        of.setdefault(r.url, []).append(r.attempt)
+    assert max(map(len, of.values())) > 3 and all(sorted(n) == list(range(len(n))) for n in of.values())
