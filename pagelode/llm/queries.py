@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_roles, fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity, warc
+from . import (alignment, chat_roles, fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity,
+               warc)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +129,11 @@ def op3_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_roles.recover_roles(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -154,6 +160,7 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) A
 
 
 QUERIES: dict[str, Query] = {
+    "op11_token_alignment": op11_token_alignment,
     "op3_chat_roles": op3_chat_roles,
     "pipeline": corpus_pipeline.run,
     "op10_jaccard_join": op10_jaccard_join,
