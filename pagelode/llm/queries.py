@@ -7,9 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (alignment, chat_roles, fm_index, jaccard_join, quality_rules, resampling, schedule, suffix_dedup, token_counts, toxicity,
-               warc)
+from . import (alignment, chat_roles, fm_index, hard_negatives, jaccard_join, quality_rules, resampling, schedule, suffix_dedup,
+               token_counts, toxicity, warc)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +135,34 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                            public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS place,
+         other_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 10
+"""
+
+
 OP10_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -160,6 +189,7 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) A
 
 
 QUERIES: dict[str, Query] = {
+    "op12_hard_negatives": op12_hard_negatives,
     "op11_token_alignment": op11_token_alignment,
     "op3_chat_roles": op3_chat_roles,
     "pipeline": corpus_pipeline.run,
@@ -175,6 +205,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": OP12_SQL,
     "op10_jaccard_join": OP10_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op9_fm_decontamination": OP9_SQL,
