@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, chat_roles, fm_index, hard_negatives, jaccard_join, quality_rules, resampling, schedule, suffix_dedup,
-               token_counts, toxicity, warc)
+from . import (alignment, chat_roles, fm_index, hard_negatives, jaccard_join, language, quality_rules, resampling, schedule,
+               suffix_dedup, token_counts, toxicity, warc)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,10 @@ SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_sco
 """
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -189,6 +193,7 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) A
 
 
 QUERIES: dict[str, Query] = {
+    "op13_language": op13_language,
     "op12_hard_negatives": op12_hard_negatives,
     "op11_token_alignment": op11_token_alignment,
     "op3_chat_roles": op3_chat_roles,
