@@ -441,3 +441,25 @@ def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").selectExpr(*TREE_TEXTS)
+
+
+def capture_run(run: int) -> tuple[list[str], str]:
+    """Columns and filter of the pages as run ``run`` of a site finds them: edits, moves, pages that come and go."""
+    at = f"(page_id + {run}) % 11"
+    edited = f"CASE WHEN {at} = 1 THEN '<p>edit {run}</p>' ELSE '' END" if run else "''"
+    moved = f"CASE WHEN {at} = 3 THEN 'https://moved.example.com/r{run}/' || CAST(page_id AS STRING) ELSE url END" if run else "url"
+    columns = [
+        "page_id", f"{moved} AS url",
+        f"CASE WHEN page_id % 5 = 4 THEN '<html><body><p>Gone</p></body></html>' ELSE html || '<p>Seen 2024-01-0{run + 1}T10:00:00Z, "
+        f"1,{run}23 likes, {run + 2} minutes ago</p>' END || {edited} AS html"]
+    return columns, f"page_id % 13 <> {12 - run}" + (f" AND {at} <> 0" if run else "")
+
+
+def captured(spark: SparkSession, sf: str, run: int) -> DataFrame:
+    columns, kept = capture_run(run)
+    return table(spark, sf, "pages").filter(kept).selectExpr(*columns)
+
+
+def captured_sql(run: int) -> str:
+    columns, kept = capture_run(run)
+    return select_sql(columns, f"pages WHERE {kept}")
