@@ -13,6 +13,7 @@ them in one group, whose size the block's bytes bound.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections import defaultdict
@@ -59,6 +60,11 @@ class Tokenizers:
         self.bytes_a = [self._letters_to_bytes(self.a.id_to_token(i), letters) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        # Ids as written in groups, each with the mark that may follow it.
+        self.written_a, self.written_b = (
+            np.array([f"{i}{mark}" for i in range(n) for mark in marks], object)
+            for n, marks in ((size, ",|"), (len(self.bytes_b), ",;")))
+        self.sizes_a, self.sizes_b = (np.fromiter(map(len, names), np.int64, len(names)) for names in (self.bytes_a, self.bytes_b))
         self.safe = all("▁" not in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
 
     @staticmethod
@@ -77,9 +83,29 @@ class Tokenizers:
             yield SAFE.split(part) if self.safe else [part]
             start = end + 1
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
-        return ids_a, self.b.encode(chunks, num_threads=1)
+    def encode(self, chunks: list[str], batch: int = 10_000) -> tuple[list[list[int]], list[list[int]]]:
+        ids_a, ids_b = [], []
+        for start in range(0, len(chunks), batch):
+            part = chunks[start:start + batch]
+            ids_a += [e.ids for e in self.a.encode_batch([" " + c for c in part], add_special_tokens=False)]
+            ids_b += self.b.encode(part, num_threads=1)
+        return ids_a, ids_b
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the rows, and all their numbers."""
+    ptr = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int64)
+    return ptr, np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(ptr[-1]))
+
+
+def _gives_back(ids: list[list[int]], names: list[bytes], sizes: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each row's tokens are the chunk's."""
+    ptr, flat = _flat(ids)
+    upto = np.concatenate([[0], np.cumsum(sizes[flat])])
+    want = np.fromiter(map(len, whole), np.int64, len(whole))
+    if (np.diff(upto[ptr]) == want).all() and b"".join(map(names.__getitem__, flat.tolist())) == b"".join(whole):
+        return np.ones(len(whole), bool)
+    return np.fromiter((b"".join(map(names.__getitem__, row)) == w for row, w in zip(ids, whole)), bool, len(whole))
 
 
 class Aligned:
@@ -92,45 +118,41 @@ class Aligned:
     def __init__(self, tools: Tokenizers, chunks: list[str]):
         ids_a, ids_b = tools.encode(chunks)
         whole = [(" " + c).encode() for c in chunks]
-        self.good = np.fromiter((b"".join(map(tools.bytes_a.__getitem__, a)) == w == b"".join(map(tools.bytes_b.__getitem__, b))
-                                 for a, b, w in zip(ids_a, ids_b, whole)), bool, len(chunks))
-        ids_a = [a if good else [] for a, good in zip(ids_a, self.good)]
-        ids_b = [b if good else [] for b, good in zip(ids_b, self.good)]
-        self.a_ptr, self.a_id, lengths_a = self._flat(ids_a, tools.bytes_a)
-        self.b_ptr, self.b_id, lengths_b = self._flat(ids_b, tools.bytes_b)
-        a, b = tiles(lengths_a), tiles(lengths_b)
+        self.good = (_gives_back(ids_a, tools.bytes_a, tools.sizes_a, whole)
+                     & _gives_back(ids_b, tools.bytes_b, tools.sizes_b, whole))
+        if not self.good.all():
+            ids_a, ids_b, whole = ([x if good else x[:0] for x, good in zip(row, self.good)] for row in (ids_a, ids_b, whole))
+        self.tools = tools
+        (self.a_ptr, self.a_id), (self.b_ptr, self.b_id) = _flat(ids_a), _flat(ids_b)
+        a, b = tiles(tools.sizes_a[self.a_id]), tiles(tools.sizes_b[self.b_id])
         self.overlap = product(a, transpose(b))
-        common = np.intersect1d(a.indptr[1:], b.indptr[1:], assume_unique=False)
-        self.a_group = np.searchsorted(common, a.indptr[1:])
-        self.b_group = np.searchsorted(common, b.indptr[1:])
-        self.group_a, self.group_b = (transpose(Csr(np.arange(len(of) + 1), of, np.ones(len(of), np.int64), len(common)))
+        # Groups end where both tokenizers end a token; the group of a token is the number of such ends before its own.
+        both = np.zeros(a.columns + 1, bool)
+        both[a.indptr[1:]] = True
+        other = np.zeros(a.columns + 1, bool)
+        other[b.indptr[1:]] = True
+        ended = np.cumsum(both & other)
+        self.a_group, self.b_group = (ended[m.indptr[1:] - 1] for m in (a, b))
+        groups = int(ended[-1])
+        self.group_a, self.group_b = (transpose(Csr(np.arange(len(of) + 1), of, np.ones(len(of), np.int64), groups))
                                       for of in (self.a_group, self.b_group))
-        ends = np.concatenate([[0], np.cumsum([len(w) if good else 0 for w, good in zip(whole, self.good)])]).astype(np.int64)
-        self.group_ptr = np.searchsorted(common, ends, side="right") if len(common) else np.zeros(len(ends), np.int64)
+        self.group_ptr = ended[np.concatenate([[0], np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))])]
         self.link_ptr = self.overlap.indptr[self.a_ptr]
         self.pair = (self.a_id[self.overlap.row_of()] << PAIR_BITS) | self.b_id[self.overlap.indices]
         # One row per token of A: the tokens of B that share its group.
         self.shared_sizes = product_sizes(transpose(self.group_a), self.group_b)
 
-    @staticmethod
-    def _flat(ids: list[list[int]], names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ptr = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-        flat = np.fromiter((i for row in ids for i in row), np.int64, int(ptr[-1]))
-        sizes = np.fromiter(map(len, names), np.int64, len(names))
-        return ptr, flat, sizes[flat]
-
     def shared(self) -> Csr:
         """Shared-group links: the group-incidence product."""
         return product(transpose(self.group_a), self.group_b)
 
     def written_groups(self) -> list[str]:
-        """``a1,a2|b1;a3|b2`` of each chunk."""
-        a, b = list(map(str, self.a_id.tolist())), list(map(str, self.b_id.tolist()))
-        ends_a, ends_b = self.group_a.indptr.tolist(), self.group_b.indptr.tolist()
-        groups = [",".join(a[ends_a[g]:ends_a[g + 1]]) + "|" + ",".join(b[ends_b[g]:ends_b[g + 1]])
-                  for g in range(len(ends_a) - 1)]
-        ptr = self.group_ptr.tolist()
-        return [";".join(groups[ptr[c]:ptr[c + 1]]) for c in range(len(ptr) - 1)]
+        """``a1,a2|b1;a3|b2;`` of each chunk."""
+        last_a, last_b = (np.concatenate([g[1:] != g[:-1], np.ones(min(len(g), 1), bool)]) for g in (self.a_group, self.b_group))
+        pieces = np.concatenate([self.tools.written_a[2 * self.a_id + last_a], self.tools.written_b[2 * self.b_id + last_b]])
+        order = np.argsort(np.concatenate([2 * self.a_group, 2 * self.b_group + 1]), kind="stable")
+        pieces, ptr = pieces[order].tolist(), (self.a_ptr + self.b_ptr).tolist()
+        return ["".join(pieces[a:b]) for a, b in zip(ptr, ptr[1:])]
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -170,7 +192,7 @@ def _block(tools: Tokenizers, texts: list[bytes]) -> dict[str, object]:
     fit = [made.good[d].all() for d in docs]
     docs = [d if ok else d[:0] for d, ok in zip(docs, fit)]
     written = made.written_groups()
-    hashes = [hashlib.sha256(";".join(map(written.__getitem__, d.tolist())).encode()).hexdigest() if len(d) else ""
+    hashes = [hashlib.sha256("".join(map(written.__getitem__, d.tolist()))[:-1].encode()).hexdigest() if len(d) else ""
               for d in docs]
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     ends = np.cumsum([len(d) for d in docs])
