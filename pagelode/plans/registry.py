@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODULES = ["urls", "links", "redaction", "capture", "dom", "styles", "calls",
-           "entities", "trees", "interaction", "tasks", "reports", "streams", "history"]
+           "entities", "trees", "interaction", "tasks", "reports", "streams", "history", "structure"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
