@@ -72,6 +72,25 @@ def normalize_html(html: Column) -> Column:
     return normalize_text(html)
 
 
+def stabilize_text(text: Column) -> Column:
+    """``normalize_text``, and placeholders for counts and relative times; idempotent.
+
+    Opt-in, as plain numbers may be what a page is about: only grouped numbers, short forms such as 1.2k, and numbers before
+    a word of counting are replaced.
+    """
+    text = normalize_text(text)
+    for guard, (pattern, mark) in zip(["(?i)ago", "(?i)in", "(?i)just|yester|moments", ",", "[kKmM]", "(?i)s"], R.VOLATILE_COUNTS, strict=True):
+        text = _guarded(text, guard, pattern, mark)
+    return text
+
+
+def stabilize_html(html: Column) -> Column:
+    """F06 over markup: R09, then counts and relative times between tags; attributes keep their numbers."""
+    html = normalize_html(html)
+    tokens = F.regexp_extract_all(html, F.lit(r"(<[^>]*>|[^<]+|<)"), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("<"), t).otherwise(stabilize_text(t))), "")
+
+
 def label_key(label: Column) -> Column:
     """Label form for dedupe: lower case, digits as ``#``, blanks collapsed."""
     return collapse(F.regexp_replace(F.lower(label), r"\d", "#"))

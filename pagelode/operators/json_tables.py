@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.core import let
-from ..functions.redact import is_sensitive_name, redact_secrets
+from ..functions.redact import is_sensitive_name, redact_secrets, stabilize_text
 
 _NONE = "array<struct<path:string,shape:string,key:string,level:int,open:boolean,masked:boolean,v:variant>>"
 
@@ -107,6 +107,15 @@ def stable_leaves(docs: DataFrame, ids: Sequence[str], source: str = "json") ->
         *ids, "path", F.when(hit, F.lit(R.FIXED_DATE)).otherwise(F.col("value")).alias("value"))
 
 
+def stable_counts(docs: DataFrame, ids: Sequence[str], source: str = "json") -> DataFrame:
+    """``stable_leaves``, and numbers under count-like keys become 0, UUIDs and relative times placeholders."""
+    dated = F.col("key").rlike(R.VOLATILE_BODY_KEY) & F.col("value").rlike(R.ISO_DATE_VALUE)
+    counted = F.col("kind").isin("integer", "number") & F.col("key").rlike(R.COUNT_KEY)
+    value = (F.when(dated, F.lit(R.FIXED_DATE)).when(counted, F.lit("0"))
+             .when(F.col("kind") == "string", stabilize_text(F.col("value"))).otherwise(F.col("value")))
+    return json_leaves(docs, ids, source).select(*ids, "path", value.alias("value"))
+
+
 def infer_schema(docs: DataFrame, ids: Sequence[str], source: str = "json") -> DataFrame:
     """Schema rows of single documents: ids, shape, types."""
     nodes = json_nodes(docs, ids, source, R.SCHEMA_DEPTH, R.SCHEMA_ARRAY_SAMPLE)

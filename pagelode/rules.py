@@ -70,6 +70,16 @@ VOLATILE_TEXT = [
     (B + r"\d{13}" + B, "{{EPOCH}}"),
     (B + r"\d{10}" + B, "{{EPOCH}}"),
 ]
+# Counts and relative times that change while a page stays the same.
+VOLATILE_COUNTS = [
+    (r"(?i)" + B + r"(?:an?|\d+)" + WS + r"+(?:second|minute|hour|day|week|month|year)s?" + WS + r"+ago" + B, "{{RELATIVE_TIME}}"),
+    (r"(?i)" + B + r"in" + WS + r"+(?:an?|\d+)" + WS + r"+(?:second|minute|hour|day|week|month|year)s?" + B, "{{RELATIVE_TIME}}"),
+    (r"(?i)" + B + r"(?:just now|yesterday|moments ago)" + B, "{{RELATIVE_TIME}}"),
+    (B + r"\d{1,3}(?:,\d{3})+" + B, "{{COUNT}}"),
+    (B + r"\d+(?:\.\d+)?[kKmM]" + B, "{{COUNT}}"),
+    (r"(?i)" + B + r"\d+(" + WS + r"+(?:likes|downloads|stars|followers|views|comments|results|items|members))" + B, "{{COUNT}}$1"),
+]
+COUNT_KEY = r"(?i)^(downloads|likes|stars|followers|views|total|count)$|(?i)_count$|Count$"
 # Attributes whose value changes on every response.
 VOLATILE_ATTRS = ["nonce", "integrity"]
 

@@ -463,3 +463,17 @@ def captured(spark: SparkSession, sf: str, run: int) -> DataFrame:
 def captured_sql(run: int) -> str:
     columns, kept = capture_run(run)
     return select_sql(columns, f"pages WHERE {kept}")
+
+
+COUNTED_DOCS = [
+    "event_id AS seq",
+    "'{\"id\":' || CAST(event_id AS STRING) || ',\"downloads\":' || CAST(event_id * 37 % 5000 AS STRING) || ',\"stats\":{\"likes\":' || CAST(user_id AS STRING) ||"
+    " ',\"comment_count\":' || CAST(event_id % 9 AS STRING) || '.5,\"total\":\"many\"},\"size\":' || CAST(event_id % 100 AS STRING) || ',\"seen\":\"' || CASE event_id % 4 WHEN 0"
+    " THEN CAST(event_id % 60 AS STRING) || ' minutes ago' WHEN 1 THEN 'Yesterday' WHEN 2 THEN '1,' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') || ' of 2.5k members'"
+    " ELSE 'pages 3-7' END || '\",\"ref\":\"123e4567-e89b-12d3-a456-' || lpad(CAST(event_id AS STRING), 12, '0') || '\",\"updatedAt\":\"2024-02-03T04:05:06Z\"}' AS json",
+]
+
+
+def counted_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Response bodies with counters, relative times and ids that differ between captures."""
+    return table(spark, sf, "events").selectExpr(*COUNTED_DOCS)
