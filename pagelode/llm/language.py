@@ -3,9 +3,9 @@
 A word's score under a language is the log probability of its character n-grams (1 to 4, with the blanks around a word). The
 path through a text's words that has the best sum of scores, less a penalty for each change of language, gives the spans.
 
-Counts of n-grams and scripts cover all learning rows. The model is a table that grows with the corpus and is never broadcast:
-a block of texts keeps a dictionary of its distinct n-grams, dictionaries are joined with the model, and the texts of a block
-meet their dictionary in one group, whose size the block's bytes bound.
+The model is fitted on a sample of the learning rows that holds about ``fit_chars`` characters per language, drawn by hash, so
+its size has a bound at any size of corpus and it can be sent to every worker; texts are then scored where they lie, without a
+shuffle. (A model of all rows, joined with dictionaries of blocks of texts, was tried first: it shuffled every text.)
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .common import arrow_map, fold, values
+from .common import arrow_map, by_bytes, fold, values
 from .csr import ranges
 
 SIZES = (1, 2, 3, 4)
@@ -103,89 +101,111 @@ def sections(text: str) -> Iterator[tuple[int, str]]:
         start = end
 
 
-class Block:
-    """The words of a block of texts: distinct ones, their n-grams, and each text as a sequence of their numbers.
+class Words:
+    """Distinct words of texts, numbered as they come; a text becomes the sequence of its words' numbers."""
 
-    ``grams`` are the distinct n-grams as 63-bit numbers, the size in the first bits; size 0 stands for scripts. ``gram_word``
-    and ``gram_at`` say which word holds which, once per occurrence.
-    """
+    def __init__(self):
+        self.runs: dict[str, int] = defaultdict()
+        self.runs.default_factory = self.runs.__len__
+        self.numbers: dict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.counts, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __init__(self, texts: list[str]):
-        number: dict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        find = word_pattern().findall
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts one after the other, and the texts' borders in them."""
+        known = len(self.runs)
+        find, number = word_pattern().findall, self.runs.__getitem__
         runs, ends = [], [0]
         for text in texts:
-            found = [np.fromiter(map(number.__getitem__, part), np.int64, len(part))
+            found = [np.fromiter(map(number, part), np.int64, len(part))
                      for part in (find(section) for _, section in sections(text))]
             runs += found
             ends.append(ends[-1] + sum(map(len, found)))
         flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        word_number: dict[str, int] = defaultdict()
-        word_number.default_factory = word_number.__len__
-        cut = [(parts_of(run), run) for run in number]
-        pieces = [word_number[run[a:b].lower()] for parts, run in cut for a, b in parts]
-        counts = np.array([len(parts) for parts, _ in cut], np.int64)
-        first = np.cumsum(counts) - counts
-        width = counts[flat]
+        cut = [(parts_of(run), run) for run in itertools.islice(self.runs, known, None)]
+        self.pieces = np.concatenate([self.pieces, np.array(
+            [self.numbers[run[a:b].lower()] for parts, run in cut for a, b in parts], np.int64)])
+        self.counts = np.concatenate([self.counts, np.array([len(parts) for parts, _ in cut], np.int64)])
+        width = self.counts[flat]
         upto = np.concatenate([[0], np.cumsum(width)])
-        self.words = np.array(pieces, np.int64)[ranges(first[flat], width)] if pieces else np.zeros(0, np.int64)
-        self.ptr = upto[np.array(ends)]
-        self.distinct = list(word_number)
-        self.letters = np.fromiter(map(len, self.distinct), np.int64, len(self.distinct))
-        self._grams()
-
-    def _grams(self) -> None:
-        line = np.frombuffer((" " + " ".join(self.distinct) + " ").encode("utf-32-le"), np.uint32)
-        blank = line == 32
-        word_of = np.cumsum(blank) - 1
-        blanks = np.concatenate([[0], np.cumsum(blank)])
-        rolled, wide = np.zeros(len(line), np.uint64), line.astype(np.uint64)
-        keys, owners = [], []
-        for size in SIZES if self.distinct else ():
-            n = len(line) - size + 1
-            if n <= 0:
-                break
-            rolled = rolled[:n] * _MULTIPLY + wide[size - 1:]
-            inner = blanks[size - 1:size - 1 + n] - blanks[1:n + 1] if size > 1 else blank.astype(int)
-            at = np.flatnonzero(inner == 0)
-            mixed = rolled[at] * _MULTIPLY
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= _MULTIPLY
-            keys.append((mixed >> np.uint64(4)).astype(np.int64) | (size << _SIZE_SHIFT))
-            owners.append(word_of[at])
-        if self.distinct:
-            self.script = _SCRIPT_OF[np.searchsorted(_STARTS, line[np.flatnonzero(blank)[:-1] + 1], side="right") - 1]
-            keys.append(self.script.astype(np.int64))
-            owners.append(np.arange(len(self.distinct)))
-        self.gram_word = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        self.grams, self.gram_at = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
-
-    def learned(self, langs: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """Per language, n-grams and their counts in the texts of that language; None is not learned."""
-        of_text = np.array([lang if lang is not None else "" for lang in langs], object)
-        sizes = np.diff(self.ptr)
-        for lang in sorted({lang for lang in langs if lang is not None}):
-            mine = np.array([x == lang and y is not None for x, y in zip(of_text, langs)])
-            words = np.bincount(self.words[np.repeat(mine, sizes)], minlength=len(self.distinct))
-            counts = np.bincount(self.gram_at, weights=words[self.gram_word], minlength=len(self.grams)).astype(np.int64)
-            yield lang, self.grams[counts > 0], counts[counts > 0]
-
-    def emissions(self, counts: np.ndarray, totals: np.ndarray, distinct: np.ndarray, smooth: float) -> np.ndarray:
-        """Score of each distinct word under each language.
-
-        ``counts`` are those of the block's n-grams, n-grams by languages; ``totals`` sizes by languages.
-        """
-        size = self.grams >> _SIZE_SHIFT
-        log = np.log((counts + smooth) / (totals[size] + smooth * distinct[size][:, None]))
-        log[size == 0] = 0
-        out = np.stack([np.bincount(self.gram_word, weights=log[self.gram_at, k], minlength=len(self.distinct))
-                        for k in range(counts.shape[1])], axis=1) / len(SIZES)
-        # The first n-grams are the scripts, by number.
-        at = np.searchsorted(self.grams, self.script)
-        candidate = counts[at] >= np.maximum(SHARE * totals[0], 1)
-        candidate |= ~candidate.any(axis=1, keepdims=True)
-        return np.where(candidate, out, -1e9)
+        return self.pieces[ranges((np.cumsum(self.counts) - self.counts)[flat], width)], upto[np.array(ends)]
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of words, the word that each is in, and the words' scripts.
+
+    An n-gram is a 63-bit number with its size in the first bits; the blanks around a word belong to it.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    line = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32)
+    blank = line == 32
+    word_of, blanks = np.cumsum(blank) - 1, np.concatenate([[0], np.cumsum(blank)])
+    rolled, wide = np.zeros(len(line), np.uint64), line.astype(np.uint64)
+    keys, owners = [], []
+    for size in SIZES:
+        n = len(line) - size + 1
+        if n <= 0:
+            break
+        rolled = rolled[:n] * _MULTIPLY + wide[size - 1:]
+        inner = blanks[size - 1:size - 1 + n] - blanks[1:n + 1] if size > 1 else blank.astype(int)
+        at = np.flatnonzero(inner == 0)
+        mixed = rolled[at] * _MULTIPLY
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= _MULTIPLY
+        keys.append((mixed >> np.uint64(4)).astype(np.int64) | (size << _SIZE_SHIFT))
+        owners.append(word_of[at])
+    scripts = _SCRIPT_OF[np.searchsorted(_STARTS, line[np.flatnonzero(blank)[:-1] + 1], side="right") - 1]
+    return np.concatenate(keys), np.concatenate(owners), scripts
+
+
+class Model:
+    """Log probabilities of n-grams under each language, and the languages of each script."""
+
+    def __init__(self, languages: list[str], grams: np.ndarray, counts: np.ndarray, smooth: float):
+        """``counts``: n-grams by languages, for the sorted ``grams``; numbers of size 0 are scripts."""
+        self.languages, size = languages, grams >> _SIZE_SHIFT
+        totals = np.stack([counts[size == n].sum(axis=0) for n in (0, *SIZES)])
+        kinds = np.bincount(size, minlength=len(SIZES) + 1)[:, None]
+        self.grams = grams[size > 0]
+        self.log = np.log((counts[size > 0] + smooth) / (totals + smooth * (kinds + 1))[size[size > 0]])
+        self.unseen = np.log(smooth / (totals + smooth * (kinds + 1)))
+        seen = np.zeros((len(_NAMES), len(languages)))
+        seen[grams[size == 0]] = counts[size == 0]
+        self.candidate = seen >= np.maximum(SHARE * totals[0], 1)
+        self.candidate |= ~self.candidate.any(axis=1, keepdims=True)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Score of each word under each language; languages that its script rules out have a very low one."""
+        keys, owner, scripts = word_grams(words)
+        distinct, place = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.grams, distinct), max(len(self.grams) - 1, 0))
+        log = np.where((self.grams[at] == distinct)[:, None], self.log[at], self.unseen[distinct >> _SIZE_SHIFT])
+        out = np.stack([np.bincount(owner, weights=log[place, k], minlength=len(words)) for k in range(log.shape[1])], axis=1)
+        return np.where(self.candidate[scripts], out / len(SIZES), -1e9)
+
+
+class Labeller:
+    """Labels texts; the scores of words seen before are kept up to ``most`` words."""
+
+    def __init__(self, model: Model, penalty: float, most: int = 300_000):
+        self.model, self.penalty, self.most = model, penalty, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.scores = Words(), np.zeros((0, len(self.model.languages)))
+        self.letters = np.zeros(0, np.int64)
+
+    def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language and length of each word, and the texts' borders."""
+        if len(self.letters) > self.most:
+            self._forget()
+        words, ptr = self.words.add(texts)
+        new = list(itertools.islice(self.words.numbers, len(self.letters), None))
+        if new:
+            self.scores = np.concatenate([self.scores, self.model.emissions(new)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int64, len(new))])
+        return viterbi(self.scores, words, ptr, self.penalty), self.letters[words], ptr
 
 
 def viterbi(emission: np.ndarray, words: np.ndarray, ptr: np.ndarray, penalty: float, segment: int = 4096) -> np.ndarray:
@@ -247,126 +267,115 @@ def viterbi(emission: np.ndarray, words: np.ndarray, ptr: np.ndarray, penalty: f
     return labels
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``block_bytes`` of text at a time; a longer text is alone."""
-    for batch in batches:
-        sizes = [len(v) for v in values(batch.column("text"))]
-        start = held = 0
-        for i, size in enumerate(sizes):
-            if held and held + size > block_bytes:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if start < len(sizes):
-            yield batch.slice(start)
+def fit(docs: DataFrame, text: str, lang: str, learn: Column, fit_chars: int, smooth: float) -> Model | None:
+    """The model of a sample of the rows where ``learn`` holds; None if there is nothing to learn.
+
+    Of each language, rows are drawn by hash with the share that gives about ``fit_chars`` characters, and of these, in the
+    order of the hash, rows are taken until that many are reached: the sample is at most one text larger.
+    """
+    rows = (docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+            .select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")))
+    measured = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()
+    if not measured:
+        return None
+    share = {r.lang: min(1.0, 1.2 * fit_chars / max(r.chars, 1)) for r in measured}
+    table = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    place = F.xxhash64("text")
+    drawn = rows.withColumn("place", place).filter(
+        F.pmod("place", F.lit(1 << 30)) < F.try_element_at(table, F.col("lang")) * float(1 << 30))
+    before = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1)
+    taken = drawn.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(
+        F.col("before") < fit_chars).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for code, name in enumerate(sorted(set(batch.column("lang").to_pylist()))):
+                words = Words()
+                mine = [t for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if x == name]
+                flat, _ = words.add(mine)
+                times = np.bincount(flat, minlength=len(words.numbers))
+                keys, owner, scripts = word_grams(list(words.numbers))
+                grams, place = np.unique(np.concatenate([keys, scripts]), return_inverse=True)
+                n = np.bincount(place, weights=times[np.concatenate([owner, np.arange(len(scripts))])], minlength=len(grams))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.int64()),
+                                                  pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+    found = arrow_map(taken, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not found.num_rows:
+        return None
+    languages = sorted(set(found["lang"].to_pylist()))
+    grams, at = np.unique(found["gram"].to_numpy(), return_inverse=True)
+    counts = np.zeros((len(grams), len(languages)))
+    number = {name: i for i, name in enumerate(languages)}
+    counts[at, [number[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
+    return Model(languages, grams, counts, smooth)
 
 
 def _labelled(docs: DataFrame, key: str, text: str, lang: str, held: Column | None, work: Callable, schema: str,
-              penalty: float, smooth: float, block_bytes: int) -> DataFrame:
-    """``work(table, block, labels, languages)`` for each block of texts; ``table`` has ``key, held_out, text``."""
+              penalty: float, smooth: float, fit_chars: int, block_bytes: int) -> DataFrame:
+    """``work(keys, held_out, texts, labels, letters, ptr, languages)`` for each block of texts, as arrays of ``schema``."""
     held_out = fold(F.col(key), 4) == 2 if held is None else held
-    rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(lang).cast("string").alias("lang"),
-                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    model = fit(docs, text, lang, ~F.coalesce(held_out, F.lit(False)), fit_chars, smooth)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        labeller = Labeller(model, penalty) if model else None
+        for batch in batches:
+            texts = values(batch.column("text"))
+            for start, end in by_bytes(texts, block_bytes):
+                part = [t.decode() for t in texts[start:end]]
+                labels, letters, ptr = labeller.label(part) if labeller else (np.zeros(0, np.int64),) * 2 + (
+                    np.zeros(len(part) + 1, np.int64),)
+                own = [batch.column(c).slice(start, end - start) for c in ("key", "held_out")]
+                yield pa.RecordBatch.from_arrays(work(*own, part, labels, letters, ptr, model.languages if model else []), names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(_blocks(batches, block_bytes)):
-            block = Block(batch.column("text").to_pylist())
-            langs = [None if h else x for h, x in zip(batch.column("held_out").to_pylist(), batch.column("lang").to_pylist())]
-            lists = [(None, block.grams, np.zeros(0, np.int64)), *block.learned(langs)]
-            n, m = batch.num_rows, len(lists)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n + m, first + number)),
-                pa.concat_arrays([batch.column("key"), pa.nulls(m, batch.column("key").type)]),
-                pa.concat_arrays([batch.column("held_out"), pa.nulls(m, pa.bool_())]),
-                pa.concat_arrays([batch.column("text").cast(pa.string()), pa.nulls(m, pa.string())]),
-                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([x for x, _, _ in lists], pa.string())]),
-                *[pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array([x[i] for x in lists], pa.list_(pa.int64()))])
-                  for i in (1, 2)]], ["block", "key", "held_out", "text", "lang", "grams", "counts"])
-
-    made = stage(arrow_map(rows, cut, f"block long, key {kind}, held_out boolean, text string, lang string, grams array<bigint>, "
-                                      "counts array<bigint>"), "language")
-    learned = (made.filter(F.col("lang").isNotNull()).select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("e"))
-               .groupBy(F.col("e.grams").alias("gram"), "lang").agg(F.sum("e.counts").alias("n")))
-    learned = stage(learned, "language-model")
-    sums = learned.groupBy("lang", F.shiftright("gram", _SIZE_SHIFT).alias("size")).agg(F.sum("n").alias("n")).collect()
-    kinds = {r.size: r.n for r in learned.groupBy(F.shiftright("gram", _SIZE_SHIFT).alias("size")).agg(
-        F.count_distinct("gram").alias("n")).collect()}
-    languages = sorted({r.lang for r in sums})
-    index = {lang: i for i, lang in enumerate(languages)}
-    totals = np.zeros((len(SIZES) + 1, len(languages)))
-    for r in sums:
-        totals[r.size, index[r.lang]] = r.n
-    distinct = np.array([kinds.get(size, 1) for size in range(len(SIZES) + 1)], float)
-    model = learned.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("found"))
-    entries = (made.filter(F.col("grams").isNotNull() & F.col("lang").isNull())
-               .select(F.col("block").alias("of"), F.explode("grams").alias("gram")).join(model, "gram")
-               .select("of", "gram", F.col("found.lang").alias("langs"), F.col("found.n").alias("ns")))
-
-    def run(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        block = Block(docs["text"].to_pylist())
-        if not languages or not block.distinct:
-            return work(docs, block, np.zeros(len(block.words), np.int64), languages)
-        counts = np.zeros((len(block.grams), len(languages)))
-        lists = entries["langs"].combine_chunks()
-        names = lists.flatten().dictionary_encode()
-        number = np.array([index[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] \
-            if len(names) else np.zeros(0, np.int64)
-        at = np.searchsorted(block.grams, np.repeat(entries["gram"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)))
-        counts[at, number] = entries["ns"].combine_chunks().flatten().to_numpy()
-        scores = block.emissions(counts, totals, distinct, smooth)
-        return work(docs, block, viterbi(scores, block.words, block.ptr, penalty), languages)
-
-    texts = made.filter(F.col("text").isNotNull()).select("block", "key", "held_out", "text")
-    return texts.groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(run, schema.format(kind=kind)).withColumnRenamed(
-        "key", key)
+    return arrow_map(rows, run, schema.format(kind=kind)).withColumnRenamed("key", key)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None,
-             penalty: float = 6.0, smooth: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+             penalty: float = 6.0, smooth: float = 0.5, fit_chars: int = 4 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Per document: ``key, held_out, lang_pred, score``.
 
-    Learned from rows with a language that are not held out (by default crc32 of the key as text, modulo 4, is 2).
-    ``lang_pred`` is the language of most letters of a text by its labelled spans, the first by name among equals; ``score`` is
-    their share. Texts that are null or have no letter get ``und`` and 0, and so does any text if nothing can be learned. The
-    language of a row is no input of its own prediction but through the counts. Rows are independent: null and repeated keys
-    stay as they are; other columns are left out; an empty table gives an empty result. Languages are few: their names and
-    totals come to the driver, one number per language and size of n-gram.
+    Learned from rows with a language that are not held out (by default crc32 of the key as text, modulo 4, is 2), from about
+    ``fit_chars`` characters of each language (see ``fit``); every whole text is labelled. ``lang_pred`` is the language of most
+    letters of a text by its labelled spans, the first by name among equals; ``score`` is their share. Texts that are null or
+    have no letter get ``und`` and 0, and so does any text if nothing can be learned. A row's language is no input of its
+    prediction but through the model. Rows are independent: null and repeated keys stay as they are; other columns are left
+    out; an empty table gives an empty result. Languages are taken to be few: their scores lie side by side.
     """
-    def work(docs: pa.Table, block: Block, labels: np.ndarray, languages: list[str]) -> pa.Table:
-        n, k = docs.num_rows, max(len(languages), 1)
-        text_of = np.repeat(np.arange(n), np.diff(block.ptr))
-        weight = np.bincount(text_of * k + labels, weights=block.letters[block.words], minlength=n * k).reshape(n, k)
+    def work(keys, held, texts, labels, letters, ptr, languages) -> list[pa.Array]:
+        n, k = len(texts), max(len(languages), 1)
+        text_of = np.repeat(np.arange(n), np.diff(ptr))
+        weight = np.bincount(text_of * k + labels, weights=letters, minlength=n * k).reshape(n, k)
         best, total = weight.argmax(axis=1), weight.sum(axis=1)
-        known = (total > 0) & (len(languages) > 0)
-        score = np.where(known, weight[np.arange(n), best] / np.maximum(total, 1), 0.0)
-        named = [languages[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-        return pa.table({"key": docs["key"], "held_out": docs["held_out"], "lang_pred": pa.array(named, pa.string()),
-                         "score": pa.array(score)})
+        score = weight[np.arange(n), best] / np.maximum(total, 1)
+        return [keys, held, pa.array([languages[b] if t else UNKNOWN for b, t in zip(best, total)], pa.string()), pa.array(score)]
 
     return _labelled(docs, key, text, lang, held_out, work, "key {kind}, held_out boolean, lang_pred string, score double",
-                     penalty, smooth, block_bytes)
+                     penalty, smooth, fit_chars, block_bytes)
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None,
-          penalty: float = 6.0, smooth: float = 0.5, block_bytes: int = 1 << 20) -> DataFrame:
+          penalty: float = 6.0, smooth: float = 0.5, fit_chars: int = 4 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """One row per span of one language: ``key, start, end, lang``, in characters of the text from 0, ``end`` not included.
 
     A span goes from its first word's start to its last word's end. Texts without words have none; see ``identify`` for the rest.
     """
-    def work(docs: pa.Table, block: Block, labels: np.ndarray, languages: list[str]) -> pa.Table:
-        keys, out = [], ([], [], [])
-        for i, value in enumerate(docs["text"].to_pylist() if languages else []):
+    def work(keys, held, texts, labels, letters, ptr, languages) -> list[pa.Array]:
+        rows, out = [], ([], [], [])
+        for i, value in enumerate(texts if languages else []):
             places = [(m.start() + a, m.start() + b) for m in word_pattern().finditer(value) for a, b in parts_of(m.group())]
-            mine = labels[block.ptr[i]:block.ptr[i + 1]].tolist()
-            for label, group in itertools.groupby(zip(places, mine), lambda x: x[1]):
+            for label, group in itertools.groupby(zip(places, labels[ptr[i]:ptr[i + 1]].tolist()), lambda x: x[1]):
                 group = [place for place, _ in group]
-                keys.append(i)
+                rows.append(i)
                 for column, x in zip(out, (group[0][0], group[-1][1], languages[label])):
                     column.append(x)
-        return pa.table({"key": docs["key"].take(pa.array(keys, pa.int64())), "start": pa.array(out[0], pa.int64()),
-                         "end": pa.array(out[1], pa.int64()), "lang": pa.array(out[2], pa.string())})
+        return [keys.take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+                pa.array(out[2], pa.string())]
 
     return _labelled(docs, key, text, lang, held_out, work, "key {kind}, start long, end long, lang string", penalty, smooth,
-                     block_bytes)
+                     fit_chars, block_bytes)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelode.llm import language
-from pagelode.llm.language import Block, identify, parts_of, spans, viterbi
+from pagelode.llm.language import Words, identify, parts_of, spans, viterbi, word_grams
 
 WORDS = {
     "de": "der die und nicht mit eine auf werden schon strasse zwischen Wörter",
@@ -40,14 +40,19 @@ def test_viterbi_equals_all_paths(segment):
 
 
 def test_words_and_grams():
-    block = Block(["Ab cd-ab, 12 ½ x_y", "", "ab", "словоword漢字", "naïve é"])
-    names = [block.distinct[w] for w in block.words]
-    assert names == ["ab", "cd", "ab", "x", "y", "ab", "слово", "word", "漢字", "naïve", "é"]
-    assert block.ptr.tolist() == [0, 5, 5, 6, 9, 11]
-    for number, word in enumerate(block.distinct):
+    words = Words()
+    first, ptr = words.add(["Ab cd-ab, 12 ½ x_y", "", "ab", "словоword漢字", "naïve é"])
+    distinct = list(words.numbers)
+    assert [distinct[w] for w in first] == ["ab", "cd", "ab", "x", "y", "ab", "слово", "word", "漢字", "naïve", "é"]
+    assert ptr.tolist() == [0, 5, 5, 6, 9, 11]
+    again, _ = words.add(["new Ab слово"])
+    assert [list(words.numbers)[w] for w in again] == ["new", "ab", "слово"]
+    keys, owner, scripts = word_grams(distinct)
+    for number, word in enumerate(distinct):
         padded = f" {word} "
-        want = 1 + len(word) + sum(max(0, len(padded) - n + 1) for n in (2, 3, 4))
-        assert np.count_nonzero(block.gram_word == number) == want
+        want = len(word) + sum(max(0, len(padded) - n + 1) for n in (2, 3, 4))
+        assert np.count_nonzero(owner == number) == want
+    assert len(set(scripts.tolist())) == 3
     assert parts_of("a" * 70) == [(0, 32), (32, 64), (64, 70)] and parts_of("½") == []
 
 
@@ -91,4 +96,15 @@ def test_sections_join_to_the_text(monkeypatch):
     monkeypatch.setattr(language, "SECTION", 10)
     text = "one two  three verylongwordwithoutablank \n four " * 5
     assert "".join(part for _, part in language.sections(text)) == text
-    assert [Block([text]).distinct[w] for w in Block([text]).words] == text.split()
+    words = Words()
+    found, _ = words.add([text])
+    assert [list(words.numbers)[w] for w in found] == text.split()
+
+
+def test_sample_has_a_bound(spark):
+    docs = spark.createDataFrame(corpus() * 3, "doc_id long, text string, lang string")
+    got = identify(docs, fit_chars=400).collect()
+    right = {i: lang for i, _, lang in corpus()}
+    assert sum(r.lang_pred == right[r.doc_id] for r in got) > 0.9 * len(got)
+    model = language.fit(docs, "text", "lang", F.lit(True), 400, 0.5)
+    assert model.languages == ["de", "en", "ru"] and len(model.grams) < 2000
