@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,22 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         labels = stage(lowered.join(jump, "label").select("id", "old", F.col("further").alias("label")), "labels")
         if labels.filter("old <> label").isEmpty():
             return labels.select("id", "label")
+
+
+def bucket_links(members: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``a, b`` between members of the same buckets, without all pairs: ``members`` are ``band, key, id``.
+
+    Each bucket compares its members with one of them, drawn by hash and differently in each band, so a bucket of any size
+    makes one pair per member. Those unlike it go into another round among themselves, until none is left.
+    ``alike`` gets pairs ``a, b`` and returns them with a boolean column ``alike``.
+    """
+    members, links = stage(members.select("band", "key", "id"), "buckets"), None
+    while True:
+        middle = members.groupBy("band", "key").agg(F.min_by("id", F.xxhash64("band", "id")).alias("b"))
+        pairs = members.withColumnRenamed("id", "a").join(middle, ["band", "key"]).filter("a <> b")
+        judged = stage(alike(pairs.select("a", "b").distinct()).select("a", "b", "alike"), "judged")
+        found = judged.filter("alike").select("a", "b")
+        links = found if links is None else links.union(found)
+        members = stage(pairs.join(judged.filter("not alike"), ["a", "b"]).select("band", "key", F.col("a").alias("id")), "buckets")
+        if members.isEmpty():
+            return links

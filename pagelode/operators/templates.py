@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.graph import components
+from ..functions.graph import bucket_links, components
 from ..session import stage
 from .dom import role
 
@@ -23,23 +23,6 @@ def skeletons(nodes: DataFrame) -> DataFrame:
         F.min("url").alias("url"), F.array_sort(F.collect_set("path")).alias("shingles"))
 
 
-def _stars(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of each bucket's members to one of them, and the members that are not like it.
-
-    The middle of a bucket is drawn by hash, differently in each band. A bucket of any size makes one pair per member.
-    """
-    middle = members.groupBy("band", "key").agg(F.min_by("set_id", F.xxhash64("band", "set_id")).alias("center"))
-    pairs = members.join(middle, ["band", "key"]).filter("set_id <> center")
-    tried = pairs.select("set_id", "center").distinct()
-    mine = sets.select("set_id", "shingles")
-    theirs = sets.select(F.col("set_id").alias("center"), F.col("shingles").alias("others"))
-    common = F.size(F.array_intersect("shingles", "others"))
-    judged = stage(tried.join(mine, "set_id").join(theirs, "center").select(
-        "set_id", "center", (100 * common >= percent * (F.size("shingles") + F.size("others") - common)).alias("alike")), "judged")
-    left = pairs.join(judged.filter("not alike"), ["set_id", "center"]).select("band", "key", "set_id")
-    return judged.filter("alike").select(F.col("set_id").alias("a"), F.col("center").alias("b")), left
-
-
 def template_clusters(pages: DataFrame, percent: int = 80) -> DataFrame:
     """Template of each page: ``page_id, url, template_id, shingles`` (their number), from ``skeletons``.
 
@@ -53,16 +36,17 @@ def template_clusters(pages: DataFrame, percent: int = 80) -> DataFrame:
     sets = stage(named.groupBy("digest").agg(F.min("page_id").alias("set_id"), F.first("shingles").alias("shingles")), "skeletons")
     lowest = sets.select("set_id", F.explode("shingles").alias("s")).groupBy("set_id").agg(
         *[F.min(F.xxhash64(F.lit(i), "s")).alias(f"h{i}") for i in range(BANDS * ROWS)])
-    members = lowest.select("set_id", F.inline(F.array(*[
+    members = lowest.select(F.col("set_id").alias("id"), F.inline(F.array(*[
         F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"h{b * ROWS + r}" for r in range(ROWS)]).alias("key")) for b in range(BANDS)])))
-    members, links = stage(members, "bands"), None
-    while True:
-        found, left = _stars(members, sets, percent)
-        links = found if links is None else links.union(found)
-        members = stage(left, "bands")
-        if members.isEmpty():
-            break
-    labels = components(sets.select(F.col("set_id").alias("id")), links).withColumnRenamed("id", "set_id")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        mine = sets.select(F.col("set_id").alias("a"), "shingles")
+        theirs = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("others"))
+        common = F.size(F.array_intersect("shingles", "others"))
+        return pairs.join(mine, "a").join(theirs, "b").select(
+            "a", "b", (100 * common >= percent * (F.size("shingles") + F.size("others") - common)).alias("alike"))
+
+    labels = components(sets.select(F.col("set_id").alias("id")), bucket_links(members, alike)).withColumnRenamed("id", "set_id")
     of_digest = sets.join(labels, "set_id").select("digest", F.col("label").alias("template_id"))
     return named.join(of_digest, "digest").select("page_id", "url", "template_id", F.size("shingles").alias("shingles"))
 

@@ -1,11 +1,18 @@
-"""Queries over the structure of many pages: templates and components."""
+"""Queries over the structure of many pages: templates, components, capture quality."""
 
 from __future__ import annotations
 
+from .. import rules as R
 from ..operators import components as K
+from ..operators import dom as D
+from ..operators import quality as Q
 from ..operators import templates as T
+from ..sources import adapters as A
 from . import domsql as M
+from . import sqltext as S
 from .dom import DOM, _SIG, nodes
+from .history import _COUNTS, _TEXT, _normal
+from .redaction import _NORMAL
 
 #: Levels of markup that the checking SQL unrolls; deeper test pages would differ.
 LEVELS = 20
@@ -20,7 +27,14 @@ def f04_pages(spark, sf):
     return K.component_pages(elements, K.component_inventory(elements))
 
 
+def f05(spark, sf):
+    pages = A.captured(spark, sf, 1)
+    return Q.capture_quality(pages, D.dom_nodes(pages, with_text=False))
+
+
 QUERIES = {
+    "f05_capture_quality": f05,
+    "f05_soft_404": lambda spark, sf: Q.soft_404(A.captured(spark, sf, 1)),
     "f03_template_pages": f03,
     "f03_templates": lambda spark, sf: T.templates(f03(spark, sf)),
     "f04_components": lambda spark, sf: K.component_inventory(nodes(spark, sf, with_text=False)),
@@ -56,7 +70,18 @@ _INVENTORY = DOM + _levels() + (
     "min({'a': page_id, 'b': pos}) AS f, count(up) = count(*) AND min(up) = max(up) AS part FROM oc GROUP BY h), iv AS (SELECT component, family, "
     "count(*) OVER (PARTITION BY family) AS variants, signature, size, pages, instances, f.a AS page_id, f.b AS pos FROM fm WHERE pages >= 2 AND NOT part)")
 
+_QUALITY = ("WITH " + M.dom(A.captured_sql(1)) + f", tx AS (SELECT page_id, url, {S.host('url')} AS host, {M.collapse("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, "
+            f"{_normal(_TEXT, _NORMAL + _COUNTS)} AS text FROM pg), cp AS (SELECT *, count(*) OVER (PARTITION BY host, text) AS copies, count(*) OVER (PARTITION BY host) AS host_pages, "
+            "length(regexp_replace(text, '\\s', '', 'g')) AS chars FROM tx), bd AS (SELECT page_id, count(*) AS elements, bool_or(coalesce(landmark = 'main', false)) AS has_main FROM el GROUP BY "
+            f"page_id), fi AS (SELECT cp.*, coalesce(elements, 0) AS elements, list_filter([CASE WHEN chars < {R.BLANK_CHARS} THEN 'blank' END, CASE WHEN coalesce(elements, 0) < "
+            f"{R.THIN_ELEMENTS} AND chars < {R.THIN_CHARS} THEN 'thin' END, CASE WHEN NOT coalesce(has_main, false) THEN 'no_landmark' END, CASE WHEN regexp_matches(title, "
+            f"'{S.b(R.NOT_FOUND_TEXT)}') OR (length(text) < {R.THIN_CHARS} AND regexp_matches(text, '{S.b(R.NOT_FOUND_TEXT)}')) THEN 'not_found' END, CASE WHEN copies >= "
+            f"{Q.STOCK_PAGES} AND copies >= {Q.STOCK_SHARE} * host_pages THEN 'copy' END], lambda x: x IS NOT NULL) AS f FROM cp LEFT JOIN bd USING (page_id)), weights AS (SELECT map {{"
+            + ", ".join(f"'{k}': {round(100 * v)}" for k, v in Q.FINDINGS.items()) + "} AS w)")
+
 ORACLES = {
+    "f05_capture_quality": _QUALITY + " SELECT page_id, url, chars, elements, copies, host_pages, greatest(100 - coalesce(list_sum(list_transform(f, lambda x: w[x])), 0), 0) / 100.0 AS score, "
+                                      "array_to_string(f, ', ') AS findings FROM fi, weights",
     "f03_template_pages": _SKELETONS + " SELECT * FROM cl",
     "f03_templates": _SKELETONS + " SELECT template_id, count(*) AS pages, arg_min(url, page_id) AS url, min(shingles) AS least, max(shingles) AS most "
                                   "FROM cl GROUP BY template_id",

@@ -153,6 +153,8 @@ CHALLENGE_TEXT = {
     "shell": r"(?i)this is embarrassing|we'?re aware of the (issue|problem)|it'?s not you,? it'?s us"
              r"|something went wrong.{0,40}(try again|helpful links)",
 }
+NOT_FOUND_TEXT = r"(?i)" + B + r"(?:404|not found|does not exist|no longer available|page gone|gone)" + B
+BLANK_CHARS = 20
 CHALLENGE_CHARS = None
 THIN_ELEMENTS = 60
 THIN_CHARS = 200
