@@ -92,8 +92,11 @@ def listing_records(rows: DataFrame) -> DataFrame:
 _LINKS = "array<struct<rel:string,dst_type:string,dst_id:string,dst:variant>>"
 
 
-def relations(records: DataFrame) -> DataFrame:
-    """All links of records, repeats included: src type and id, rel, dst type and id, dst record."""
+def relations(records: DataFrame, owners_of_ids: bool = True) -> DataFrame:
+    """All links of records, repeats included: src type and id, rel, dst type and id, dst record.
+
+    With ``owners_of_ids``, an id ``owner/name`` of an owned type links to its owner as well.
+    """
     def usable(x: Column) -> Column:
         kind = F.schema_of_variant(x)
         return F.when(kind == "STRING", F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit(""))).when(
@@ -114,7 +117,7 @@ def relations(records: DataFrame) -> DataFrame:
     owner = F.when(F.col("type").isin(*R.OWNED_TYPES) & (F.size(parts) >= 2), F.array(F.struct(
         F.lit("author").alias("rel"), F.lit("user").alias("dst_type"), F.try_element_at(parts, F.lit(-2)).alias("dst_id"),
         F.lit(None).cast("variant").alias("dst")))).otherwise(F.array().cast(_LINKS))
-    return records.select("type", "id", "seq", "place", F.inline(F.concat(by_rule, owner)))
+    return records.select("type", "id", "seq", "place", F.inline(F.concat(by_rule, owner) if owners_of_ids else by_rule))
 
 
 def relation_edges(records: DataFrame) -> DataFrame:

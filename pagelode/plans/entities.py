@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators import entities as E
+from ..operators import owners as O
 from ..sources import adapters as A
 from . import sqltext as S
 
@@ -23,7 +24,13 @@ def _listing(spark, sf):
     return E.listing_records(A.listing_rows(spark, sf))
 
 
+def f07(spark, sf):
+    docs = E.document_records(A.entity_docs(spark, sf).select("path", "seq", "url", "json").unionByName(A.owner_docs(spark, sf)))
+    return O.evidenced_owners(docs, _listing(spark, sf))
+
+
 QUERIES = {
+    "f07_evidenced_owners": f07,
     "e06_path_entity": e06,
     "e07_entities": lambda spark, sf: E.entities(_records(spark, sf)),
     "e07_entity_fields": lambda spark, sf: E.entity_fields(_records(spark, sf)),
@@ -44,7 +51,16 @@ _LIST = ("l AS (" + A.select_sql(A.LISTING_ROWS, "customer") + "), r AS (SELECT
          "regexp_extract(href, 'datasets/(.*)$', 1) WHEN starts_with(href, '/') THEN substr(href, 2) ELSE regexp_extract(href, 'com/(.*)$', 1) END AS id, href AS url, seq, row_no, "
          "author FROM l)")
 
+_OWNERS = (f"WITH {_EDGE}, {_LIST}, o AS (" + A.select_sql(A.OWNER_ROWS, "customer WHERE c_custkey % 3 <> 0 OR c_nationkey < 12") + "), ids AS (SELECT type, id FROM rec UNION SELECT 'model', id FROM o "
+           "WHERE kind = 'models'), ca AS (SELECT DISTINCT type, id, string_split(id, '/')[-2] AS owner FROM ids WHERE contains(id, '/') AND split_part(id, '/', 1) <> 'docs'), ev AS (SELECT lower(di) AS "
+           "name, 'named' AS kind, type || '/' || id AS source, seq FROM links WHERE di IS NOT NULL AND (rel = 'in-org' OR (rel = 'author' AND di IS DISTINCT FROM split_part(id, '/', 1))) UNION ALL SELECT lower(author), "
+           "'named', 'model/' || id, seq FROM r UNION ALL SELECT lower(author), 'named', 'model/' || id, seq FROM o WHERE kind = 'models' AND author IS NOT NULL UNION ALL SELECT id, 'record', 'user/' || id, seq FROM o WHERE kind = "
+           "'users'), ps AS (SELECT name, kind, source, min(seq) AS seq FROM ev GROUP BY 1, 2, 3), fo AS (SELECT name, count(*) FILTER (kind = 'named') AS sources, count(*) FILTER (kind = 'record') AS records, arg_min(source, "
+           "{'a': seq, 'b': source}) AS first_source FROM ps GROUP BY 1), jo AS (SELECT ca.*, coalesce(sources, 0) AS sources, coalesce(records, 0) AS records, first_source FROM ca LEFT JOIN fo ON name = lower(owner)), sc AS "
+           "(SELECT *, CASE WHEN records > 0 THEN 3 ELSE 0 END + sources AS p FROM jo) ")
+
 ORACLES = {
+    "f07_evidenced_owners": _OWNERS + "SELECT type, id, owner, sources, records, floor(p / (p + 1.0) * 1000 + 0.5) / 1000.0 AS score, first_source, p > 0 AS linked FROM sc",
     "e06_path_entity": f"WITH {_DOCS}, {S.view('calls', A.CALLS, 'events')}, p AS (SELECT path FROM docs UNION SELECT pathname FROM calls), s AS (SELECT path, list_filter(string_split(path, '/'), "
         f"lambda x: x <> '' AND x <> 'api') AS g, {_TYPES} AS m FROM p), k AS (SELECT path, g, m, list_filter(generate_series(1, len(g)), lambda i: m[lower(g[i])] IS NOT NULL)[1] AS i FROM s) SELECT path, m[lower(g[i])] "
         "AS type, CASE WHEN m[lower(g[i + 1])] IS NULL THEN g[i + 1] END AS id FROM k",

@@ -203,6 +203,8 @@ RELATION_RULES = [
     (["org", "organization", "namespace"], "in-org", "org"),
     (["dataset", "datasets", "trainedOn", "trained_on"], "uses-dataset", "dataset"),
 ]
+# First words of paths that lead to parts of a site and not to what an owner has.
+SECTION_WORDS = ["docs", "blog", "api", "index", "main", "tree", "blob", "resolve", "static"]
 OWNED_TYPES = ["model", "dataset", "space", "collection", "paper"]
 MAX_ENTITY_FIELDS = None
 MAX_ENTITY_ITEMS = None

@@ -434,6 +434,21 @@ TREE_TEXTS = [
 ]
 
 
+OWNER_ROWS = [
+    "CASE c_custkey % 3 WHEN 0 THEN 'users' ELSE 'models' END AS kind", "c_custkey + 10000000 AS seq",
+    "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'docs/page' || CAST(c_custkey AS STRING) ELSE 'own' ||"
+    " CAST(c_nationkey AS STRING) || '/m' || CAST(c_custkey AS STRING) END AS id",
+    "CASE WHEN c_custkey % 6 = 2 THEN 'OWN' || CAST(c_nationkey AS STRING) END AS author",
+]
+
+
+def owner_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of users, of sections, and of models whose owners are named by some and not by others."""
+    rows = table(spark, sf, "customer").filter("c_custkey % 3 <> 0 OR c_nationkey < 12").selectExpr(*OWNER_ROWS)
+    return rows.select(F.concat(F.lit("/api/"), "kind", F.lit("/x")).alias("path"), "seq", F.lit(None).cast("string").alias("url"),
+                       F.to_json(F.struct("id", "author")).alias("json"))
+
+
 def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").selectExpr(*LISTING_ROWS)
     return rows.withColumn("fields", F.create_map(F.lit("title"), "title", F.lit("author"), "author")).drop("title", "author")
