@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import urls as U
 from ..functions.core import collapse, head, let, spread, top_per_group
-from ..session import ship_package
+from ..session import ship_package, stage
 
 _ATTR = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 
@@ -253,44 +253,84 @@ def auth_states(nodes: DataFrame) -> DataFrame:
 # --- repeated groups and regions -------------------------------------------------------------------
 
 
-def selectors(nodes: DataFrame) -> DataFrame:
-    """Selector per element: unique id, unique test id, else a chain of nth-of-type steps.
+_TEST_ATTRS = ("data-testid", "data-test", "data-cy")
 
-    The counts are per page and name, so each window holds the equal elements of one page.
+
+def _quoted(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def unique_selectors(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """The shortest selector of each wanted element: ``page_id, pos, tag, selector``.
+
+    In this order: its id, each test attribute (both only if no other element of the page has the same), and else a chain of
+    ``tag:nth-of-type(n)`` steps from the element upwards, which ends as soon as no other element of the page ends in the same
+    steps, at an ancestor with an id of its own (written as ``#id``), or at the body.
+
+    Elements are stored once without their text, so the page walk runs once. Every chain is counted under a hash of its steps;
+    a chain counted once names its element, so no element is compared with another, and the smallest length wins.
+    """
+    ident = attr("id")
+    names = F.filter(F.array(
+        F.struct(F.lit(0).alias("rank"), F.when(ident.rlike(r"^[A-Za-z][\w-]*$"), F.concat(F.lit("#"), ident)).alias("css")),
+        *[F.struct(F.lit(i).alias("rank"), F.when(attr(name) != "", F.concat(F.lit(f'[{name}="'), _quoted(attr(name)), F.lit('"]'))).alias("css"))
+          for i, name in enumerate(_TEST_ATTRS, 1)]), lambda n: n["css"].isNotNull())
+    slim = stage(nodes.select("page_id", "pos", "tag", "parent_pos", F.transform("ancestors", lambda a: a["pos"]).alias("above"),
+                              names.alias("names"), wanted.alias("wanted")), "elements")
+    own = slim.select("page_id", "pos", F.inline("names")).groupBy("page_id", "css").agg(
+        F.count("*").alias("n"), F.min("pos").alias("pos"), F.min("rank").alias("rank")).filter("n = 1")
+    own = own.groupBy("page_id", "pos").agg(F.min_by("css", "rank").alias("named"), F.min(F.when(F.col("rank") == 0, F.col("css"))).alias("anchor"))
+    nth = F.row_number().over(Window.partitionBy("page_id", "parent_pos", "tag").orderBy("pos"))
+    placed = stage(slim.withColumn("nth", nth).filter("tag <> 'html'").join(own, ["page_id", "pos"], "left").select(
+        "page_id", "pos", "tag", "wanted", "above", "named", "anchor", F.concat("tag", F.lit(":nth-of-type("), "nth", F.lit(")")).alias("step")), "steps")
+    # Nearest first, so that a chain of any length is the head of the list.
+    spots = placed.select("page_id", F.col("pos").alias("of"), F.posexplode(F.reverse(F.concat("above", F.array("pos")))).alias("at", "pos"))
+    steps = placed.select("page_id", "pos", "step", F.struct("anchor", (F.col("tag") == "body").alias("body")).alias("stop"))
+    chains = spots.join(steps, ["page_id", "pos"]).groupBy("page_id", F.col("of").alias("pos")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "step", "stop"))).alias("up"))
+    chains = stage(chains, "chains")
+    heads = chains.select("page_id", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("up")), lambda n: F.struct(
+        n.alias("n"), F.xxhash64(n, F.array_join(F.transform(F.slice("up", F.lit(1), n), lambda u: u["step"]), ">")).alias("h")))).alias("head"))
+    single = heads.groupBy("page_id", "head.h").agg(
+        F.count("*").alias("times"), F.min("pos").alias("pos"), F.min("head.n").alias("n")).filter("times = 1")
+    shortest = single.groupBy("page_id", "pos").agg(F.min("n").alias("shortest"))
+
+    def first_where(test) -> Column:
+        """1-based place of the first step from the parent on that passes."""
+        return F.array_min(F.transform(F.filter("up", lambda u: test(u) & (u["at"] > 0)), lambda u: u["at"] + 1))
+    asked = placed.filter("wanted").select("page_id", "pos", "tag", "named")
+    told = asked.join(chains, ["page_id", "pos"]).join(shortest, ["page_id", "pos"], "left")
+    told = told.withColumns({"anchored": first_where(lambda u: u["stop"]["anchor"].isNotNull()), "whole": F.coalesce(F.array_min(
+        F.transform(F.filter("up", lambda u: u["stop"]["body"]), lambda u: u["at"] + 1)), F.size("up"))})
+    told = told.withColumn("ends", F.least("shortest", "anchored", "whole"))
+    written = F.transform(F.slice("up", F.lit(1), F.col("ends")), lambda u: F.when(
+        u["at"] + 1 == F.col("anchored"), u["stop"]["anchor"]).otherwise(u["step"]))
+    return told.select("page_id", "pos", "tag", F.coalesce("named", F.array_join(F.reverse(written), ">")).alias("selector"))
+
+
+def container_selectors(nodes: DataFrame) -> DataFrame:
+    """What the parents of dominant groups are called: ``page_id, pos, selector``.
+
+    A unique id, else ``tag[role=...]`` if it is unique, else ``tag.class`` with the first class if at most three elements
+    have it, else the tag.
     """
-    ident, test = attr("id"), F.coalesce(attr("data-testid"), attr("data-test"), attr("data-cy"))
-    test_name = (F.when(attr("data-testid").isNotNull(), "data-testid").when(attr("data-test").isNotNull(), "data-test")
-                 .otherwise("data-cy"))
-    counted = nodes.withColumns({
-        "_id": F.when(ident.rlike(r"^[A-Za-z][\w-]*$"), ident), "_test": F.nullif(test, F.lit("")), "_test_name": test_name,
-        "nth": F.row_number().over(Window.partitionBy("page_id", "parent_pos", "tag").orderBy("pos"))}).withColumns({
-        "_ids": F.count("_id").over(Window.partitionBy("page_id", "_id")),
-        "_tests": F.count("_test").over(Window.partitionBy("page_id", "_test_name", "_test"))})
-    return counted.withColumn("selector", F.when(F.col("_id").isNotNull() & (F.col("_ids") == 1), F.concat(F.lit("#"), "_id"))
-                              .when(F.col("_test").isNotNull() & (F.col("_tests") == 1), F.concat(
-                                  F.lit("["), "_test_name", F.lit('="'), "_test", F.lit('"]')))).drop(
-        "_id", "_test", "_test_name", "_ids", "_tests")
-
-
-def with_selector_chain(nodes: DataFrame, wanted: Column) -> DataFrame:
-    """Selectors of the wanted elements; steps climb to the next unique id or the body."""
-    named = selectors(nodes)
-    steps = named.select("page_id", F.col("pos").alias("a_pos"), F.col("tag").alias("a_tag"), F.col("nth").alias("a_nth"),
-                         F.col("depth").alias("a_depth"),
-                         F.when(F.col("selector").startswith("#"), F.col("selector")).alias("anchor"))
-    mine = named.filter(wanted)
-    places = F.concat(F.transform("ancestors", lambda a: a["pos"]), F.array("pos"))
-    chain = mine.filter("selector is null").select("page_id", "pos", F.explode(places).alias("a_pos")).join(
-        steps, ["page_id", "a_pos"]).filter("a_tag <> 'html'")
-    parts = chain.groupBy("page_id", "pos").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("a_depth")).alias("d"), F.concat("a_tag", F.lit(":nth-of-type("), "a_nth", F.lit(")")).alias("step"), "anchor", "a_tag"))
-    ).alias("up"))
-    # Nearest first; stop at the first anchored ancestor or the body.
-    stop = F.array_min(F.transform(F.filter(F.transform("up", lambda x, i: F.struct(
-        i.alias("i"), (x["anchor"].isNotNull() | (x["a_tag"] == "body")).alias("s"))), lambda x: x["s"]), lambda x: x["i"]))
-    path = parts.select("page_id", "pos", F.array_join(F.reverse(F.transform(F.slice(
-        "up", F.lit(1), F.coalesce(stop, F.size("up") - 1) + 1), lambda x: F.coalesce(x["anchor"], x["step"]))), ">").alias("chain"))
-    return mine.join(path, ["page_id", "pos"], "left").withColumn("selector", F.coalesce("selector", "chain")).drop("chain")
+    first = F.get(classes(), F.lit(0))
+    role_of, ident = F.nullif(attr("role"), F.lit("")), attr("id")
+    names = F.filter(F.array(
+        F.struct(F.lit(0).alias("rank"), F.lit(1).alias("most"), F.when(ident.rlike(r"^[A-Za-z][\w-]*$"), F.concat(F.lit("#"), ident)).alias("css")),
+        F.struct(F.lit(1).alias("rank"), F.lit(1).alias("most"), F.concat("tag", F.lit('[role="'), role_of, F.lit('"]')).alias("css")),
+        F.struct(F.lit(2).alias("rank"), F.lit(3).alias("most"), F.concat("tag", F.lit("."), F.regexp_replace(
+            first, r"([^\w-])", r"\\$1")).alias("css"))), lambda n: n["css"].isNotNull())
+    # Every class of an element counts for how often a class selector matches.
+    matched = F.concat(F.transform(F.filter(names, lambda n: n["rank"] < 2), lambda n: n["css"]), F.transform(F.array_distinct(classes()), lambda c: F.concat(
+        "tag", F.lit("."), F.regexp_replace(c, r"([^\w-])", r"\\$1"))))
+    slim = stage(nodes.select("page_id", "pos", "parent_pos", "tag", "attrs", names.alias("names"), matched.alias("matched")), "elements")
+    groups = dominant_groups(slim).select("page_id", F.col("parent_pos").alias("pos"))
+    counts = slim.select("page_id", F.explode("matched").alias("css")).groupBy("page_id", "css").agg(F.count("*").alias("n"))
+    parents = slim.join(groups, ["page_id", "pos"])
+    usable = parents.select("page_id", "pos", F.inline("names")).join(counts, ["page_id", "css"]).filter(F.col("n") <= F.col("most"))
+    best = usable.groupBy("page_id", "pos").agg(F.min_by("css", "rank").alias("css"))
+    return parents.join(best, ["page_id", "pos"], "left").select("page_id", "pos", F.coalesce("css", "tag").alias("selector"))
 
 
 def child_signature() -> Column:

@@ -66,7 +66,8 @@ QUERIES = {
     "e18_representatives": lambda spark, sf: C.representatives(nodes(spark, sf)),
     "e21_controls": e21,
     "e21_option_labels": lambda spark, sf: C.option_labels(nodes(spark, sf)),
-    "e22_selectors": lambda spark, sf: C.control_selectors(nodes(spark, sf)),
+    "e22_selectors": lambda spark, sf: C.control_selectors(nodes(spark, sf, with_text=False)),
+    "e22_containers": lambda spark, sf: D.container_selectors(nodes(spark, sf, with_text=False)),
     "e23_item_growth": e23,
     "i04_state_signature": lambda spark, sf: C.state_signatures(nodes(spark, sf)),
     "i05_transient_state": lambda spark, sf: C.transient_states(nodes(spark, sf, with_text=False)),
@@ -161,12 +162,20 @@ ORACLES = {
         f"ELSE {S.path(S.resolve('url', M.a('href')))} || {S.search(S.resolve('url', M.a('href')))} END END AS same_site_href FROM c2 WHERE dup = 1",
     "e21_option_labels": DOM + ", o AS (SELECT x.page_id, w.pos AS owner_pos, x.pos, x.text FROM el x JOIN el w ON w.page_id = x.page_id AND x.pos > w.pos AND x.pos < w.end_pos AND w.tag = 'select' WHERE x.tag = "
         "'option' AND x.text <> '') SELECT page_id, owner_pos, row_number() OVER (PARTITION BY page_id, owner_pos ORDER BY pos) AS option_no, text AS label FROM o QUALIFY option_no <= 30",
-    "e22_selectors": DOM + f", n AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent_pos, tag ORDER BY pos) AS nth, {M.a('id')} AS ident, {M.a('data-testid')} AS test FROM elp), u AS (SELECT *, ident IS "
-        "NOT NULL AND count(ident) OVER (PARTITION BY page_id, ident) = 1 AS uid, test IS NOT NULL AND count(test) OVER (PARTITION BY page_id, test) = 1 AS utest FROM n), up AS (SELECT c.page_id, c.pos, x.depth, "
-        "CASE WHEN x.uid THEN '#' || x.ident ELSE x.tag || ':nth-of-type(' || x.nth || ')' END AS step, x.uid OR x.tag = 'body' AS stop FROM u c JOIN u x ON x.page_id = c.page_id AND x.pos <= c.pos AND x.end_pos > "
-        f"c.pos WHERE x.tag <> 'html'), near AS (SELECT page_id, pos, max(depth) FILTER (stop) AS d FROM up GROUP BY 1, 2), chain AS (SELECT up.page_id, up.pos, string_agg(step, '>' ORDER BY depth) AS chain FROM up "
-        f"JOIN near ON near.page_id = up.page_id AND near.pos = up.pos WHERE up.depth >= coalesce(near.d, 0) GROUP BY 1, 2) SELECT u.page_id, u.pos, u.tag, CASE WHEN uid THEN '#' || ident WHEN utest THEN '[data-testid=\"' || test || '\"]' "
-        f"ELSE chain END AS selector FROM u JOIN chain ON chain.page_id = u.page_id AND chain.pos = u.pos WHERE {_IS_CONTROL}",
+    "e22_selectors": DOM + f", n AS (SELECT page_id, pos, i, tag, anc_i, row_number() OVER (PARTITION BY page_id, parent_pos, tag ORDER BY pos) AS nth, {M.a('id')} AS ident, {_IS_CONTROL} AS wanted, [{M.a('data-testid')}, "
+        f"{M.a('data-test')}, {M.a('data-cy')}] AS t FROM elp), nm AS (SELECT page_id, pos, 0 AS rank, '#' || ident AS css FROM n WHERE regexp_matches(ident, '^[A-Za-z][A-Za-z0-9_-]*$') UNION ALL SELECT page_id, pos, k, '[' || "
+        "(['data-testid', 'data-test', 'data-cy'])[k] || '=\"' || replace(replace(t[k], chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"]' FROM n, (VALUES (1), (2), (3)) x(k) WHERE t[k] <> ''), ow AS (SELECT page_id, pos, "
+        "arg_min(css, rank) AS named, min(css) FILTER (rank = 0) AS anchor FROM (SELECT *, count(*) OVER (PARTITION BY page_id, css) AS c FROM nm) WHERE c = 1 GROUP BY 1, 2), st AS (SELECT n.*, tag || ':nth-of-type(' || nth || "
+        "')' AS step, named, anchor FROM n LEFT JOIN ow USING (page_id, pos) WHERE tag <> 'html'), sp AS (SELECT page_id, pos, a.k AS k, a.i AS i FROM (SELECT page_id, pos, unnest(list_transform(list_append(anc_i, i), lambda x, j: "
+        "{'k': len(anc_i) + 1 - j, 'i': x})) AS a FROM st)), up AS (SELECT sp.page_id, sp.pos, list({'s': x.step, 'a': x.anchor, 'b': x.tag = 'body'} ORDER BY sp.k) AS u FROM sp JOIN st x ON x.page_id = sp.page_id AND x.i = sp.i GROUP "
+        "BY 1, 2), hd AS (SELECT page_id, pos, l, array_to_string(list_transform(u[1:l], lambda x: x.s), '>') AS h FROM (SELECT *, unnest(range(1, len(u) + 1)) AS l FROM up)), sh AS (SELECT page_id, pos, min(l) AS shortest FROM (SELECT *, "
+        "count(*) OVER (PARTITION BY page_id, h) AS c FROM hd) WHERE c = 1 GROUP BY 1, 2), fn AS (SELECT st.page_id, st.pos, st.tag, named, u, list_filter(range(2, len(u) + 1), lambda l: u[l].a IS NOT NULL)[1] AS anchored, least(shortest, "
+        "list_filter(range(2, len(u) + 1), lambda l: u[l].a IS NOT NULL)[1], coalesce(list_filter(range(1, len(u) + 1), lambda l: u[l].b)[1], len(u))) AS ends FROM st JOIN up USING (page_id, pos) LEFT JOIN sh USING (page_id, pos) WHERE "
+        "wanted) SELECT page_id, pos, tag, coalesce(named, array_to_string(list_reverse(list_transform(u[1:ends], lambda x, l: CASE WHEN l = anchored THEN x.a ELSE x.s END)), '>')) AS selector FROM fn",
+    "e22_containers": DOM + _GROUPS + f", mt AS (SELECT page_id, unnest(list_concat(list_filter([CASE WHEN regexp_matches({M.a('id')}, '^[A-Za-z][A-Za-z0-9_-]*$') THEN '#' || {M.a('id')} END, CASE WHEN {M.a('role')} <> '' THEN tag || '[role=\"' || "
+        f"{M.a('role')} || '\"]' END], lambda x: x IS NOT NULL), list_transform(list_distinct({M.CLASSES}), lambda c: tag || '.' || c))) AS css FROM el), ct AS (SELECT page_id, css, count(*) AS n FROM mt GROUP BY 1, 2), pa AS (SELECT e.page_id, e.pos, "
+        f"e.tag, unnest([{{'r': 0, 'm': 1, 'css': '#' || {M.a('id')}}}, {{'r': 1, 'm': 1, 'css': tag || '[role=\"' || {M.a('role')} || '\"]'}}, {{'r': 2, 'm': 3, 'css': tag || '.' || {M.CLASSES}[1]}}]) AS c FROM el e JOIN best b ON b.page_id = "
+        "e.page_id AND b.parent_pos = e.pos) SELECT pa.page_id, pa.pos, coalesce(arg_min(ct.css, pa.c.r) FILTER (ct.n <= pa.c.m), any_value(pa.tag)) AS selector FROM pa LEFT JOIN ct ON ct.page_id = pa.page_id AND ct.css = pa.c.css GROUP BY 1, 2",
     "e23_item_growth": f"WITH pg AS ({A.ALL_PAGES_SQL}), c AS (SELECT page_id, html, regexp_replace(html, '(?s)<nav>.*?</nav>|<a .*?</a>', '', 'g') AS cut FROM pg), v AS (SELECT page_id, [html, cut] AS hs FROM c), "
         f"t AS (SELECT page_id, generate_subscripts(hs, 1) AS side, regexp_extract_all({M._CLEAN.replace('html', 'unnest(hs)')}, '<[A-Za-z][^>]*>') AS tags FROM v), r AS (SELECT page_id, side, unnest(tags) AS raw FROM t), g AS (SELECT "
         f"page_id, side, lower(regexp_extract(raw, '^<([A-Za-z0-9-]+)', 1)) AS tag, raw FROM r), n AS (SELECT page_id, side, max(c) AS n FROM (SELECT page_id, side, tag || coalesce({M.CLASSES}[1], '') AS k, count(*) AS c FROM g WHERE tag IN "
