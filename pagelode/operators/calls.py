@@ -9,7 +9,8 @@ from .. import rules as R
 from ..functions import urls as U
 from ..functions.core import let, lookup
 from ..functions.hashing import fnv1a
-from .json_tables import canonical_json
+from ..functions.redact import is_sensitive_name, redact_secrets
+from .json_tables import canonical_json, redact_json
 
 _NO_PAIRS = "map<string,array<string>>"
 
@@ -48,6 +49,33 @@ def api_calls(calls: DataFrame, base_host: str | None = None) -> DataFrame:
     return out
 
 
+def _masked_pairs(pairs: Column) -> Column:
+    """Name and value pairs with sensitive values marked; a sensitive name that recurs keeps one mark."""
+    marked = F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), F.when(is_sensitive_name(p["name"]), F.lit(R.REDACTED)).otherwise(
+        p["value"]).alias("value"), i.alias("at"), is_sensitive_name(p["name"]).alias("hit")))
+    first = F.filter(marked, lambda p: ~p["hit"] | ~F.exists(marked, lambda q: (q["name"] == p["name"]) & (q["at"] < p["at"])))
+    return F.transform(first, lambda p: F.struct(p["name"], p["value"]))
+
+
+def masked_body(body: Column) -> Column:
+    """A body without secrets: sensitive names and secret shapes of JSON at any depth, shapes and form fields of other text.
+
+    Bodies that hold neither a sensitive word nor a secret shape stay as they are and never leave the JVM.
+    """
+    shaped = redact_secrets(body)
+    risky = body.rlike(R.SENSITIVE_NAME) | body.rlike("(?i)" + "|".join(R.SENSITIVE_HEADERS)) | (shaped != body)
+    plain = F.regexp_replace(shaped, r"(?i)((?:^|&)[^=&]*(?:" + R.SENSITIVE_NAME.removeprefix("(?i)") + r")[^=&]*)=[^&]*", "$1=" + R.REDACTED)
+    return F.when(risky, F.coalesce(redact_json(F.when(risky, body)), plain)).otherwise(body)
+
+
+def masked_calls(calls: DataFrame) -> DataFrame:
+    """Calls as every later step may see them: headers, query, URL and bodies without secrets."""
+    return calls.withColumns({
+        "req_headers": _masked_pairs(F.col("req_headers")), "resp_headers": _masked_pairs(F.col("resp_headers")),
+        "query": _masked_pairs(F.col("query")), "url": U.redact_url(F.col("url")),
+        "request_body": masked_body(F.col("request_body")), "response_body": masked_body(F.col("response_body"))}).drop("qs")
+
+
 def body_key(method: Column, url: Column) -> Column:
     return F.concat(F.upper(method), F.lit(" "), F.regexp_replace(url, "#.*$", ""))
 

@@ -14,7 +14,8 @@ from . import sqltext as S
 
 
 def api(spark, sf):
-    return C.api_calls(A.calls(spark, sf))
+    """API calls, masked as soon as they are known to be such."""
+    return C.masked_calls(C.api_calls(A.calls(spark, sf)))
 
 
 def templated(spark, sf):
@@ -23,7 +24,11 @@ def templated(spark, sf):
 
 _CALLS = S.view("calls", A.CALLS, "events")
 _JSON_MIME = "(regexp_matches(coalesce(resp_mime, ''), '" + R.JSON_MIME + "') OR contains(pathname, 'graphql'))"
-_API = (_CALLS + f", api AS (SELECT *, 'https://' || host || pathname || '?' || qs AS url FROM calls WHERE (resource_type <> "
+_MASKS = ("regexp_replace(qs, 'api_key=[^&]*', 'api_key=[REDACTED]') AS qs, regexp_replace(req_header_lines, 'Authorization: [^' || chr(10) || ']*', "
+          "'Authorization: [REDACTED]') AS req_header_lines, regexp_replace(resp_header_lines, 'Set-Cookie: [^' || chr(10) || ']*', 'Set-Cookie: [REDACTED]') AS "
+          "resp_header_lines, regexp_replace(response_body, '\"token\":\"[^\"]*\"', '\"token\":\"[REDACTED]\"') AS response_body")
+_API = (_CALLS + f", api AS (SELECT * REPLACE ({_MASKS}), 'https://' || host || pathname || '?' || replace(replace(regexp_replace(qs, 'api_key=[^&]*', "
+        "'api_key=[REDACTED]'), '[', '%5B'), ']', '%5D') AS url FROM calls WHERE (resource_type <> "
         f"'document' OR {_JSON_MIME}) AND resource_type NOT IN ({S.quoted(R.ASSET_RESOURCE_TYPES)}) AND NOT regexp_matches("
         f"pathname, '{R.CALL_ASSET_EXT}') AND (resource_type IN ('xhr', 'fetch') OR {_JSON_MIME}) AND status > 0)")
 
