@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..functions.core import let, lookup
 from ..functions.hashing import fnv1a
 from ..functions.redact import is_sensitive_name, redact_secrets
+from ..session import stage
 from .json_tables import canonical_json, redact_json
 
 _NO_PAIRS = "map<string,array<string>>"
@@ -283,13 +284,12 @@ def fixtures(calls: DataFrame) -> DataFrame:
         "method": F.upper("method"), "query_sig": query_signature(F.col("query")),
         "body_hash": body_hash(F.col("request_body"), F.col("op"))})
     keys = ["host", "method", "template", "status", "query_sig", "body_hash", "op"]
-    first = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.min("seq").alias("seq"),
-        F.min_by(F.struct("url", "response_body", "resp_mime", "resp_headers"), F.col("seq")).alias("f"))
-    return first.select(*keys, "samples", "seq", F.col("f.url").alias("url"),
-                        F.col("f.response_body").alias("response"), F.col("f.resp_mime").alias("content_type"),
-                        kept_headers(header_map(F.col("f.resp_headers"))).alias("headers"),
-                        is_stream(F.col("f.resp_mime")).alias("is_stream"))
+    # Narrow keys are aggregated by hash; only the winners' bodies are joined, on their sequence number.
+    first = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.min("seq").alias("seq"))
+    kept = calls.select("seq", "url", F.col("response_body").alias("response"), F.col("resp_mime").alias("content_type"), "resp_headers")
+    return first.join(kept, "seq").select(*keys, "samples", "seq", "url", "response", "content_type",
+                                          kept_headers(header_map(F.col("resp_headers"))).alias("headers"),
+                                          is_stream(F.col("content_type")).alias("is_stream"))
 
 
 def crud_role(fixture: DataFrame) -> DataFrame:
@@ -321,59 +321,74 @@ def path_pattern(template: Column) -> Column:
 
 
 def best_routes(requests: DataFrame, route: DataFrame) -> DataFrame:
-    """Best route per request: operation, body and query add to the score.
-
-    A request first finds its templates (equi join on method, segment count and
-    first segment, pattern as residual). A route is then indexed under each
-    combination of the signals it could be found by, the first route per key
-    kept; a request probes the same keys with their scores. So a request meets
-    at most one route per key, never all variants of a hot endpoint. The route
-    with the true best score is the first one under its own full key.
+    """Best route per request: operation, body and query add to the score; of equal scores, the first route.
+
+    A request first finds its templates (equi join on method, segment count and first segment, pattern as residual). A route
+    is indexed under each combination of the signals it could be found by, the first route per key kept, so a request meets
+    at most one route per key and never all variants of a hot endpoint.
+
+    A recorded query that is only part of the asked one adds little and is costly to look for, so exact keys come first.
+    Requests whose best score no such part could reach are done. For the rest, recorded queries are indexed by their first
+    ``name=``; a part can only begin in a name, so a request looks up the ends of its own names there, and only where one is
+    recorded does it cut parts of the recorded lengths and probe them.
     """
     first = lambda path: F.coalesce(F.get(U.segments(path), F.lit(0)), F.lit(""))
-    index = route.select(
+    recorded = stage(route.select(
         F.upper("method").alias("method"), "template", "route_seq",
         F.array_distinct(F.array(F.lit("*"), F.coalesce("op", F.lit("*")))).alias("ops"),
         F.array_distinct(F.array(F.lit("*"), F.when(F.col("body_hash") != "", F.col("body_hash")).otherwise(F.lit("*"))))
-        .alias("bodies"), "query_sig")
-    templates = index.groupBy("method", "template").agg(
-        F.collect_set(F.length("query_sig")).alias("lengths")).select(
-        "method", "template", "lengths", F.size(F.split("template", "/")).alias("parts"),
+        .alias("bodies"), "query_sig"), "recorded")
+    templates = recorded.select("method", "template").distinct().select(
+        "method", "template", F.size(F.split("template", "/")).alias("parts"),
         F.when(first(F.col("template")).rlike(r"^\{"), F.lit("{}")).otherwise(first(F.col("template"))).alias("head"),
         path_pattern(F.col("template")).alias("pattern"))
     asked = requests.withColumn("parts", F.size(F.split("pathname", "/"))).withColumn("head", F.explode(
         F.array_distinct(F.array(first(F.col("pathname")), F.lit("{}")))))
-    asked = asked.join(templates, ["method", "parts", "head"]).filter(F.expr("pathname rlike pattern")).select(
-        "request_id", "method", "template", "lengths", "op", "body_hash", "query_sig")
-
-    index = (index.withColumn("op_key", F.explode("ops")).withColumn("body_key", F.explode("bodies"))
-             .withColumn("query_key", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "query_sig"))))
-             .groupBy("method", "template", "op_key", "body_key", "query_key").agg(F.min("route_seq").alias("route_seq")))
+    asked = stage(asked.join(templates, ["method", "parts", "head"]).filter(F.expr("pathname rlike pattern")).select(
+        "request_id", "method", "template", "op", "body_hash", "query_sig"), "asked")
+    index = stage(recorded.withColumn("op_key", F.explode("ops")).withColumn("body_key", F.explode("bodies"))
+                  .withColumn("query_key", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "query_sig"))))
+                  .groupBy("method", "template", "op_key", "body_key", "query_key").agg(F.min("route_seq").alias("route_seq")), "index")
 
     def probe(key: Column, score: Column | int) -> Column:
         return F.struct(key.alias("k"), (F.lit(score) if isinstance(score, int) else score).alias("s"))
 
+    def hits(probed: DataFrame) -> DataFrame:
+        """Best hit of each request, from rows with ``q``: a query key and its score."""
+        keys = (probed.withColumn("o", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("op"), R.SCORE_OPERATION)),
+                                                          lambda x: x["k"].isNotNull())))
+                .withColumn("b", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("body_hash"), R.SCORE_BODY)),
+                                                    lambda x: x["k"] != "")))
+                .select("request_id", "method", "template", F.col("o.k").alias("op_key"), F.col("b.k").alias("body_key"),
+                        F.col("q.k").alias("query_key"),
+                        (F.lit(R.SCORE_BASE) + F.col("o.s") + F.col("b.s") + F.col("q.s")).alias("score")))
+        found = keys.join(index, ["method", "template", "op_key", "body_key", "query_key"])
+        return found.groupBy("request_id").agg(F.max_by(
+            F.struct("template", "route_seq", "score"), F.struct(F.col("score"), -F.col("route_seq"))).alias("b"))
+
     sig = F.col("query_sig")
-    # Every part of the signature that is as long as some recorded one.
-    inner = F.array_distinct(F.flatten(F.transform(
-        F.filter("lengths", lambda n: (n > 0) & (n < F.length(sig))),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(sig) - n + 1), lambda i: F.substring(sig, i, n)))))
-    query_probes = F.concat(
-        F.array(probe(F.lit("*"), 0), probe(F.concat(F.lit("="), sig), F.when(
-            sig == "", R.SCORE_GENERIC).otherwise(R.SCORE_QUERY))),
-        F.transform(inner, lambda t: probe(F.concat(F.lit("="), t), R.SCORE_QUERY_PART)))
-    probes = (
-        asked.withColumn("q", F.explode(query_probes))
-        .withColumn("o", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("op"), R.SCORE_OPERATION)),
-                                            lambda x: x["k"].isNotNull())))
-        .withColumn("b", F.explode(F.filter(F.array(probe(F.lit("*"), 0), probe(F.col("body_hash"), R.SCORE_BODY)),
-                                            lambda x: x["k"] != "")))
-        .select("request_id", "method", "template", F.col("o.k").alias("op_key"), F.col("b.k").alias("body_key"),
-                F.col("q.k").alias("query_key"),
-                (F.lit(R.SCORE_BASE) + F.col("o.s") + F.col("b.s") + F.col("q.s")).alias("score")))
-    hits = probes.join(index, ["method", "template", "op_key", "body_key", "query_key"])
-    best = hits.groupBy("request_id").agg(F.max_by(
-        F.struct("template", "route_seq", "score"), F.struct(F.col("score"), -F.col("route_seq"))).alias("b"))
+    exact = stage(hits(asked.withColumn("q", F.explode(F.array(probe(F.lit("*"), 0), probe(F.concat(F.lit("="), sig), F.when(
+        sig == "", R.SCORE_GENERIC).otherwise(R.SCORE_QUERY)))))), "exact-routes")
+    bound = (F.lit(R.SCORE_BASE + R.SCORE_QUERY_PART) + F.when(F.col("op").isNotNull(), R.SCORE_OPERATION).otherwise(0)
+             + F.when(F.col("body_hash") != "", R.SCORE_BODY).otherwise(0))
+    open_ = asked.join(exact.select("request_id", F.col("b.score").alias("so_far")), "request_id", "left").filter(
+        (sig != "") & (F.coalesce("so_far", F.lit(0)) <= bound))
+    starts = recorded.filter(sig != "").select("method", "template", F.regexp_extract("query_sig", "^([^=]*=)", 1).alias("start"),
+                                               F.length("query_sig").alias("n")).filter("start <> ''").groupBy(
+        "method", "template", "start").agg(F.collect_set("n").alias("lengths"))
+    # Where each name of the asked query ends, and every way to begin within it.
+    names = F.filter(F.transform(F.sequence(F.lit(1), F.length("query_sig")), lambda i: F.when(F.substring("query_sig", i, F.lit(1)) == "=", i)),
+                     lambda i: i.isNotNull())
+    head = F.regexp_extract(F.substring(sig, F.lit(1), F.col("at")), r"([^&=]*=)$", 1)
+    begun = open_.withColumn("at", F.explode(names)).withColumn("head", head).withColumn(
+        "skip", F.explode(F.sequence(F.lit(0), F.length("head") - 1))).select(
+        "request_id", "method", "template", "op", "body_hash", "query_sig", (F.col("at") - F.length("head") + F.col("skip") + 1).alias("begin"),
+        F.substring("head", F.col("skip") + 1, F.length("head")).alias("start"))
+    parts = begun.join(starts, ["method", "template", "start"]).withColumn("n", F.explode("lengths")).filter(
+        (F.col("n") < F.length("query_sig")) & (F.col("begin") + F.col("n") - 1 <= F.length("query_sig")))
+    inner = hits(parts.withColumn("q", probe(F.concat(F.lit("="), F.substring("query_sig", F.col("begin"), F.col("n"))), R.SCORE_QUERY_PART)))
+    best = exact.unionByName(inner).groupBy("request_id").agg(
+        F.max_by("b", F.struct(F.col("b.score"), -F.col("b.route_seq"))).alias("b"))
     return best.select("request_id", "b.template", "b.route_seq", "b.score")
 
 
