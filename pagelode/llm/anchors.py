@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 GRAM = 32
+#: Bytes of the longest text whose tables a worker keeps.
+KEPT = 1 << 20
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -13,14 +15,19 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, kept for the longest text so far."""
+    """Powers of a base and of its inverse; those of texts of up to ``KEPT`` bytes are kept."""
+    if n > KEPT:
+        return _made(n, base)
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(1 << 16, 2 * n)
-        both = (_BASES[base], pow(_BASES[base], -1, 1 << 64))
-        _powers[base] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)])) for b in both)
+        _powers[base] = _made(min(max(1 << 16, 2 * n), KEPT), base)
     return _powers[base]
 
 
+def _made(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    both = (_BASES[base], pow(_BASES[base], -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in both)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MIX
     h = (h ^ (h >> np.uint64(32))) * _MIX

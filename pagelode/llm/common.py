@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +45,53 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``limit`` bytes of text in a column; a longer text is alone."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary())
+        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, as the worker stays for later stages that may need much else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package sent to the workers."""
+    """``mapInArrow`` with this package sent to the workers, which keep no memory of a task that has ended."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def under_other_names(docs: DataFrame, work: Callable[..., DataFrame], **columns: str) -> DataFrame:
+    """``work`` on ``docs`` with its columns renamed, and its result under the names that they had.
+
+    ``columns`` are the arguments that name columns. Whatever the caller's columns are called, none can clash with a helper
+    column of ``work``, which has to return the columns of its input in their order.
+    """
+    inner = [f"column_{i}" for i in range(len(docs.columns))]
+    given = {role: inner[docs.columns.index(name)] for role, name in columns.items()}
+    return work(docs.toDF(*inner), **given).toDF(*docs.columns)
 
 
 def fold(key: Column, folds: int = 3) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import arrow_map, values
+from .common import arrow_map, small_batches, under_other_names, values
 from .suffix import suffix_array
 
 # A-Z become lower case; what is neither a digit, a letter nor part of a character beyond ASCII becomes a blank.
@@ -205,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value) if sent.value else None
-            for batch in batches:
+            for batch in small_batches(batches, "_text"):
                 texts = [words(t) for t in values(batch.column(batch.num_columns - 1))]
                 spans, items = _hits(texts, phrases) if phrases else ([[]] * len(texts), [[]] * len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -251,10 +251,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, **options) -> DataFrame:
-    """``docs`` without the words that any test phrase covers, and all columns as they were.
+    """``docs`` without the words that any test phrase covers, and all columns as they were, whatever their names.
 
     A document loses the bytes from its first to its last hit word of each span; one that is left without words goes.
     """
+    def work(rows: DataFrame, text: str) -> DataFrame:
+        return _drop_contaminated(rows, benchmark.withColumnRenamed(own, text), text, width, **options)
+
+    own = text
+    return under_other_names(docs, work, text=text)
+
+
+def _drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str, width: int, **options) -> DataFrame:
     rows = contamination(docs, benchmark, text, width, **options)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names, at = docs.columns, docs.columns.index(text)

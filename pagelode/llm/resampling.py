@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import arrow_map, fold, values
+from .common import arrow_map, fold, small_batches, under_other_names, values
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 #: Stands for a token that is equal to the one before it.
@@ -135,7 +135,7 @@ def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             grams = [hasher(t).astype(np.int64) for t in values(batch.column(batch.schema.names.index("_text")))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([len(g) for g in grams], pa.int64()), pa.array([ratio(g) for g in grams], pa.float64())],
@@ -179,7 +179,17 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def drop_unlikely(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", margin: float = 25.0,
                   sharpness: float = 50.0, shrink: float = 10.0, seed: int = 7, **options) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` draws, all columns as they are."""
+    """The rows of ``docs`` that ``resample`` draws, all columns as they are, whatever their names."""
+    def work(rows: DataFrame, key: str, text: str) -> DataFrame:
+        marks = labels.select(F.col(own_key).alias(key), *[c for c in labels.columns if c != own_key])
+        return _drop_unlikely(rows, marks, key, text, margin, sharpness, shrink, seed, **options)
+
+    own_key = key
+    return under_other_names(docs, work, key=key, text=text)
+
+
+def _drop_unlikely(docs: DataFrame, labels: DataFrame, key: str, text: str, margin: float, sharpness: float, shrink: float,
+                   seed: int, **options) -> DataFrame:
     scored = importance(docs, labels, key, text, **options).withColumn("_weight", weight(sharpness, shrink))
     stored = stage(scored.withColumn("_gumbel_key", F.col("_weight") + gumbel(F.col(key), F.col(text), seed=seed)), "importance")
     cut = kth_largest(stored, "_gumbel_key", draw_size(stored, margin))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
 from .anchors import Hashes, anchors
-from .common import arrow_map, values
+from .common import arrow_map, under_other_names, values
 from .fm_index import merged
 from .suffix import common_prefixes, suffix_array
 
@@ -266,10 +266,14 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 400) -> DataFrame:
-    """``docs`` with its columns and the bytes that are left as text; a document of which nothing is left goes.
+    """``docs`` with its columns, whatever their names, and the bytes that are left as text; if nothing is left, the row goes.
 
     A character that a span cuts through is left out. A document that had no text stays.
     """
+    return under_other_names(docs, lambda rows, key, text: _drop_repeats(rows, key, text, width), key=key, text=text)
+
+
+def _drop_repeats(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     rows = without_repeats(docs, key, text, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
