@@ -90,7 +90,8 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 OP8_SQL = """
@@ -117,7 +118,8 @@ cut AS (
   FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(n_spans, 0)::BIGINT AS n_spans,
-       CASE WHEN last IS NULL THEN whole ELSE sha256(unhex(head || substr(h, (2 * last + 1)::INT))) END AS kept_sha256
+       CASE WHEN last IS NULL THEN whole ELSE sha256(unhex(head || substr(h, (2 * last + 1)::INT))) END AS kept_sha256,
+       coalesce(n_removed, 0) > 0 AS has_repeat
 FROM t LEFT JOIN cut USING (doc_id)
 """
 
