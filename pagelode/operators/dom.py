@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import urls as U
 from ..functions.core import collapse, head, let, spread, top_per_group
-from ..session import ship_package, stage
+from ..session import ship_package, stage, staging_path
 
 _ATTR = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 
@@ -163,6 +164,21 @@ def dom_nodes(pages: DataFrame, max_elements: int | None = R.MAX_ELEMENTS, with_
     return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(walk, _NODE_SCHEMA)
 
 
+def stored_nodes(pages: DataFrame, max_elements: int | None = R.MAX_ELEMENTS, with_text: bool = True) -> DataFrame:
+    """E01 as a table: the element table of ``pages``, walked once and kept bucketed by page.
+
+    For questions that read the elements several times. All elements of a page lie in one bucket, in document order, so
+    windows and aggregates within pages need no exchange; with ``spark.sql.requireAllClusterKeysForCoPartition`` off, neither do
+    joins of elements of a page. The table lies in the shared folder and goes when the driver's JVM ends.
+    """
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"elements_{uuid.uuid4().hex}"
+    (dom_nodes(pages, max_elements, with_text).repartition(buckets, "page_id").write.format("parquet").bucketBy(buckets, "page_id")
+     .sortBy("page_id", "pos").option("path", staging_path(spark, name)).saveAsTable(name))
+    return spark.table(name)
+
+
 def _column(field: pa.Field, rows: list[dict]) -> pa.Array:
     """One output column; nested ones are put together from flat arrays."""
     if field.name not in ("attrs", "ancestors"):

@@ -16,6 +16,11 @@ def nodes(spark, sf, **options):
     return D.dom_nodes(A.all_pages(spark, sf), **options)
 
 
+def stored(spark, sf, **options):
+    """The element table, walked once, for plans that read it more than once."""
+    return D.stored_nodes(A.all_pages(spark, sf), **options)
+
+
 def e01(spark, sf):
     return nodes(spark, sf).select("page_id", "pos", "tag", "depth", "parent_pos", "end_pos", "landmark", "in_menu",
                                    F.md5("text").alias("text_digest"), F.size("attrs").alias("attr_count"))
@@ -27,13 +32,13 @@ def e02(spark, sf):
 
 
 def e04(spark, sf):
-    rows = D.listing_rows(nodes(spark, sf))
+    rows = D.listing_rows(stored(spark, sf))
     return rows.select("page_id", "row_no", "href", F.array_join(F.transform(
         F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
 def e05(spark, sf):
-    return D.main_content(nodes(spark, sf)).select("page_id", "selector", "pos", "score", F.length("text").alias("chars"))
+    return D.main_content(stored(spark, sf)).select("page_id", "selector", "pos", "score", F.length("text").alias("chars"))
 
 
 def e11_icons(spark, sf):
@@ -44,28 +49,28 @@ def e11_icons(spark, sf):
 
 
 def e21(spark, sf):
-    return C.control_fields(C.controls(nodes(spark, sf))).drop("url")
+    return C.control_fields(C.controls(stored(spark, sf))).drop("url")
 
 
 def e23(spark, sf):
-    after = C.item_counts(nodes(spark, sf, with_text=False))
+    after = C.item_counts(stored(spark, sf, with_text=False))
     shorter = A.all_pages(spark, sf).withColumn("html", F.regexp_replace("html", "(?s)<nav>.*?</nav>|<a .*?</a>", ""))
-    return C.item_growth(C.item_counts(D.dom_nodes(shorter, with_text=False)), after)
+    return C.item_growth(C.item_counts(D.stored_nodes(shorter, with_text=False)), after)
 
 
 QUERIES = {
     "e01_dom_nodes": e01,
     "e02_visible_text": e02,
-    "e03_dominant_groups": lambda spark, sf: D.dominant_groups(nodes(spark, sf)),
+    "e03_dominant_groups": lambda spark, sf: D.dominant_groups(stored(spark, sf, with_text=False)),
     "e04_listing_rows": e04,
     "e05_main_content": e05,
     "e11_head_assets": lambda spark, sf: C.head_assets(nodes(spark, sf, with_text=False)),
     "e11_manifest_icons": e11_icons,
-    "e16_surfaces": lambda spark, sf: C.surfaces(nodes(spark, sf, with_text=False)),
+    "e16_surfaces": lambda spark, sf: C.surfaces(stored(spark, sf, with_text=False)),
     "e17_custom_elements": lambda spark, sf: C.custom_elements(nodes(spark, sf, with_text=False)),
-    "e18_representatives": lambda spark, sf: C.representatives(nodes(spark, sf)),
+    "e18_representatives": lambda spark, sf: C.representatives(nodes(spark, sf, with_text=False)),
     "e21_controls": e21,
-    "e21_option_labels": lambda spark, sf: C.option_labels(nodes(spark, sf)),
+    "e21_option_labels": lambda spark, sf: C.option_labels(stored(spark, sf)),
     "e22_selectors": lambda spark, sf: C.control_selectors(nodes(spark, sf, with_text=False)),
     "e22_containers": lambda spark, sf: D.container_selectors(nodes(spark, sf, with_text=False)),
     "e23_item_growth": e23,

@@ -10,7 +10,7 @@ from ..operators import templates as T
 from ..sources import adapters as A
 from . import domsql as M
 from . import sqltext as S
-from .dom import DOM, _SIG, nodes
+from .dom import DOM, _SIG, nodes, stored
 from .history import _COUNTS, _TEXT, _normal
 from .redaction import _NORMAL
 
@@ -23,7 +23,7 @@ def f03(spark, sf):
 
 
 def f04_pages(spark, sf):
-    elements = nodes(spark, sf, with_text=False)
+    elements = stored(spark, sf, with_text=False)
     return K.component_pages(elements, K.component_inventory(elements))
 
 

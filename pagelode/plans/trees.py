@@ -15,7 +15,7 @@ from . import sqltext as S
 
 
 def page_nodes(spark, sf):
-    return X.nodes_from_dom(D.dom_nodes(A.table(spark, sf, "pages")))
+    return X.nodes_from_dom(D.stored_nodes(A.table(spark, sf, "pages")))
 
 
 def page_pairs(spark, sf):
