@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import WS
+from ..session import stage
 
 # Rows per bucket in the two-level numbering helpers.
 BUCKET_ROWS = 1 << 20
@@ -124,6 +125,23 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     return running(df, keys, order, bucket, {name: ("count", F.lit(1))})
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with ``_range``, a bucket for ``running`` that follows rows and not values.
+
+    Rows are dealt over ranges of (keys, order) of about equal size, and a row's range is its bucket: a group with a third
+    of all rows fills a third of the ranges, be its order values as crowded as they may. The table is written, so that a task
+    run again finds the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+
+
+def rank_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
+    """All rows of groups of any size, numbered from 1 in order; ``top_per_group`` without a limit, but spread."""
+    placed = ranged(df, keys, order)
+    return number_rows(placed, keys, order, F.col("_range"), rank).drop("_range")
+
+
 def seq_bucket(seq: str = "seq", rows: int = BUCKET_ROWS) -> Column:
     """Bucket of a counting order column."""
     return F.floor(F.col(seq) / F.lit(rows)).cast("long")

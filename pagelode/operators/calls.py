@@ -263,11 +263,13 @@ def operation_responses(calls: DataFrame) -> DataFrame:
 
 def operation_examples(calls: DataFrame, body: str = "response_body") -> DataFrame:
     """Distinct bodies per operation and status, in order."""
-    from ..functions.core import top_per_group
+    from ..functions.core import rank_all, top_per_group
     keys = ["host", "method", "template", "status"]
     distinct = (calls.withColumn("method", F.upper("method")).filter(F.try_parse_json(body).isNotNull())
                 .groupBy(*keys, F.col(body).alias("value")).agg(F.min("seq").alias("seq")))
-    return top_per_group(distinct, keys, [F.col("seq")], R.MAX_EXAMPLES, "sample").select(*keys, "sample", "value")
+    ranked = (rank_all(distinct, keys, ["seq"], "sample") if R.MAX_EXAMPLES is None
+              else top_per_group(distinct, keys, [F.col("seq")], R.MAX_EXAMPLES, "sample"))
+    return ranked.select(*keys, "sample", "value")
 
 
 # --- fixtures and routes ---------------------------------------------------------------------------------

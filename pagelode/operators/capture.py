@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import number_rows, running
+from ..functions.core import number_rows, ranged, running
 
 
 def run_manifest(captures: DataFrame) -> DataFrame:
@@ -38,20 +38,26 @@ def without_challenged(rows: DataFrame, captures: DataFrame) -> DataFrame:
     return rows.join(captures.filter("challenged").select("url").distinct(), "url", "left_anti")
 
 
+def in_runs(attempts: DataFrame, per_run: int = 3) -> DataFrame:
+    """Attempts of a whole log as fetch runs: every ``per_run`` attempts of a URL are one, numbered ``run``."""
+    return attempts.withColumn("run", F.floor(F.col("attempt") / per_run).cast("int")).withColumn(
+        "attempt", (F.col("attempt") % per_run).cast("int"))
+
+
 def fetch_outcomes(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Q05: final result per URL from its attempts (url, attempt, status, error).
+    """Q05: final result per URL and run from its attempts (url, run, attempt, status, error).
 
-    The first attempt that is not retryable, or the last one allowed, decides.
+    The first attempt that is not retryable, or the last one allowed, decides; attempts are counted within a run.
     """
     timeout = F.coalesce(F.col("error").rlike(R.RETRYABLE_ERROR), F.lit(False))
     retryable = timeout | F.coalesce((F.col("status") == 429) | (F.col("status") >= 500), F.lit(False))
     final = (~retryable) | (F.col("attempt") == max_retries - 1)
     rows = attempts.filter(F.col("attempt") < max_retries).withColumn("final", final)
-    picked = rows.groupBy("url").agg(
+    picked = rows.groupBy("url", "run").agg(
         F.coalesce(F.min_by(F.struct("attempt", "status", "error"), F.when(F.col("final"), F.col("attempt"))),
                    F.max_by(F.struct("attempt", "status", "error"), F.col("attempt"))).alias("r"))
     ok = F.col("r.error").isNull() & F.coalesce(F.col("r.status") < 500, F.lit(True))
-    return picked.select("url", ok.alias("ok"), F.col("r.status").alias("status"), F.col("r.attempt").alias("retries"),
+    return picked.select("url", "run", ok.alias("ok"), F.col("r.status").alias("status"), F.col("r.attempt").alias("retries"),
                          F.when(~ok, F.coalesce("r.error", F.concat(F.lit("HTTP "), "r.status"))).alias("error"))
 
 
@@ -64,17 +70,17 @@ def artifact_summary(captures: DataFrame, actions: DataFrame) -> DataFrame:
     return pages.join(acts).withColumn("screenshots", F.col("page_shots") + F.col("action_shots"))
 
 
-def politeness_schedule(arrivals: DataFrame, delay_ms: int, bucket_ms: int = 3600000) -> DataFrame:
+def politeness_schedule(arrivals: DataFrame, delay_ms: int) -> DataFrame:
     """Start time per request so a host is asked at most every ``delay_ms``.
 
     slot_i = max(arrival_i, slot_(i-1) + d) equals i*d + max over j<=i of (arrival_j - j*d),
-    so a running number and a running maximum do, both spread over time buckets: a
-    host with a third of all requests is not one task.
+    so a running number and a running maximum do. Both are summed up per range of rows and carried over the ranges, so a
+    host with all requests of a second is spread as evenly as any.
     """
-    bucket = F.floor(F.col("arrival_ms") / bucket_ms).cast("long")
     order = ["arrival_ms", "seq"]
-    counted = number_rows(arrivals, ["host"], order, bucket, "turn")
-    shifted = running(counted, ["host"], order, bucket, {"lead": ("max", F.col("arrival_ms") - F.col("turn") * delay_ms)})
+    placed = ranged(arrivals, ["host"], order)
+    counted = number_rows(placed, ["host"], order, F.col("_range"), "turn")
+    shifted = running(counted, ["host"], order, F.col("_range"), {"lead": ("max", F.col("arrival_ms") - F.col("turn") * delay_ms)})
     slot = F.col("turn") * delay_ms + F.col("lead")
     return shifted.select("host", "seq", "arrival_ms", slot.alias("slot_ms"), (slot - F.col("arrival_ms")).alias("wait_ms"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_rows, number_rows, pad, seq_bucket, top_per_group
+from ..functions.core import first_rows, number_rows, pad, seq_bucket, rank_all, top_per_group
 from ..session import cut_lineage
 
 _ANCHOR = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
@@ -244,12 +244,12 @@ def resolve_page_list(entries: DataFrame, base: str, n: int | None = None) -> Da
                     "seq"))
 
 
-def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, cap: int) -> DataFrame:
+def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, cap: int | None = None) -> DataFrame:
     """Page URLs named by robots files and site maps, per site.
 
     ``robots`` is (site_id, base_url, text), ``sitemaps`` is (site_id, url, xml).
     Path hints come first, then the root map and the maps robots name, each with
-    its nested maps one level deep; eight maps are read per site.
+    its nested maps one level deep. With ``cap``, a site's first so many URLs.
     """
     lines = robots.select("site_id", "base_url", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
     named = F.regexp_extract("line", r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)
@@ -294,4 +294,6 @@ def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, cap: int) -> DataFrame:
         .groupBy("site_id", U.normalize_url(F.col("absolute")).alias("url")).agg(F.min("place").alias("place"))
         .filter("url is not null")
     )
+    if cap is None:
+        return rank_all(found, ["site_id"], ["place"]).drop("place")
     return top_per_group(found, ["site_id"], [F.col("place")], cap, "rank").drop("place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import first_items, first_rows, head, running, seq_bucket, strip, top_per_group
+from ..functions.core import first_items, first_rows, head, running, seq_bucket, strip, rank_all, top_per_group
 from ..session import cut_lineage
 
 
@@ -30,7 +30,8 @@ def socket_frames(log: DataFrame) -> DataFrame:
     if R.MAX_SOCKETS is not None:
         first = first_rows(log.groupBy("socket").agg(F.min("seq").alias("opened")), ["opened"], R.MAX_SOCKETS)
         log = log.join(first.select("socket"), "socket", "left_semi")
-    kept = top_per_group(log, ["socket"], [F.col("seq")], R.MAX_FRAMES, "frame_no")
+    kept = (rank_all(log, ["socket"], ["seq"], "frame_no") if R.MAX_FRAMES is None
+            else top_per_group(log, ["socket"], [F.col("seq")], R.MAX_FRAMES, "frame_no"))
     payload = F.when(F.col("is_binary"), F.lit("[binary]")).otherwise(
         head(F.col("payload"), R.MAX_FRAME_CHARS))
     return kept.select("socket", "frame_no", F.concat("direction", F.lit(": "), payload).alias("frame"))

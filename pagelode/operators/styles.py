@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_items, first_rows, lookup, position_in, strip, top_per_group
+from ..functions.core import first_items, first_rows, lookup, position_in, strip, rank_all, top_per_group
 
 
 # --- assets -----------------------------------------------------------------------------------
@@ -120,12 +120,14 @@ def ranked_tokens(values: DataFrame, capped: bool = False) -> DataFrame:
 
     Counting goes straight to (category, value), where partial counts on the map
     side leave little to shuffle; a tally per page is not needed for the totals.
-    The window then sees distinct values only, cut by rank before the shuffle.
+    With ``capped``, the window sees distinct values only, cut by rank before the shuffle; without, values are numbered in
+    ranges, so that a category is not one task.
     """
     totals = values.groupBy("category", "value").agg(F.count(F.lit(1)).alias("n"))
     caps = lookup(F.col("category"), {c: t[1] for c, t in R.TOKEN_CATEGORIES.items()})
     most = max(t[1] for t in R.TOKEN_CATEGORIES.values()) if capped else None
-    ranked = top_per_group(totals, ["category"], [F.desc("n"), F.col("value")], most)
+    order = [F.desc("n"), F.col("value")]
+    ranked = top_per_group(totals, ["category"], order, most) if capped else rank_all(totals, ["category"], order)
     return ranked.filter(F.col("rank") <= caps) if capped else ranked
 
 

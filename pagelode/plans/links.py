@@ -109,7 +109,7 @@ def _site_maps(spark, sf):
 
 
 def s06(spark, sf):
-    return L.sitemap_urls(*_site_maps(spark, sf), 150)
+    return L.sitemap_urls(*_site_maps(spark, sf))
 
 
 QUERIES = {

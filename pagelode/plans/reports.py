@@ -133,8 +133,7 @@ ORACLES = {
         "coalesce(' · screenshot: `' || screenshot || '`', '')) || ' |' END AS line FROM actions WHERE outcome <> 'noop'",
     "k07_task_checklist": f"WITH {_FEAT}, n AS (SELECT *, row_number() OVER (ORDER BY ord, title) AS number FROM ft), l AS (SELECT number, ['## QC-' || CASE WHEN number < 1000 THEN printf('%03d', number) ELSE CAST(number AS "
         "STRING) END || ' ' || title, 'Expected: ' || detail || ' · API: ' || array_to_string(apis, ', ')] AS ls FROM n) SELECT number, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM l",
-    "k08_css_tokens": f"WITH {_TALLY} SELECT category, rank, '  --' || CASE category " + " ".join(f"WHEN '{c}' THEN '{t[2]}'" for c, t in R.TOKEN_CATEGORIES.items()) + " END || '-' || rank || ': ' || value || ';' AS line FROM ranked "
-        "WHERE rank <= CASE category " + " ".join(f"WHEN '{c}' THEN {t[3]}" for c, t in R.TOKEN_CATEGORIES.items()) + " END",
+    "k08_css_tokens": f"WITH {_TALLY} SELECT category, rank, '  --' || CASE category " + " ".join(f"WHEN '{c}' THEN '{t[2]}'" for c, t in R.TOKEN_CATEGORIES.items()) + " END || '-' || rank || ': ' || value || ';' AS line FROM ranked",
     "k08_bundle_index": "WITH a AS (" + TASK_SQL["v18_route_artifacts"] + ") SELECT route, min(seq) AS seq, '| `' || route || '` | ' || arg_min(label, seq) || ' | `' || arg_min(screenshot, seq) || '` | `' || arg_min(dom, seq) || '` | "
         "' || CASE WHEN arg_min(behaviors, seq) > 0 THEN CAST(arg_min(behaviors, seq) AS STRING) ELSE '—' END || ' |' AS line FROM a GROUP BY route",
     "k09_append_pages": f"WITH {_CAP}, old AS {_NUMBERED.format('false')}, new AS {_NUMBERED.format('true')}, u AS (SELECT *, false AS added FROM old UNION ALL SELECT category, index + coalesce((SELECT max(index) FROM old WHERE "

@@ -146,12 +146,13 @@ def task_lines(tasks: DataFrame) -> DataFrame:
         F.concat(F.lit("## "), "task_id", F.lit(" "), one_line(F.col("title"))), F.concat(F.lit("Expected: "), one_line(F.concat("detail", api, data)))])
 
 
-def css_token_lines(ranked: DataFrame) -> DataFrame:
-    """Ranked tokens as CSS variables, capped per category."""
+def css_token_lines(ranked: DataFrame, capped: bool = False) -> DataFrame:
+    """Ranked tokens as CSS variables; ``capped`` keeps each category's first few."""
     prefix = lookup(F.col("category"), {c: t[2] for c, t in R.TOKEN_CATEGORIES.items()})
     cap = lookup(F.col("category"), {c: t[3] for c, t in R.TOKEN_CATEGORIES.items()})
     value = F.trim(F.regexp_replace(F.regexp_replace("value", r"\r?\n", " "), ";", " "))
-    return ranked.filter(F.col("rank") <= cap).filter(value != "").select("category", "rank", F.concat(
+    kept = ranked.filter(F.col("rank") <= cap) if capped else ranked
+    return kept.filter(value != "").select("category", "rank", F.concat(
         F.lit("  --"), prefix, F.lit("-"), "rank", F.lit(": "), value, F.lit(";")).alias("line"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules as R
-from ..functions.core import running
+from ..functions.core import ranged, running
 from ..operators.calls import body_key
 
 
@@ -98,7 +98,7 @@ def folded_records(log: DataFrame) -> DataFrame:
         step, "resource string, id string, seq long, body string", "record string", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttle_batches(arrivals: DataFrame, path: str, delay_ms: int, bucket_ms: int = 60000) -> None:
+def throttle_batches(arrivals: DataFrame, path: str, delay_ms: int) -> None:
     """ST5: start slots of requests per host, carried from batch to batch.
 
     Each micro-batch uses the running-maximum form of the schedule, so a hot host
@@ -113,10 +113,9 @@ def throttle_batches(arrivals: DataFrame, path: str, delay_ms: int, bucket_ms: i
             carry = spark.read.parquet(f"{path}/carry/batch={number - 1}")
         else:
             carry = spark.createDataFrame([], "host string, last_ms long")
-        bucket = F.floor(F.col("arrival_ms") / bucket_ms).cast("long")
         order = ["arrival_ms", "seq"]
-        turned = running(rows, ["host"], order, bucket, {"turn": ("count", F.lit(1))})
-        led = running(turned, ["host"], order, bucket, {"lead": ("max", F.col("arrival_ms") - F.col("turn") * delay_ms)})
+        turned = running(ranged(rows, ["host"], order), ["host"], order, F.col("_range"), {"turn": ("count", F.lit(1))})
+        led = running(turned, ["host"], order, F.col("_range"), {"lead": ("max", F.col("arrival_ms") - F.col("turn") * delay_ms)})
         slots = led.join(carry, "host", "left").withColumn("slot_ms", F.col("turn") * delay_ms + F.greatest("lead", "last_ms"))
         slots.select("host", "seq", "arrival_ms", "slot_ms").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
         done = spark.read.parquet(f"{path}/rows/batch={number}").groupBy("host").agg(F.max("slot_ms").alias("last_ms"))
