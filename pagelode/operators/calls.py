@@ -397,25 +397,41 @@ def best_routes(requests: DataFrame, route: DataFrame) -> DataFrame:
 # --- resource state ------------------------------------------------------------------------------------------
 
 
-def fold_state(log: DataFrame) -> DataFrame:
-    """C20: final fields of every record after create, replace, merge and delete.
-
-    Whole-record events set a base; later merges lay single fields over it. Both
-    are aggregates per record and field, so order needs no row-by-row loop.
-    """
+def _opened_log(log: DataFrame) -> DataFrame:
+    """Events with the fields of their bodies; a reset deletes."""
     entries = F.expr("map_entries(try_variant_get(try_parse_json(body), '$', 'map<string,variant>'))")
-    rows = log.withColumn("fields", F.transform(entries, lambda e: F.struct(
+    ops = F.when(F.col("op") == "reset", "delete").otherwise(F.col("op"))
+    rows = log.withColumn("op", ops).withColumn("fields", F.transform(entries, lambda e: F.struct(
         e["key"].alias("field"), F.to_json(e["value"]).alias("value"))))
     # A replace without an object keeps the record; a create stores its id.
-    rows = rows.filter("op <> 'replace' or fields is not null").withColumn("fields", F.when(
+    return rows.filter("op <> 'replace' or fields is not null").withColumn("fields", F.when(
         (F.col("op") == "create") & ~F.coalesce(F.exists("fields", lambda e: e["field"] == "id"), F.lit(False)),
         F.concat(F.coalesce("fields", F.array().cast("array<struct<field:string,value:string>>")), F.array(F.struct(
             F.lit("id").alias("field"), F.concat(F.lit('"'), "id", F.lit('"')).alias("value"))))).otherwise(F.col("fields")))
+
+
+def replaced_records(log: DataFrame) -> DataFrame:
+    """Records of which nothing from before the log is left: ``resource, id``."""
+    return _opened_log(log).filter("op <> 'merge'").select("resource", "id").distinct()
+
+
+def fold_fields(log: DataFrame) -> DataFrame:
+    """``fold_state`` with the sequence number of the event that set each field."""
+    rows = _opened_log(log)
     base = rows.filter("op <> 'merge'").groupBy("resource", "id").agg(F.max("seq").alias("base_seq"))
     laid = rows.filter("op <> 'delete'").join(base, ["resource", "id"], "left").filter(
         "seq >= coalesce(base_seq, seq)")
     field = laid.select("resource", "id", "seq", F.inline("fields"))
-    return field.groupBy("resource", "id", "field").agg(F.max_by("value", "seq").alias("value"))
+    return field.groupBy("resource", "id", "field").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+
+
+def fold_state(log: DataFrame) -> DataFrame:
+    """C20: final fields of every record after create, replace, merge and delete.
+
+    Whole-record events set a base; later merges lay single fields over it. Both
+    are aggregates per record and field, so order needs no row-by-row loop.
+    """
+    return fold_fields(log).drop("seq")
 
 
 def record_lookup(records: DataFrame, asks: DataFrame) -> DataFrame:

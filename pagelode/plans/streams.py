@@ -30,23 +30,19 @@ def _calls(spark, sf):
     return calls.withColumn("url", F.concat(F.lit("https://"), "host", "pathname"))
 
 
-def _staged(spark, rows, order, least_files):
+def _staged(spark, rows, order, files):
     """Rows as files in order of ``order``, read as a stream one file per batch.
 
-    A file source reads the oldest file first, so the ranges are written one after
-    the other; each holds some 50,000 rows at most.
+    All files are written by one job, in ranges of the order. A file source takes the oldest file first, so their times are
+    set in the order of their names; only names pass through the driver.
     """
     path = f"{_folder(spark)}/source"
-    files = max(least_files, rows.count() // 50000 + 1)
-    bounds = rows.approxQuantile(order, [i / files for i in range(1, files)], 0.001)
-    edges = [None, *sorted(set(bounds)), None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows
-        if low is not None:
-            part = part.filter(F.col(order) > low)
-        if high is not None:
-            part = part.filter(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    rows.repartitionByRange(files, order).write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, part in enumerate(parts):
+        system.setTimes(part, 1_700_000_000_000 + 1000 * i, -1)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -57,15 +53,17 @@ def _done(spark, stream):
 
 
 def st1(spark, sf):
-    return _done(spark, J.first_per_key(_calls(spark, sf), "365 days").select("body_key")).groupBy("body_key").agg(F.count(F.lit(1)).alias("kept"))
+    path = _folder(spark)
+    J.first_calls(_calls(spark, sf), path)
+    return spark.read.parquet(f"{path}/rows").select("body_key", "seq", "status")
 
 
 def st2(spark, sf):
     frames = A.table(spark, sf, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 20).alias("stream_key"), (
-        F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.timestamp_seconds(
-        1 + F.col("conv_id") * 10 + F.col("turn")).alias("ts"), F.col("text").alias("frame"))
-    kept = _done(spark, J.capped_frames(_staged(spark, frames, "seq", 4)))
-    return kept.groupBy("stream_key").agg(F.count(F.lit(1)).alias("frames"), F.max("frame_no").alias("last_no"), F.count_distinct("seq").alias("distinct_frames"))
+        F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("frame"))
+    path = _folder(spark)
+    J.numbered_frames(_staged(spark, frames, "seq", 4), path)
+    return spark.read.parquet(f"{path}/rows").select("stream_key", "frame_no", "seq", F.md5("frame").alias("digest"))
 
 
 def st3_tumbling(spark, sf):
@@ -84,11 +82,9 @@ def st3_sessions(spark, sf):
 
 
 def st4(spark, sf):
-    log = A.crud_log(spark, sf)
-    out = _done(spark, J.folded_records(_staged(spark, log, "seq", 3)))
-    last = out.groupBy("resource", "id").agg(F.max_by("body", "seq").alias("body")).filter("body is not null")
-    fields = F.map_entries(F.expr("try_variant_get(parse_json(body), '$', 'map<string,variant>')"))
-    return last.select("resource", "id", F.inline(fields)).select("resource", "id", F.col("key").alias("field"), F.to_json("value").alias("value"))
+    path = _folder(spark)
+    J.fold_batches(_staged(spark, A.crud_log(spark, sf), "seq", 3), path)
+    return J.record_state(spark, path).select("resource", "id", "field", "value")
 
 
 def st5_throttle(spark, sf):
@@ -119,8 +115,9 @@ def _sessions(source: str, keys: str, gap: str) -> str:
 
 
 ORACLES = {
-    "st1_first_per_key": f"WITH {_CALLS} SELECT DISTINCT method || ' https://' || host || pathname AS body_key, 1 AS kept FROM calls",
-    "st2_capped_frames": "WITH f AS (SELECT 's' || (conv_id % 20) AS stream_key, count(*) AS c FROM conversations GROUP BY 1) SELECT stream_key, c AS frames, c AS last_no, c AS distinct_frames FROM f",
+    "st1_first_per_key": f"WITH {_CALLS} SELECT method || ' https://' || host || pathname AS body_key, min(seq) AS seq, arg_min(status, seq) AS status FROM calls GROUP BY 1",
+    "st2_capped_frames": "SELECT 's' || (conv_id % 20) AS stream_key, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id * 1000 + turn) AS frame_no, conv_id * 1000 + turn AS seq, "
+        "md5(text) AS digest FROM conversations",
     "st3_tumbling_counts": f"WITH {_CALLS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, host, count(*) AS calls, count(*) FILTER (status >= 500) AS errors FROM calls WHERE date_trunc('hour', ts) + INTERVAL 1 "
         f"HOUR {_CLOSED} GROUP BY 1, 2",
     "st3_sliding_counts": f"WITH {_CALLS}, w AS (SELECT host, status, date_trunc('hour', ts) - INTERVAL 1 HOUR * d AS a FROM calls, (VALUES (0), (1)) x(d)) SELECT strftime(a, '%Y-%m-%d %H:%M') AS window_start, host, count(*) AS calls, count(*) "

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules as R
-from ..functions.core import ranged, running
-from ..operators.calls import body_key
+from ..functions.core import head, rank_all, ranged, running
+from ..operators.calls import body_key, fold_fields, replaced_records
+from ..session import stage
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
@@ -22,39 +20,57 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def _versions(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """Rows that the batches before one have written below ``path``, with their ``batch``."""
+    if before <= 0:
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(path).filter(F.col("batch") < before)
+
+
+def _each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def first_per_key(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """ST1: calls whose (method, URL) was not seen before within the watermark."""
+    """ST1: calls whose (method, URL) was not seen before within the watermark; which of them is kept is open."""
     keyed = calls.withColumn("body_key", body_key(F.col("method"), F.col("url")))
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["body_key"])
 
 
-def capped_frames(frames: DataFrame, cap: int | None = R.MAX_FRAMES) -> DataFrame:
-    """ST2: frames (stream_key, seq, ts, frame), all or up to ``cap`` per stream, numbered on from the state.
+def first_calls(calls: DataFrame, path: str) -> None:
+    """ST1: the first call of each (method, URL) of all time, by ``seq``: ``body_key, seq, ts, status`` below ``path``/rows.
+
+    What a batch adds is a version of the table, and the table is the state: a batch's first calls are aggregated with
+    partial sums, and those of keys in earlier versions are dropped by an anti join. A batch that runs again writes the same.
+    """
+    spark, schema = calls.sparkSession, "body_key string, seq long, ts timestamp, status int"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        keyed = batch.withColumn("body_key", body_key(F.col("method"), F.col("url")))
+        first = keyed.groupBy("body_key").agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"), F.min_by(
+            F.col("status").cast("int"), "seq").alias("status"))
+        seen = _versions(spark, f"{path}/rows", schema, number).select("body_key")
+        first.join(seen, "body_key", "left_anti").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    _each_batch(calls, path, merge)
+
 
-    A micro-batch is taken in order of ``seq``.
+def numbered_frames(frames: DataFrame, path: str, cap: int | None = R.MAX_FRAMES) -> None:
+    """ST2: frames (stream_key, seq, frame), all or up to ``cap`` per stream, numbered on from batch to batch.
 
-    State is one counter per stream; a stream silent for a day of event time is forgotten.
+    ``stream_key, frame_no, seq, frame`` below ``path``/rows. Frames of a batch are numbered in ranges of rows, so a hot stream
+    is spread; the state is one count per stream, of which each batch writes a version with the streams that it touched.
     """
-    day_ms = 24 * 3600 * 1000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        taken, newest = state.get[0] if state.exists else 0, state.getCurrentWatermarkMs()
-        parts = list(batches)
-        if parts:
-            batch = pd.concat(parts).sort_values("seq", kind="stable")
-            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            kept = batch if cap is None else batch.head(max(cap - taken, 0))
-            if len(kept):
-                yield pd.DataFrame({"stream_key": key[0], "frame_no": range(taken + 1, taken + len(kept) + 1), "seq": kept["seq"].to_numpy(),
-                                    "frame": kept["frame"].str.slice(0, R.MAX_FRAME_CHARS).to_numpy()})
-            taken += len(kept)
-        state.update((taken,))
-        state.setTimeoutTimestamp(newest + day_ms)
-    return frames.withWatermark("ts", "1 hour").groupBy("stream_key").applyInPandasWithState(
-        step, "stream_key string, frame_no long, seq long, frame string", "taken long", "append", GroupStateTimeout.EventTimeTimeout)
+    spark, schema = frames.sparkSession, "stream_key string, taken long"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        taken = _versions(spark, f"{path}/counts", schema, number).groupBy("stream_key").agg(F.max_by("taken", "batch").alias("taken"))
+        ranked = rank_all(batch.select("stream_key", "seq", "frame"), ["stream_key"], ["seq"], "place").join(taken, "stream_key", "left")
+        placed = ranked.withColumn("frame_no", F.col("place") + F.coalesce("taken", F.lit(0))).select(
+            "stream_key", "frame_no", "seq", head(F.col("frame"), R.MAX_FRAME_CHARS).alias("frame"))
+        kept = placed if cap is None else placed.filter(F.col("frame_no") <= cap)
+        kept.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        placed.groupBy("stream_key").agg(F.max("frame_no").alias("taken")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+    _each_batch(frames, path, merge)
 
 
 def endpoint_counts(calls: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -71,31 +87,34 @@ def host_sessions(calls: DataFrame, gap: str, delay: str = "10 minutes") -> Data
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "host", "calls")
 
 
-def folded_records(log: DataFrame) -> DataFrame:
+_FIELDS = "resource string, id string, field string, value string, seq long"
+
+
+def record_state(spark: SparkSession, path: str, before: int = 1 << 30) -> DataFrame:
+    """ST4: the record store after all batches, or after those before one: ``resource, id, field, value, seq``."""
+    rows = _versions(spark, f"{path}/rows", _FIELDS, before)
+    last = rows.groupBy("resource", "id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["resource", "id", "batch"]).drop("batch").filter("field is not null")
+
+
+def fold_batches(log: DataFrame, path: str) -> None:
     """ST4: record store fed by create, replace, merge, delete and reset events (resource, id, seq, op, body).
 
-    One small state per record; each batch emits the record after it (NULL body once deleted).
+    Each batch writes a version with all fields of the records that it touched, and a row without a field for a record that
+    is gone. A batch is folded by the aggregates of C20; older fields stay where it has only merges. No event is looked at
+    one by one, so a record with most of a batch's events is no more work than others.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record = json.loads(state.get[0]) if state.exists else None
-        last = -1
-        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
-            body, last = json.loads(row.body) if row.body is not None else None, row.seq
-            if row.op in ("delete", "reset"):
-                record = None
-            elif row.op == "create":
-                record = dict(body) if isinstance(body, dict) else {"value": body}
-                record.setdefault("id", key[1])
-            elif isinstance(body, dict):
-                record = body if row.op == "replace" else {**(record or {}), **body}
-        if record is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(record),))
-        yield pd.DataFrame({"resource": [key[0]], "id": [key[1]], "seq": [last], "body": [None if record is None else json.dumps(record)]})
-    return log.groupBy("resource", "id").applyInPandasWithState(
-        step, "resource string, id string, seq long, body string", "record string", "append", GroupStateTimeout.NoTimeout)
+    spark = log.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        events = stage(batch.select("resource", "id", "seq", "op", "body"), "events")
+        touched = events.select("resource", "id").distinct()
+        older = (record_state(spark, path, number).join(touched, ["resource", "id"], "left_semi")
+                 .join(replaced_records(events), ["resource", "id"], "left_anti"))
+        fields = fold_fields(events).unionByName(older).groupBy("resource", "id", "field").agg(
+            F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+        touched.join(fields, ["resource", "id"], "left").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    _each_batch(log, path, merge)
 
 
 def throttle_batches(arrivals: DataFrame, path: str, delay_ms: int) -> None:
