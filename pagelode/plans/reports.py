@@ -14,7 +14,7 @@ from ..operators import verify as V
 from ..session import shared_folder
 from ..sinks import reports as K
 from ..sources import adapters as A
-from ..sources.readers import read_har
+from ..sources.readers import read_bundle, read_har, read_trees
 from . import sqltext as S
 from .calls import _API, _TEMPLATE, ORACLES as CALL_SQL, _flat_fixtures, api, templated
 from .interaction import ACT
@@ -43,6 +43,35 @@ def s02(spark, sf):
         "method", "host", "pathname", "status", "params", "headers").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SAVED_TREE = ("CASE WHEN s_suppkey % 2 = 0 THEN '{\"tree\":{\"role\":\"RootWebArea\",\"name\":\"x\",\"children\":[{\"role\":\"heading\",\"name\":\" ' || s_name || ' \",\"children\":"
+               "[{\"role\":\"link\",\"name\":\"L' || CAST(s_nationkey AS STRING) || '\"}]},{\"role\":\"button\",\"name\":true}]}}' ELSE '- navigation \"Main\":' || chr(10) || '  - link \"S' || "
+               "CAST(s_suppkey AS STRING) || '\":' || chr(10) || '    - /url: /x' || chr(10) || '- text: plain' END")
+
+
+def s02_bodies(spark, sf):
+    """Bodies of a log written as HAR documents, half of them in base64, and read back."""
+    path = _folder(spark, "har")
+    entries = K.har_entries(K.redacted_log(api(spark, sf)), F.col("seq") % 2 == 0)
+    entries.select(F.concat(F.lit('{"log":{"version":"1.2","entries":['), "entry", F.lit("]}}")).alias("value")).write.text(path)
+    return read_har(spark, path, multiline=False).select("method", "url", F.md5("request_body").alias("request"), F.md5("response_body").alias("response"))
+
+
+def s07(spark, sf):
+    """Trees saved one per file, as JSON and as snapshot text, and loaded again."""
+    path = _folder(spark, "trees")
+    A.table(spark, sf, "supplier").selectExpr("s_suppkey AS tree", _SAVED_TREE + " AS value").repartition("tree").write.partitionBy("tree").text(path)
+    nodes = read_trees(spark, path)
+    return nodes.select(F.regexp_extract("tree_id", "tree=([0-9]+)/", 1).cast("long").alias("tree_id"), "pos", "role", "name", "depth")
+
+
+def s08(spark, sf):
+    """Targets of a bundle, written in parts, of which the first per URL counts."""
+    path = _folder(spark, "targets")
+    rows = A.captures(spark, sf).select("url", "label", "category", "seq")
+    rows.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.json(path)
+    return read_bundle(spark, path, "url string, label string, category string, seq long", "url")
+
+
 def k03(spark, sf):
     """API documents written per host and read back: operations found in the text."""
     calls = templated(spark, sf)
@@ -104,6 +133,9 @@ QUERIES = {
     "k09_append_pages": k09_pages,
     "k09_append_fixtures": k09_fixtures,
     "s02_har_round_trip": s02,
+    "s02_har_bodies": s02_bodies,
+    "s07_saved_trees": s07,
+    "s08_bundle_targets": s08,
 }
 
 _CAP = S.view("captures", A.CAPTURES, "events")
@@ -139,5 +171,11 @@ ORACLES = {
     "k09_append_pages": f"WITH {_CAP}, old AS {_NUMBERED.format('false')}, new AS {_NUMBERED.format('true')}, u AS (SELECT *, false AS added FROM old UNION ALL SELECT category, index + coalesce((SELECT max(index) FROM old WHERE "
         "old.category = new.category), 0), name, true FROM new) SELECT *, category || '/' || printf('%02d', index) || '-' || name AS file FROM u",
     "k09_append_fixtures": f"WITH {S.view('calls', A.CALLS, 'events')} SELECT pathname || '.json' AS file, coalesce(max(seq) FILTER (seq % 2 = 0), max(seq)) AS seq FROM calls GROUP BY 1",
+    "s02_har_bodies": f"WITH {_API} SELECT method, url, CASE WHEN json_valid(request_body) THEN md5(replace(request_body, ': ', ':')) END AS request, md5(coalesce(replace("
+        "response_body, ': ', ':'), '')) AS response FROM api",
+    "s07_saved_trees": "SELECT s_suppkey AS tree_id, v.pos, v.role, CASE WHEN s_suppkey % 2 = 0 THEN CASE v.pos WHEN 0 THEN s_name WHEN 1 THEN 'L' || s_nationkey ELSE 'true' END ELSE CASE v.pos WHEN 0 "
+        "THEN 'Main' WHEN 1 THEN 'S' || s_suppkey ELSE '' END END AS name, v.depth FROM supplier, (VALUES (0, 0, 'heading', 0), (0, 1, 'link', 1), (0, 2, 'button', 0), (1, 0, 'navigation', 0), (1, 1, 'link', "
+        "1), (1, 2, 'text', 0)) v(odd, pos, role, depth) WHERE v.odd = s_suppkey % 2",
+    "s08_bundle_targets": f"WITH {_CAP} SELECT url, arg_min(label, seq) AS label, nullif(arg_min(coalesce(category, '-'), seq), '-') AS category, min(seq) AS seq FROM captures GROUP BY url",
     "s02_har_round_trip": f"WITH {_API} SELECT method, host, pathname, status, CASE WHEN seq % 4 = 0 THEN 4 ELSE 2 END + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS params, 3 AS headers, count(*) AS n FROM api GROUP BY ALL",
 }

@@ -24,8 +24,10 @@ def redacted_log(calls: DataFrame) -> DataFrame:
         F.octet_length(F.coalesce("resp_text", F.lit(""))).alias("resp_size"))
 
 
-def har_entries(log: DataFrame) -> DataFrame:
-    """HAR 1.2 entries as JSON text, one per row."""
+def har_entries(log: DataFrame, encoded: Column | None = None) -> DataFrame:
+    """HAR 1.2 entries as JSON text, one per row; response texts where ``encoded`` holds are written in base64."""
+    encoded = F.lit(False) if encoded is None else encoded
+    text = F.when(encoded, F.base64(F.encode("resp_text", "utf-8"))).otherwise(F.col("resp_text"))
     pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     query = F.flatten(F.transform(F.map_entries("query"), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("name"), v.alias("value")))))
     none = F.array().cast("array<string>")
@@ -35,7 +37,8 @@ def har_entries(log: DataFrame) -> DataFrame:
                  query.alias("queryString"), F.when(F.col("post_text").isNotNull(), F.struct(F.lit("application/json").alias("mimeType"), F.col("post_text").alias("text"))).alias("postData"),
                  F.lit(-1).alias("headersSize"), F.lit(-1).alias("bodySize")).alias("request"),
         F.struct(F.col("status"), F.lit("").alias("statusText"), F.lit("HTTP/1.1").alias("httpVersion"), none.alias("cookies"), pairs("resp_headers").alias("headers"),
-                 F.struct(F.col("resp_size").alias("size"), F.coalesce(F.nullif("resp_mime", F.lit("")), F.lit("application/json")).alias("mimeType"), F.col("resp_text").alias("text")).alias("content"),
+                 F.struct(F.col("resp_size").alias("size"), F.coalesce(F.nullif("resp_mime", F.lit("")), F.lit("application/json")).alias("mimeType"), text.alias("text"),
+                          F.when(encoded, F.lit("base64")).alias("encoding")).alias("content"),
                  F.lit("").alias("redirectURL"), F.lit(-1).alias("headersSize"), F.lit(-1).alias("bodySize")).alias("response"),
         F.create_map().cast("map<string,string>").alias("cache"),
         F.struct(F.lit(0).alias("send"), F.lit(0).alias("wait"), F.lit(0).alias("receive")).alias("timings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -31,7 +31,13 @@ def read_har(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
         F.col("e._resourceType").alias("resource_type"), F.coalesce("e.response.content.mimeType", F.lit("")).alias("resp_mime"),
         F.coalesce("e.response.status", F.lit(0)).alias("status"), F.coalesce("e.request.headers", F.array().cast(_PAIRS)).alias("req_headers"),
         F.coalesce("e.response.headers", F.array().cast(_PAIRS)).alias("resp_headers"),
-        F.col("e.request.postData.text").alias("request_body"), F.col("e.response.content.text").alias("response_body"))
+        F.col("e.request.postData.text").alias("request_body"), _content(F.col("e.response.content")).alias("response_body"))
+
+
+def _content(content: Column) -> Column:
+    """Text of a response; base64 is decoded, what is none stays away."""
+    return F.when(F.lower(content["encoding"]) == "base64", F.decode(F.try_to_binary(content["text"], F.lit("base64")), "utf-8")).otherwise(
+        content["text"])
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
