@@ -181,19 +181,24 @@ def merge_seeds(existing: DataFrame, sitemap: DataFrame, cap: int | None = None)
 def section_pages(links: DataFrame, sections: DataFrame) -> DataFrame:
     """Per section the first link of its index page that matches the pattern.
 
-    ``sections`` is a rules table (section, index_url, pattern). The index page
-    itself never counts. ``owner_url`` is the page of the first path segment.
+    ``sections`` is a rules table (section, index_url, pattern); with ``page_id`` a rule is for the links of that page
+    only, as pages may share a URL. The index page itself never counts. Links of one place go by the smaller page.
+    ``owner_url`` is the page of the first path segment.
     """
+    own = "page_id" in sections.columns
+    if own:
+        sections = sections.withColumnRenamed("page_id", "_index_page")
+    place = F.struct("pos", "page_id", "target") if "page_id" in links.columns else F.struct("pos", "target")
     path = U.pathname(F.col("target"))
     index_path = F.regexp_replace(U.pathname(F.col("index_url")), "/$", "")
     hits = (
-        links.join(sections, F.col("url") == F.col("index_url"))
+        links.join(sections, (F.col("url") == F.col("index_url")) & (F.col("page_id").eqNullSafe(F.col("_index_page")) if own else F.lit(True)))
         .withColumn("path", path)
         .filter(F.regexp_replace("path", "/$", "") != index_path)
         .filter(F.expr("path rlike pattern"))
     )
     return hits.groupBy("section", "index_url").agg(
-        F.min_by("target", "pos").alias("page_url")).withColumn("owner_url", F.concat(
+        F.min_by("target", place).alias("page_url")).withColumn("owner_url", F.concat(
             U.origin(F.col("page_url")), F.lit("/"),
             F.coalesce(F.get(U.segments(U.pathname(F.col("page_url"))), F.lit(0)), F.lit(""))))
 

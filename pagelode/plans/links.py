@@ -72,7 +72,7 @@ def g04(spark, sf):
 
 def g05(spark, sf):
     sections = A.table(spark, sf, "pages").select(
-        U.page_category(F.col("url")).alias("section"), F.col("url").alias("index_url"),
+        "page_id", U.page_category(F.col("url")).alias("section"), F.col("url").alias("index_url"),
         F.when(F.col("page_id") % 2 == 0, F.lit("^/[a-m]")).otherwise(F.lit("^/[^aeiou]")).alias("pattern"))
     return L.section_pages(_links(spark, sf), sections)
 

@@ -225,3 +225,13 @@ def test_attempts_are_all_numbered(spark):
     for r in rows:
         of.setdefault(r.url, []).append(r.attempt)
     assert max(map(len, of.values())) > 3 and all(sorted(n) == list(range(len(n))) for n in of.values())
+
+
+def test_section_rules_stay_with_their_page(spark):
+    """Two pages of one URL: a rule is for the links of its own page, and of one place the smaller page counts."""
+    pairs = [(1, "https://a.b/s/i", 0, "https://a.b/x"), (1, "https://a.b/s/i", 2, "https://a.b/c"),
+             (2, "https://a.b/s/i", 1, "https://a.b/b"), (2, "https://a.b/s/i", 2, "https://a.b/z"), (3, "https://a.b/s/i", 2, "https://a.b/a")]
+    found = spark.createDataFrame(pairs, "page_id long, url string, pos int, target string")
+    sections = spark.createDataFrame([(1, "s", "https://a.b/s/i", "^/[a-m]"), (2, "s", "https://a.b/s/i", "^/[n-z]"),
+                                      (3, "s", "https://a.b/s/i", "^/[a-m]")], "page_id long, section string, index_url string, pattern string")
+    assert [r.page_url for r in links.section_pages(found, sections).collect()] == ["https://a.b/c"]
