@@ -209,14 +209,16 @@ def style_delta(snapshots: DataFrame, resting: str = "rest") -> DataFrame:
 def layout_boxes(elements: DataFrame) -> DataFrame:
     """Up to 40 boxes per page: landmarks and headings in order, then the largest containers.
 
-    ``elements`` is (page_id, pos, tag, role, class, x, y, width, height, box).
+    ``elements`` is (page_id, pos, tag, role, class, x, y, width, height, box), and ``seq`` if positions may repeat: then
+    boxes of one place come in its order, and else by their geometry, so that a rerun numbers them alike.
     """
+    ties = [F.col(c) for c in ("seq", "tag", "x", "y", "width", "height") if c in elements.columns]
     cls = F.lower(F.coalesce("class", F.lit("")))
     tier = F.when(F.col("tag").isin(*R.LANDMARK_TAGS) | F.coalesce(F.col("role").isin(*R.LANDMARK_ROLES), F.lit(False)), 0).when(
         F.col("tag").isin("div", "ul", "ol", "article") | cls.contains("card") | cls.contains("container"), 1)
     area = F.col("width") * F.col("height")
     visible = elements.withColumn("tier", tier).filter("tier is not null and width > 0 and height > 0")
-    picked = top_per_group(visible, ["page_id"], [F.col("tier"), F.when(F.col("tier") == 1, -area).otherwise(F.lit(0.0)), F.col("pos")],
+    picked = top_per_group(visible, ["page_id"], [F.col("tier"), F.when(F.col("tier") == 1, -area).otherwise(F.lit(0.0)), F.col("pos"), *ties],
                            R.MAX_BOXES, "box_no")
     tenth = lambda c: F.floor(F.col(c) * 10 + 0.5) / 10.0
     kept = F.map_filter("box", lambda k, v: k.isin(*R.BOX_PROPS) & v.isNotNull() & ~v.isin(*R.BOX_NOISE))

@@ -24,7 +24,7 @@ _SAMPLES = ("t0 AS (" + A.select_sql(A.TYPE_SAMPLES, A.LINES_WITH_PARTS_SQL) + "
 def _boxes(spark, sf):
     """Boxes of line items: geometry from quantity, price and dates."""
     lines = A.lines_with_parts(spark, sf)
-    return lines.selectExpr(*_BOX).withColumn("box", F.create_map(
+    return lines.selectExpr(*_BOX, "l_orderkey AS seq").withColumn("box", F.create_map(
         F.lit("display"), F.when(F.col("pos") % 2 == 0, "none").otherwise("flex"), F.lit("gap"), F.col("gap"), F.lit("color"), F.lit("red"),
         F.lit("margin"), F.lit("0px 0px")))
 
