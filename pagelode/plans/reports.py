@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.core import spread
 from ..operators import calls as C
 from ..operators import styles as T
 from ..operators import tasks as TK
@@ -21,6 +22,9 @@ from .interaction import ACT
 from .styles import _TALLY, ORACLES as STYLE_SQL, _samples
 from .tasks import ORACLES as TASK_SQL, _FEAT, _features, v18
 
+#: Files that one task writes, where each row is a file.
+TASK_FILES = 250
+
 
 def _folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -59,7 +63,9 @@ def s02_bodies(spark, sf):
 def s07(spark, sf):
     """Trees saved one per file, as JSON and as snapshot text, and loaded again."""
     path = _folder(spark, "trees")
-    A.table(spark, sf, "supplier").selectExpr("s_suppkey AS tree", _SAVED_TREE + " AS value").repartition("tree").write.partitionBy("tree").text(path)
+    trees = A.table(spark, sf, "supplier").selectExpr("s_suppkey AS tree", _SAVED_TREE + " AS value")
+    # A file is slow and its row small: dealt by size, one task would write them all, and the driver would move them one by one.
+    spread(trees, "tree", task_rows=TASK_FILES).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("tree").text(path)
     nodes = read_trees(spark, path)
     return nodes.select(F.regexp_extract("tree_id", "tree=([0-9]+)/", 1).cast("long").alias("tree_id"), "pos", "role", "name", "depth")
 

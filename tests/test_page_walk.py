@@ -34,3 +34,8 @@ def test_pages_without_elements_and_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", ""), (None, "u", "<i>x"), (4, "u", "no tag < at all")], "page_id long, url string, html string")
     assert [(r.page_id, r.url, r.tag, r.text) for r in dom.dom_nodes(df).collect()] == [(None, "u", "i", "x")]
     assert [r.text for r in dom.dom_nodes(df, with_text=False).collect()] == [None]
+
+
+def test_rows_that_are_files_take_more_tasks(spark):
+    assert spread(spark.range(0, 3000, 1, 1), "id", task_rows=250).rdd.getNumPartitions() == 12
+    assert len(_sizes(spread(spark.range(0, 100, 1, 1), "id", task_rows=250))) == spark.sparkContext.defaultParallelism
