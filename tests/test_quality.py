@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from pagelode.functions import graph
 from pagelode.operators import dom, quality
+from pagelode.session import stage
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -49,6 +51,26 @@ def test_planted_soft_404s_are_found_and_real_pages_are_not(spark):
     assert quality.soft_404(frame(spark, rows).filter("page_id < 0")).count() == 0
 
 
+def test_no_near_link_is_missed_and_unlike_texts_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    # Many unlike fingerprints with equal low bits, and chains of near ones.
+    values = {rng.getrandbits(48) << 16 for _ in range(300)}
+    for value in sorted(values)[:40]:
+        for _ in range(6):
+            value ^= sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 5))})
+            values.add(value)
+    rows = [(i, "ab"[i % 2], signed(v)) for i, v in enumerate(sorted(values))]
+    want = {(x, y) for x, h, p in rows for y, g, q in rows if x < y and h == g and ((p ^ q) & ((1 << 64) - 1)).bit_count() <= 3}
+    got = [(r.a, r.b) for r in quality.near_links(spark.createDataFrame(rows, "id long, host string, print long")).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    # Texts that are unlike each other once took a round each.
+    tables = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: tables.append(name) or stage(df, name))
+    quality.soft_404(frame(spark, [(f"https://a.com/{i}", page(f"only word{i}")) for i in range(400)]))
+    assert len(tables) < 12
+
+
 def test_fingerprints_follow_the_words(spark):
     texts = spark.createDataFrame([(0, ""), (1, "one two"), (2, "One, TWO!"), (3, "two one")], "id long, text string")
     prints = {r.id: r.print for r in quality.fingerprints(texts).collect()}
