@@ -26,9 +26,26 @@ def redact_multimap(values: Column) -> Column:
         is_sensitive_name(k), F.array(F.lit(R.REDACTED))).otherwise(v))
 
 
+#: Begins of patterns that are always a character of a word, and what a place must hold for them.
+_BEGINS = {r"\d": r"(?=\d)", "[0-9a-f]": "", r"(?:an?|\d+)": r"(?=[a\d])", "(?:just now|yesterday|moments ago)": "(?=[jym])", "(?:sk-|pk-": "(?=[spgx])"}
+
+
+def _opened(pattern: str) -> str:
+    """``pattern`` with a cheaper word boundary at its begin, if what follows is always a character of a word.
+
+    A boundary before such a character only asks that none comes before it. Both sides were tested at every place of a text;
+    now the place must also hold what the pattern begins with, where that is plain to see.
+    """
+    flags, inner = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    body = inner.removeprefix(R.B)
+    lead = f"(?={body[0]})" if body[0].isalnum() else next((first for begin, first in _BEGINS.items() if body.startswith(begin)), None)
+    return pattern if lead is None or body == inner else f"{flags}{lead}(?<![A-Za-z0-9_]){body}"
+
+
 def _guarded(text: Column, guard: str, pattern: str, mark: str) -> Column:
     """Replace only where a cheap necessary part occurs; most texts skip the costly pattern."""
-    return let(text, lambda t: F.when(t.rlike(guard), F.regexp_replace(t, pattern, mark)).otherwise(t))
+    held = (lambda t: t.contains(guard)) if guard.replace("_", "").replace("-", "").isalnum() or guard in "@," else lambda t: t.rlike(guard)
+    return let(text, lambda t: F.when(held(t), F.regexp_replace(t, _opened(pattern), mark)).otherwise(t))
 
 
 def redact_secrets(text: Column, emails: bool = False) -> Column:
@@ -44,10 +61,16 @@ def redact_secrets(text: Column, emails: bool = False) -> Column:
     return F.when(F.length(text) < R.MIN_SECRET_CHARS, text).otherwise(out)
 
 
+# What each rule of R.HTML_SECRETS needs in a page, in the same order.
+_HTML_GUARDS = [
+    "eyJ", "hf_", "sk-", "gh[pousr]_", "github_pat_", "AKIA", "AIza", "xox[baprs]-", "Bearer", r"(?i)(key|token|secret|password)\"",
+]
+
+
 def scrub_html(html: Column) -> Column:
     """Labelled marks for secrets left in rendered HTML."""
-    for pattern, mark in R.HTML_SECRETS:
-        html = F.regexp_replace(html, pattern, mark)
+    for guard, (pattern, mark) in zip(_HTML_GUARDS, R.HTML_SECRETS, strict=True):
+        html = _guarded(html, guard, pattern, mark)
     return html
 
 
@@ -67,8 +90,8 @@ def normalize_text(text: Column) -> Column:
 def normalize_html(html: Column) -> Column:
     """Blank per-response attribute values, then ``normalize_text``."""
     for name in R.VOLATILE_ATTRS:
-        pattern = f"(?i)({R.B}{name}{R.WS}*={R.WS}*)([\"'])[^\"']*\\2"
-        html = F.regexp_replace(html, pattern, "$1$2$2")
+        pattern = f"(?i)(?={name[0]}){R.B}({name}{R.WS}*={R.WS}*)([\"'])[^\"']*\\2"
+        html = _guarded(html, f"(?i){name}", pattern, "$1$2$2")
     return normalize_text(html)
 
 
@@ -84,11 +107,17 @@ def stabilize_text(text: Column) -> Column:
     return text
 
 
+# One of these is in every text that ``stabilize_text`` changes.
+_CHANGES = (r"(?i)[0-9@]|bearer|eyj|sk-|pk-|ghp_|xox|[a-f]{8}|(?<![a-z0-9_])an?" + R.WS + "+(?:second|minute|hour|day|week|month|year)"
+            "|just now|yesterday|moments ago")
+
+
 def stabilize_html(html: Column) -> Column:
     """F06 over markup: R09, then counts and relative times between tags; attributes keep their numbers."""
     html = normalize_html(html)
     tokens = F.regexp_extract_all(html, F.lit(r"(<[^>]*>|[^<]+|<)"), F.lit(1))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("<"), t).otherwise(stabilize_text(t))), "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(
+        t.startswith("<") | ~t.rlike(_CHANGES), t).otherwise(stabilize_text(t))), "")
 
 
 def label_key(label: Column) -> Column:

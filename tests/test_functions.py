@@ -104,3 +104,24 @@ def test_click_risk(spark):
     assert [bool(v) for v in safe] == [True, False, True, True, False]
     bold = values(spark, lambda c: actions.click_risk(c, F.lit(False), F.lit(True)), rows)
     assert [bool(v) for v in bold] == [True, False, True, False, False]
+
+
+BOUNDARIES = ["sk-" + "a1" * 12, "xsk-" + "a1" * 12, "_AKIA" + "B" * 16, "é1234567890", "x1234567890", " 1234567890.", "12345678901", "in 3 days", "begin 3 days",
+              "a day ago, an hour ago", "banana day ago", "just now; adjust now", "1,234 likes", "x1,234", "a@b.co -.x@y.de", "nonce='a' xnonce='b' data-nonce=\"c\"",
+              "abcdefab-abcd-abcd-abcd-abcdefabcdef", "gabcdefabcdefabcdef abcdefabcdefabcdef", "<p>a week ago</p><p title='1,234'>1,234</p> an", "3.5k 3.5km x3k", "",
+              "\"api_key\": \"123456789\" \"PASSWORD\":\"abcdefghi\"", "Bearer " + "t" * 24 + " xBearer " + "t" * 24, "hf_" + "q" * 24 + " ghp_" + "r" * 24, None]
+
+
+@pytest.mark.parametrize("name", ["scrub_html", "normalize_text", "normalize_html", "stabilize_text", "stabilize_html"])
+def test_cheaper_boundaries_and_guards_change_nothing(spark, monkeypatch, name):
+    got = values(spark, getattr(X, name), BOUNDARIES)
+    monkeypatch.setattr(X, "_opened", lambda pattern: pattern)
+    monkeypatch.setattr(X, "_guarded", lambda text, guard, pattern, mark: F.regexp_replace(text, pattern, mark))
+    monkeypatch.setattr(X, "_CHANGES", "(?s)^")
+    assert values(spark, getattr(X, name), BOUNDARIES) == got
+
+
+def test_no_place_of_a_text_tests_both_sides_of_a_boundary():
+    rules = [p for p, _ in X.R.VOLATILE_TEXT + X.R.VOLATILE_COUNTS + X.R.HTML_SECRETS]
+    left = [p for p in rules if p.removeprefix("(?i)").startswith(X.R.B) and X._opened(p) == p]
+    assert left == [p for p in rules if "@" in p and r"[\w.+-]" in p]
