@@ -37,6 +37,13 @@ def test_scores(spark):
     assert [(r.copies, r.host_pages, r.findings, r.score) for r in found] == [(4, 4, "copy", 0.7)] * 4
 
 
+def test_texts_of_pages_are_made_once(spark):
+    pages = frame(spark, [("https://a.com/1", page(prose(1))), (None, "<p> a \u00a0 b</p>")])
+    scored = quality.capture_quality(pages, dom.dom_nodes(pages))
+    assert "regexp_replace" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.page_id: r.chars for r in scored.collect()}[1] == 2
+
+
 def test_planted_soft_404s_are_found_and_real_pages_are_not(spark):
     rows = [(f"https://a.com/p{i}", page(prose(i))) for i in range(60)]
     # One stock answer that names what was asked for, so that no two texts are equal; and the same texts once on other hosts.
