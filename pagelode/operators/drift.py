@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import number_rows
+from ..session import stage
 
 #: Between the parts of a row as text, and in place of a null part.
 PART, NULL = "\x01", "\x02"
@@ -52,7 +53,8 @@ def drift(pairs: Sequence[Pair]) -> DataFrame:
     single = left.filter("more <> 0").select(
         "dataset", "key", "row", "fields", F.when(F.col("more") > 0, "before").otherwise("after").alias("side"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.abs("more"))).alias("copy"))
-    placed = single.withColumn("place", F.concat(F.md5("row"), F.lpad(F.col("copy").cast("string"), 12, "0")))
+    # Rows that differ are numbered from a table: numbering reads them several times, and the captures behind them cost much.
+    placed = stage(single.withColumn("place", F.concat(F.md5("row"), F.lpad(F.col("copy").cast("string"), 12, "0"))), "drift-rows")
     numbered = number_rows(placed, ["dataset", "key", "side"], ["place"], F.conv(F.substring("place", 1, 2), 16, 10).cast("int"), "nth")
     sides = [numbered.filter(F.col("side") == side).select("dataset", "key", "nth", F.split("row", PART).alias(side),
                                                            F.col("fields").alias(f"{side}_fields")) for side in ("before", "after")]

@@ -136,8 +136,8 @@ def gate(scores: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
 _ROLES = {"a": "link", "li": "listitem", "h1": "heading", "nav": "navigation", "article": "article", "p": "paragraph"}
 
 
-def nodes_from_dom(elements: DataFrame) -> DataFrame:
-    """Tree nodes of an element table: implied roles and text names."""
+def nodes_from_dom(elements: DataFrame, *more: str) -> DataFrame:
+    """Tree nodes of an element table: implied roles and text names; ``more`` columns are kept."""
     from ..functions.core import lookup
     return elements.withColumn("role", lookup(F.col("tag"), _ROLES)).filter("role is not null").select(
-        F.col("page_id").alias("tree_id"), "pos", "role", F.col("text").alias("name"), "depth")
+        F.col("page_id").alias("tree_id"), "pos", "role", F.col("text").alias("name"), "depth", *more)

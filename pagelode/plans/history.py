@@ -41,9 +41,9 @@ def capture_pairs(spark, sf) -> list[V.Pair]:
             "html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.sha2(Y.stabilize_html(F.col("html")), 256).alias("digest"))
 
     def trees(run):
-        elements = D.dom_nodes(A.captured(spark, sf, run))
-        named = elements.select("page_id", "url").distinct().select(F.col("page_id").alias("tree_id"), U.normalize_url(F.col("url")).alias("route"))
-        return Z.nodes_from_dom(elements).join(named, "tree_id").select("route", "role", Y.stabilize_text(F.col("name")).alias("name"))
+        # A page's route is found before it is walked, so pages are walked once and elements are not joined.
+        pages = A.captured(spark, sf, run).withColumn("url", U.normalize_url(F.col("url")))
+        return Z.nodes_from_dom(D.dom_nodes(pages), "url").select(F.col("url").alias("route"), "role", Y.stabilize_text(F.col("name")).alias("name"))
 
     def tokens(left_out):
         values = T.token_values(A.style_rows(spark, sf).filter(F.col("page_id") % 10 != left_out))

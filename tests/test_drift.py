@@ -63,3 +63,16 @@ def test_stable_json(spark):
     docs = spark.createDataFrame([(1, raw)], "seq int, json string")
     got = {r.path: r.value for r in J.stable_counts(docs, ["seq"]).collect()}
     assert got == {"$.likes": "0", "$.size": "4", "$.n.viewCount": "0", "$.n.total": "9", "$.id": "{{UUID}}", "$.t": "{{RELATIVE_TIME}}"}
+
+
+def test_captures_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    tables = [spark.range(50).selectExpr("cast(id as string) k", "1 part", f"concat('a', id % {n}) a", "1 b").mapInArrow(seen, ROW) for n in (3, 4)]
+    assert V.drift([V.Pair("t", *tables, ["k", "part"], ["a", "b"])]).count() > 0
+    assert reads.value == 100
