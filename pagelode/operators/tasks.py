@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_items, first_rows, lookup, number_rows, pad, position_in, top_per_group
+from ..functions.core import first_items, first_rows, let, lookup, number_rows, once, pad, position_in, top_per_group
+
 from .dom import role
 
 TASK_COLUMNS = ["grp", "ord", "title", "page", "page_url", "role", "name", "action", "outcome", "detail", "api", "pre", "data", "value"]
@@ -65,10 +66,10 @@ def salient_pairs(entries: Column) -> Column:
 
 def _text_entries(v: Column, keys: Column) -> Column:
     """String members of a variant object in the given key order."""
-    members = F.try_variant_get(v, "$", "map<string,variant>")
-    return F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(
-        F.schema_of_variant(F.try_element_at(members, k)) == "STRING", F.try_variant_get(F.try_element_at(members, k), "$", "string")).alias("value"))),
-        lambda e: e["value"].isNotNull())
+    def text(x: Column) -> Column:
+        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    return let(F.try_variant_get(v, "$", "map<string,variant>"), lambda members: F.filter(F.transform(keys, lambda k: F.struct(
+        k.alias("key"), let(F.try_element_at(members, k), text).alias("value"))), lambda e: e["value"].isNotNull()))
 
 
 def _quoted(values: Column) -> Column:
@@ -77,16 +78,18 @@ def _quoted(values: Column) -> Column:
 
 def fixture_data_tasks(fixture: DataFrame) -> DataFrame:
     """Data task per fixture (seq, url, template, response, file) from its first object record."""
-    v = F.try_parse_json("response")
-    body = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in R.RECORD_KEYS], v)
-    opened = fixture.withColumn("_b", body).withColumn("_items", F.try_variant_get("_b", "$", "array<variant>"))
+    parsed = once(fixture, _v=F.try_parse_json("response"))
+    body = F.coalesce(*[F.try_variant_get("_v", f"$.{k}", "variant") for k in R.RECORD_KEYS], "_v")
+    opened = once(once(parsed, _b=body), _items=F.try_variant_get("_b", "$", "array<variant>"))
     objects = F.filter(F.transform("_items", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT"))
     record = F.when(F.col("_items").isNotNull(), F.get(objects, F.lit(0))).when(
         F.schema_of_variant("_b").startswith("OBJECT"), F.struct(F.lit(-1).alias("i"), F.col("_b").alias("v")))
-    found = opened.withColumn("_r", record).filter("_r is not null")
+    found = once(opened, _r=record).filter("_r is not null")
     keys = F.json_object_keys(F.when(F.col("_r.i") < 0, F.coalesce(*[F.get_json_object("response", f"$.{k}") for k in R.RECORD_KEYS], "response")).otherwise(F.to_json("_r.v")))
-    found = found.withColumn("pairs", salient_pairs(_text_entries(F.col("_r.v"), keys))).filter("size(pairs) > 0")
-    route = F.coalesce(U.pathname_or(F.col("url")), "template", F.lit("/"))
+    found = once(found, _texts=_text_entries(F.col("_r.v"), keys))
+    found = once(found, pairs=salient_pairs(F.col("_texts"))).filter("size(pairs) > 0")
+    found = once(found, _route=F.coalesce(U.pathname_or(F.col("url")), "template", F.lit("/")))
+    route = F.col("_route")
     source = lambda p: F.concat(F.lit("fixture:"), F.col("file"), F.lit("#"), F.when(F.col("_r.i") >= 0, F.concat(
         F.lit("["), F.col("_r.i"), F.lit("]."))).otherwise(F.lit("")), p["key"])
     return _task(found, 3, ord=F.col("seq"), title=F.concat(F.lit("data: real values render on "), route), page=route, page_url=F.coalesce("url", route),
@@ -150,7 +153,9 @@ def with_values(tasks: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def all_tasks(*groups: DataFrame) -> DataFrame:
-    """All groups with ids in sequence. The bucket (group, order) spreads a long feature group."""
+    """All groups with ids in sequence. The bucket (group, order) spreads a long feature group.
+
+    """
     tasks = groups[0]
     for g in groups[1:]:
         tasks = tasks.unionByName(g)

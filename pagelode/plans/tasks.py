@@ -42,7 +42,7 @@ _BODY = ("CASE o_orderkey % 5 WHEN 0 THEN '{\"data\":[\"x\",{\"zeta\":\"Zed ' ||
 
 
 def _bodies(spark, sf):
-    return A.table(spark, sf, "orders").selectExpr("o_orderkey AS seq", "'https://api.example.com/o/' || CAST(o_custkey AS STRING) AS url", "'/o/{o}' AS template",
+    return A.dealt(spark, sf, "orders", "o_orderkey").selectExpr("o_orderkey AS seq", "'https://api.example.com/o/' || CAST(o_custkey AS STRING) AS url", "'/o/{o}' AS template",
                                                    _BODY + " AS response", "'f' || CAST(o_orderkey AS STRING) || '.json' AS file")
 
 
