@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import urls as U
 from ..functions.core import first_items, first_rows, let, lookup, number_rows, once, pad, position_in, top_per_group
-
+from ..session import stage
 from .dom import role
 
 TASK_COLUMNS = ["grp", "ord", "title", "page", "page_url", "role", "name", "action", "outcome", "detail", "api", "pre", "data", "value"]
@@ -155,12 +155,13 @@ def with_values(tasks: DataFrame, features: DataFrame) -> DataFrame:
 def all_tasks(*groups: DataFrame) -> DataFrame:
     """All groups with ids in sequence. The bucket (group, order) spreads a long feature group.
 
+    Numbering reads the tasks twice, so they are made once and written.
     """
     tasks = groups[0]
     for g in groups[1:]:
         tasks = tasks.unionByName(g)
     bucket = F.struct("grp", F.floor(F.col("ord") / 1000000).cast("long").alias("b"))
-    return number_rows(tasks, [], ["grp", "ord", "title"], bucket, "number").withColumn("task_id", F.concat(F.lit("QC-"), pad(F.col("number"), 3)))
+    return number_rows(stage(tasks, "tasks"), [], ["grp", "ord", "title"], bucket, "number").withColumn("task_id", F.concat(F.lit("QC-"), pad(F.col("number"), 3)))
 
 
 # --- checks --------------------------------------------------------------------------------------
