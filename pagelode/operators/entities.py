@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_items, let, lookup, strip
+from ..functions.core import first_items, let, lookup, once, strip
 
 _RECORD = "array<struct<id:string,place:int,v:variant>>"
 
@@ -37,10 +37,15 @@ def _words(names: list[str]) -> Column:
 
 def record_id(v: Column) -> Column:
     """First usable id of a record: a non-blank text or a number under a known key."""
+    return let(_as_object(v), _id_in)
+
+
+def _id_in(members: Column) -> Column:
+    """``record_id`` of a record opened before."""
     def plain(x: Column) -> Column:
         return F.when(F.schema_of_variant(x).rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"),
                       F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit("")))
-    return let(_as_object(v), lambda m: _first(_words(R.ENTITY_ID_KEYS), lambda k: let(F.try_element_at(m, k), plain)))
+    return _first(_words(R.ENTITY_ID_KEYS), lambda k: let(F.try_element_at(members, k), lambda x: F.when(x.isNotNull(), plain(x))))
 
 
 def _as_object(v: Column) -> Column:
@@ -49,21 +54,21 @@ def _as_object(v: Column) -> Column:
 
 def document_records(docs: DataFrame) -> DataFrame:
     """Records of typed documents (path, seq, url, json): type, id, url, seq, place, v."""
-    typed = docs.withColumns({"e": path_entity(F.col("path")), "v": F.try_parse_json("json")}).filter(
-        "e is not null and v is not null")
+    typed = once(docs, e=path_entity(F.col("path")), v=F.try_parse_json("json")).filter("e is not null and v is not null")
+    typed = once(typed, _m=_as_object(F.col("v")))
     # A body without an id whose first list-valued field wraps the collection.
     keys = F.json_object_keys("json")
-    wrapped = F.get(F.filter(F.transform(keys, lambda k: F.try_element_at(_as_object(F.col("v")), k)),
+    wrapped = F.get(F.filter(F.transform(keys, lambda k: F.try_element_at("_m", k)),
                              lambda x: F.schema_of_variant(x).startswith("ARRAY")), F.lit(0))
-    target = F.when(record_id(F.col("v")).isNull() & _as_object(F.col("v")).isNotNull(), F.coalesce(wrapped, "v")).otherwise(F.col("v"))
-    opened = typed.select("e", "url", "seq", target.alias("v")).withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
+    target = F.when(F.col("_m").isNotNull() & _id_in(F.col("_m")).isNull(), F.coalesce(wrapped, "v")).otherwise(F.col("v"))
+    opened = once(once(typed, v=target), items=F.try_variant_get("v", "$", "array<variant>"))
     fallback = F.concat(F.coalesce("e.id", "e.type"), F.lit("-"))
     rows = F.when(F.col("items").isNotNull(), F.transform(first_items(F.col("items"), R.MAX_ENTITY_ITEMS), lambda x, i: F.struct(
         F.concat(fallback, i.cast("string")).alias("id"), (i + 1).alias("place"), x.alias("v")))).otherwise(
         F.array(F.struct(F.col("e.id").alias("id"), F.lit(0).alias("place"), F.col("v").alias("v"))))
-    flat = opened.select(F.col("e.type").alias("type"), "url", "seq", F.inline(rows.cast(_RECORD))).filter(_as_object(F.col("v")).isNotNull())
-    return flat.select("type", F.coalesce(record_id(F.col("v")), "id").alias("id"), F.when(F.col("place") == 0, F.col("url")).alias("url"),
-                       "seq", "place", "v").filter("id is not null and id <> ''")
+    flat = once(opened.select(F.col("e.type").alias("type"), "url", "seq", F.inline(rows.cast(_RECORD))), _m=_as_object(F.col("v")))
+    named = once(flat.filter("_m is not null"), id=F.coalesce(_id_in(F.col("_m")), "id")).filter("id is not null and id <> ''")
+    return named.select("type", "id", F.when(F.col("place") == 0, F.col("url")).alias("url"), "seq", "place", "v")
 
 
 def href_id(href: Column) -> Column:
@@ -92,22 +97,18 @@ def listing_records(rows: DataFrame) -> DataFrame:
 _LINKS = "array<struct<rel:string,dst_type:string,dst_id:string,dst:variant>>"
 
 
-def relations(records: DataFrame, owners_of_ids: bool = True) -> DataFrame:
-    """All links of records, repeats included: src type and id, rel, dst type and id, dst record.
-
-    With ``owners_of_ids``, an id ``owner/name`` of an owned type links to its owner as well.
-    """
+def _links_of(owners_of_ids: bool = True) -> Column:
+    """All links of a record (type, id, v): rel, dst type and id, dst record."""
     def usable(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
-        return F.when(kind == "STRING", F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit(""))).when(
-            kind.startswith("OBJECT"), record_id(x))
+        return let(F.schema_of_variant(x), lambda kind: F.when(
+            kind == "STRING", F.nullif(strip(F.try_variant_get(x, "$", "string")), F.lit(""))).when(kind.startswith("OBJECT"), record_id(x)))
 
     def related(raw: Column) -> Column:
         """Records a key points at; NULL when the key is of no use and the next one counts."""
         items = F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array(raw))
         found = F.filter(F.transform(first_items(items, R.MAX_RELATION_ITEMS), lambda x: F.struct(usable(x).alias("id"), x.alias("v"))),
                          lambda t: t["id"].isNotNull())
-        return let(found, lambda f: F.when((F.size(f) > 0) | F.schema_of_variant(raw).startswith("ARRAY"), f))
+        return F.when(raw.isNotNull(), let(found, lambda f: F.when((F.size(f) > 0) | F.schema_of_variant(raw).startswith("ARRAY"), f)))
 
     rules = F.array(*[F.struct(_words(keys).alias("keys"), F.lit(rel).alias("rel"), F.lit(to).alias("to")) for keys, rel, to in R.RELATION_RULES])
     by_rule = let(_as_object(F.col("v")), lambda m: F.flatten(F.transform(rules, lambda r: F.transform(
@@ -117,7 +118,15 @@ def relations(records: DataFrame, owners_of_ids: bool = True) -> DataFrame:
     owner = F.when(F.col("type").isin(*R.OWNED_TYPES) & (F.size(parts) >= 2), F.array(F.struct(
         F.lit("author").alias("rel"), F.lit("user").alias("dst_type"), F.try_element_at(parts, F.lit(-2)).alias("dst_id"),
         F.lit(None).cast("variant").alias("dst")))).otherwise(F.array().cast(_LINKS))
-    return records.select("type", "id", "seq", "place", F.inline(F.concat(by_rule, owner) if owners_of_ids else by_rule))
+    return F.concat(by_rule, owner) if owners_of_ids else by_rule
+
+
+def relations(records: DataFrame, owners_of_ids: bool = True) -> DataFrame:
+    """All links of records, repeats included: src type and id, rel, dst type and id, dst record.
+
+    With ``owners_of_ids``, an id ``owner/name`` of an owned type links to its owner as well.
+    """
+    return records.select("type", "id", "seq", "place", F.inline(_links_of(owners_of_ids)))
 
 
 def relation_edges(records: DataFrame) -> DataFrame:
@@ -127,8 +136,9 @@ def relation_edges(records: DataFrame) -> DataFrame:
 
 def entities(records: DataFrame) -> DataFrame:
     """Distinct entities with their first URL; ends of relations are entities too."""
-    linked = relations(records).select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id"), F.lit(None).cast("string").alias("url"), "seq", "place")
-    both = records.select("type", "id", "url", "seq", "place").unionByName(linked)
+    # A record and its ends leave together, so records are made once.
+    ends = F.transform(_links_of(), lambda t: F.struct(t["dst_type"].alias("type"), t["dst_id"].alias("id"), F.lit(None).cast("string").alias("url")))
+    both = records.select("seq", "place", F.inline(F.concat(F.array(F.struct("type", "id", "url")), ends)))
     return both.groupBy("type", "id").agg(F.min_by("url", F.when(F.col("url").isNotNull(), F.struct("seq", "place"))).alias("url"))
 
 
@@ -138,13 +148,12 @@ def entity_fields(records: DataFrame) -> DataFrame:
     Scalars and lists of scalars count. One aggregate per
     (entity, field), so an entity seen in very many records is no hot spot.
     """
-    inner = relations(records).filter("dst is not null").select(
-        F.col("dst_type").alias("type"), F.col("dst_id").alias("id"), "seq", "place", F.lit(1).alias("turn"), F.col("dst").alias("v"))
-    rows = records.select("type", "id", "seq", "place", F.lit(0).alias("turn"), "v").unionByName(inner)
+    named = F.transform(F.filter(_links_of(), lambda t: t["dst"].isNotNull()), lambda t: F.struct(
+        t["dst_type"].alias("type"), t["dst_id"].alias("id"), F.lit(1).alias("turn"), t["dst"].alias("v")))
+    rows = records.select("seq", "place", F.inline(F.concat(F.array(F.struct("type", "id", F.lit(0).alias("turn"), "v")), named)))
 
     def scalar(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
-        return ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"))
+        return let(F.schema_of_variant(x), lambda kind: ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")))
     entry = F.map_entries(_as_object(F.col("v")))
     flat_list = lambda x: F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda y: scalar(y) & (F.schema_of_variant(y) != "BOOLEAN"))
     kept = first_items(F.filter(entry, lambda e: scalar(e["value"]) | F.coalesce(flat_list(e["value"]), F.lit(False))), R.MAX_ENTITY_FIELDS)
