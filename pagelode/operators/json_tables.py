@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import let
+from ..functions.core import let, once
 from ..functions.redact import is_sensitive_name, redact_secrets, stabilize_text
 
 _NONE = "array<struct<path:string,shape:string,key:string,level:int,open:boolean,masked:boolean,v:variant>>"
@@ -19,14 +19,10 @@ _NONE = "array<struct<path:string,shape:string,key:string,level:int,open:boolean
 
 def kind_of(v: Column) -> Column:
     """JSON type of a variant; a number without a fraction is an integer."""
-    named = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(v.isNull(), F.lit(None)).when(F.is_variant_null(v), "null").when(named.startswith("OBJECT"), "object")
-        .when(named.startswith("ARRAY"), "array").when(named == "BOOLEAN", "boolean")
-        .when(named == "STRING", "string").when(number == F.floor(number), "integer")
-        .otherwise("number")
-    )
+    whole = let(F.try_variant_get(v, "$", "double"), lambda number: number == F.floor(number))
+    return F.when(v.isNull(), F.lit(None)).when(F.is_variant_null(v), "null").otherwise(let(F.schema_of_variant(v), lambda named: (
+        F.when(named.startswith("OBJECT"), "object").when(named.startswith("ARRAY"), "array").when(named == "BOOLEAN", "boolean")
+        .when(named == "STRING", "string").when(whole, "integer").otherwise("number"))))
 
 
 def json_nodes(docs: DataFrame, ids: Sequence[str], source: str = "json",
@@ -60,19 +56,19 @@ def json_nodes(docs: DataFrame, ids: Sequence[str], source: str = "json",
                             key.alias("key"), (level + 1).alias("level"), (~secret).alias("open"),
                             secret.alias("masked"), value.alias("v"))
 
-        inner = (
-            F.when(F.col("open") & items.isNotNull(), F.transform(items, lambda x, i: child(
-                F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.lit("[]"), F.lit(None).cast("string"), x)))
-            .when(F.col("open") & members.isNotNull(), F.transform(members, lambda e: child(
-                F.concat(F.lit("."), e["key"]), F.concat(F.lit("."), e["key"]), e["key"], e["value"])))
-            .otherwise(F.array().cast(_NONE))
-        )
+        # A list or object is opened once; most values are neither.
+        of_items = let(items, lambda xs: F.transform(xs, lambda x, i: child(
+            F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.lit("[]"), F.lit(None).cast("string"), x)))
+        of_members = let(members, lambda es: F.transform(es, lambda e: child(
+            F.concat(F.lit("."), e["key"]), F.concat(F.lit("."), e["key"]), e["key"], e["value"])))
+        inner = F.coalesce(F.when(F.col("open"), F.coalesce(of_items, of_members)), F.array().cast(_NONE))
         own = F.array(F.struct("path", "shape", "key", "level", F.lit(False).alias("open"), "masked", "v"))
         nodes = nodes.select(*ids, F.explode(F.concat(own, inner)).alias("n")).select(*ids, "n.*")
-    kind = F.when(F.col("masked"), "masked").otherwise(kind_of(F.col("v")))
+    nodes = once(nodes, kind=F.when(F.col("masked"), "masked").otherwise(kind_of(F.col("v"))))
+    kind = F.col("kind")
     text = F.when(F.col("masked"), F.lit(R.REDACTED)).when(
         ~kind.isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')"))
-    return nodes.select(*ids, "path", "shape", "key", "level", kind.alias("kind"), text.alias("value"), "v")
+    return nodes.select(*ids, "path", "shape", "key", "level", "kind", text.alias("value"), "v")
 
 
 def nesting(docs: DataFrame, source: str) -> int:
