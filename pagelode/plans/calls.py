@@ -15,7 +15,7 @@ from . import sqltext as S
 
 def api(spark, sf):
     """API calls, masked as soon as they are known to be such."""
-    return C.masked_calls(C.api_calls(A.calls(spark, sf)))
+    return C.masked_calls(C.api_calls(A.calls(spark, sf, dealt_rows=True)))
 
 
 def templated(spark, sf):
@@ -143,7 +143,7 @@ _DATED = ("SELECT seq, '{\"createdAt\":\"2024-05-06T07:08:09Z\",\"name\":\"2024-
 
 
 def c16(spark, sf):
-    docs = A.calls(spark, sf).selectExpr("seq", _DATED[len("SELECT seq, "):-len(" FROM calls")])
+    docs = A.calls(spark, sf, dealt_rows=True).selectExpr("seq", _DATED[len("SELECT seq, "):-len(" FROM calls")])
     return J.stable_leaves(docs, ["seq"])
 
 
