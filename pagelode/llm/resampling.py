@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import stage
 from .common import arrow_map, fold, small_batches, under_other_names, values
@@ -54,7 +55,7 @@ def bucket_counts(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sums = Hasher(buckets), np.zeros((2, buckets), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             for text, target in zip(values(batch.column(0)), batch.column(1).to_pylist()):
                 n = np.bincount(hasher(text).astype(np.int64), minlength=buckets)
                 sums[1] += n
@@ -133,15 +134,19 @@ def importance(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     target, raw = bucket_counts(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
     ratio = Ratio(target, raw, prior)
 
+    # A second copy of the text is sent to the workers only where it is not a string as it is.
+    same = isinstance(docs.schema[text].dataType, StringType)
+    source = docs if same else docs.withColumn("_text", F.col(text).cast("string"))
+    width, read = len(docs.columns), text if same else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
-        for batch in small_batches(batches, "_text"):
-            grams = [hasher(t).astype(np.int64) for t in values(batch.column(batch.schema.names.index("_text")))]
+        for batch in small_batches(batches, read):
+            grams = [hasher(t).astype(np.int64) for t in values(batch.column(batch.schema.names.index(read)))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([len(g) for g in grams], pa.int64()), pa.array([ratio(g) for g in grams], pa.float64())],
-                [*batch.schema.names[:-1], "_n_grams", "_log_weight"])
+                [*batch.columns[:width], pa.array([len(g) for g in grams], pa.int64()), pa.array([ratio(g) for g in grams], pa.float64())],
+                [*batch.schema.names[:width], "_n_grams", "_log_weight"])
 
-    source = docs.withColumn("_text", F.col(text).cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return arrow_map(source, run, f"{fields}, _n_grams long, _log_weight double")
 
