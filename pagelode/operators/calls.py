@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import let, lookup
+from ..functions.core import let, lookup, once
 from ..functions.hashing import fnv1a
 from ..functions.redact import is_sensitive_name, redact_secrets
 from ..session import stage
@@ -397,11 +397,11 @@ def best_routes(requests: DataFrame, route: DataFrame) -> DataFrame:
 # --- resource state ------------------------------------------------------------------------------------------
 
 
-def _opened_log(log: DataFrame) -> DataFrame:
+def opened_log(log: DataFrame) -> DataFrame:
     """Events with the fields of their bodies; a reset deletes."""
     entries = F.expr("map_entries(try_variant_get(try_parse_json(body), '$', 'map<string,variant>'))")
     ops = F.when(F.col("op") == "reset", "delete").otherwise(F.col("op"))
-    rows = log.withColumn("op", ops).withColumn("fields", F.transform(entries, lambda e: F.struct(
+    rows = once(log.withColumn("op", ops), fields=F.transform(entries, lambda e: F.struct(
         e["key"].alias("field"), F.to_json(e["value"]).alias("value"))))
     # A replace without an object keeps the record; a create stores its id.
     return rows.filter("op <> 'replace' or fields is not null").withColumn("fields", F.when(
@@ -410,14 +410,13 @@ def _opened_log(log: DataFrame) -> DataFrame:
             F.lit("id").alias("field"), F.concat(F.lit('"'), "id", F.lit('"')).alias("value"))))).otherwise(F.col("fields")))
 
 
-def replaced_records(log: DataFrame) -> DataFrame:
+def replaced_records(opened: DataFrame) -> DataFrame:
     """Records of which nothing from before the log is left: ``resource, id``."""
-    return _opened_log(log).filter("op <> 'merge'").select("resource", "id").distinct()
+    return opened.filter("op <> 'merge'").select("resource", "id").distinct()
 
 
-def fold_fields(log: DataFrame) -> DataFrame:
-    """``fold_state`` with the sequence number of the event that set each field."""
-    rows = _opened_log(log)
+def fold_fields(rows: DataFrame) -> DataFrame:
+    """``fold_state`` of an opened log with the sequence number of the event that set each field."""
     base = rows.filter("op <> 'merge'").groupBy("resource", "id").agg(F.max("seq").alias("base_seq"))
     laid = rows.filter("op <> 'delete'").join(base, ["resource", "id"], "left").filter(
         "seq >= coalesce(base_seq, seq)")
@@ -431,7 +430,7 @@ def fold_state(log: DataFrame) -> DataFrame:
     Whole-record events set a base; later merges lay single fields over it. Both
     are aggregates per record and field, so order needs no row-by-row loop.
     """
-    return fold_fields(log).drop("seq")
+    return fold_fields(opened_log(log)).drop("seq")
 
 
 def record_lookup(records: DataFrame, asks: DataFrame) -> DataFrame:

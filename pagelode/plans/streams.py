@@ -31,19 +31,20 @@ def _calls(spark, sf):
 
 
 def _staged(spark, rows, order, files):
-    """Rows as files in order of ``order``, read as a stream one file per batch.
+    """Rows as files in order of ``order``, read as a stream of about ``files`` batches.
 
-    All files are written by one job, in ranges of the order. A file source takes the oldest file first, so their times are
-    set in the order of their names; only names pass through the driver.
+    All files are written by one job, in ranges of the order; a batch is made of as many ranges as keep all cores busy. A file
+    source takes the oldest file first, so their times are set in the order of their names; only names pass through the driver.
     """
     path = f"{_folder(spark)}/source"
-    rows.repartitionByRange(files, order).write.parquet(path)
+    ranges = max(1, spark.sparkContext.defaultParallelism // files)
+    rows.repartitionByRange(files * ranges, order).write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = sorted((f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
     for i, part in enumerate(parts):
         system.setTimes(part, 1_700_000_000_000 + 1000 * i, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", ranges).parquet(path)
 
 
 def _done(spark, stream):

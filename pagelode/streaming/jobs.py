@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.core import head, rank_all, ranged, running
-from ..operators.calls import body_key, fold_fields, replaced_records
+from ..functions.core import TABLE_TASK_ROWS, head, rank_all, ranged, running, spread
+from ..operators.calls import body_key, fold_fields, opened_log, replaced_records
 from ..session import stage
 
 
@@ -107,7 +107,9 @@ def fold_batches(log: DataFrame, path: str) -> None:
     spark = log.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        events = stage(batch.select("resource", "id", "seq", "op", "body"), "events")
+        # Dealt by event, not by record, and opened once: three readers would each parse every body.
+        log = spread(batch.select("resource", "id", "seq", "op", "body"), "resource", "id", "seq", task_rows=TABLE_TASK_ROWS)
+        events = stage(opened_log(log).select("resource", "id", "seq", "op", "fields"), "events")
         touched = events.select("resource", "id").distinct()
         older = (record_state(spark, path, number).join(touched, ["resource", "id"], "left_semi")
                  .join(replaced_records(events), ["resource", "id"], "left_anti"))

@@ -48,3 +48,21 @@ def test_calls_with_bodies_are_dealt(spark):
     assert A.calls(spark, SF, dealt_rows=True).rdd.getNumPartitions() >= 4
     assert calls.api(spark, SF).rdd.getNumPartitions() >= 4
     assert calls.c16(spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_bodies_of_a_folded_log_are_parsed_once(spark):
+    from pagelode.operators import calls as C
+    log = spark.createDataFrame([("r", "1", 1, "create", '{"a":1}')], "resource string, id string, seq long, op string, body string")
+    plan = C.opened_log(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson(") == 1
+
+
+def test_a_batch_of_a_staged_stream_has_many_files(spark):
+    from pagelode.plans import streams as P
+    rows = P._staged(spark, spark.range(1000).withColumnRenamed("id", "seq"), "seq", 3)
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    per = max(1, spark.sparkContext.defaultParallelism // 3)
+    import re
+    path = re.search(r"[^\s\[\],]*stream-[0-9a-f]+/source", plan)[0].replace("file:", "")
+    import glob
+    assert len(glob.glob(path + "/part-*")) == 3 * per
