@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_items, first_rows, lookup, position_in, strip, rank_all, top_per_group
+from ..functions.core import first_items, first_rows, lookup, once, position_in, strip, rank_all, top_per_group
 
 
 # --- assets -----------------------------------------------------------------------------------
@@ -44,9 +44,8 @@ def assets(responses: DataFrame, max_bytes: int | None = R.MAX_ASSET_BYTES, mode
     first = responses.filter(F.col("url").rlike("(?i)^https?://")).groupBy("url").agg(
         F.min_by(F.struct("content_type", "bytes", "seq"), F.col("seq")).alias("r")).select("url", "r.*")
     known = R.FONT_EXTS + R.IMAGE_EXTS + R.SCRIPT_EXTS + [".svg", ".css"]
-    media = _media_type(F.col("content_type"))
-    named = first.withColumns({"base": _base_name(F.col("url")), "media": media})
-    named = named.withColumn("url_ext", _extension(F.col("base"))).withColumn(
+    # Each of these is read in many places below, and a URL is parsed for it.
+    named = once(once(first, base=_base_name(F.col("url")), media=_media_type(F.col("content_type"))), url_ext=_extension(F.col("base"))).withColumn(
         "category", asset_category(F.col("media"), F.col("url_ext"))).filter(F.col("category").isNotNull())
     if max_bytes is not None:
         named = named.filter(F.col("bytes") <= max_bytes)
@@ -72,11 +71,12 @@ def font_faces(sheets: DataFrame) -> DataFrame:
     value = lambda prop: F.nullif(strip(F.regexp_extract("body", rf"(?i){prop}\s*:\s*([^;]+)", 1)), F.lit(""))
     refs = F.regexp_extract_all(F.regexp_extract("body", r"(?i)src\s*:\s*([^;]+)", 1),
                                 F.lit(r"(?i)url\(\s*(['\"]?)([^'\")]+)\1\s*\)"), F.lit(2))
-    return (
+    named = (
         rules.select("url", "seq", "rule_no", F.regexp_replace(value("font-family"), r"^['\"]|['\"]$", "").alias("family"),
                      value("font-weight").alias("weight"), value("font-style").alias("style"), F.posexplode(refs).alias("src_no", "ref"))
-        .withColumn("ref", strip(F.col("ref"))).filter("ref <> '' and not startswith(ref, 'data:')")
-        .select("seq", "rule_no", "src_no", "family", "weight", "style", U.href(U.resolve(F.col("url"), F.col("ref"))).alias("src_url")))
+        .withColumn("ref", strip(F.col("ref"))).filter("ref <> '' and not startswith(ref, 'data:')"))
+    return once(named, src_url=U.href(U.resolve(F.col("url"), F.col("ref")))).select(
+        "seq", "rule_no", "src_no", "family", "weight", "style", "src_url")
 
 
 def link_fonts(saved: DataFrame, faces: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagelode.sources import adapters as A
 from pagelode.functions.core import rank_all, ranged
 from pagelode.operators import capture
 
@@ -40,3 +41,8 @@ def test_runs_of_attempts(spark):
     df = spark.createDataFrame([("u", i, 503 if i != 4 else 200, None) for i in range(8)], "url string, attempt int, status int, error string")
     got = sorted((r.run, r.ok, r.status, r.retries) for r in capture.fetch_outcomes(capture.in_runs(df)).collect())
     assert got == [(0, False, 503, 2), (1, True, 200, 1), (2, False, 503, 1)]
+
+
+def test_asset_responses_are_dealt(spark):
+    rows = A.asset_responses(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
