@@ -50,7 +50,7 @@ def _vars(spark, sf):
 
 
 QUERIES = {
-    "e12_page_tally": lambda spark, sf: T.token_tally(T.token_values(A.style_rows(spark, sf))),
+    "e12_page_tally": lambda spark, sf: T.token_tally(T.token_values(A.style_rows(spark, sf, by_page=True))),
     "e09_assets": lambda spark, sf: T.assets(A.asset_responses(spark, sf)).drop("seq"),
     "e10_font_faces": lambda spark, sf: T.font_faces(A.css_texts(spark, sf)),
     "e10_font_links": lambda spark, sf: T.link_fonts(T.assets(A.asset_responses(spark, sf)), T.font_faces(A.css_texts(spark, sf))),

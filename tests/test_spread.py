@@ -46,3 +46,10 @@ def test_runs_of_attempts(spark):
 def test_asset_responses_are_dealt(spark):
     rows = A.asset_responses(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_values_of_a_page_are_not_shuffled_one_by_one(spark):
+    from pagelode.plans import styles
+    tally = styles.QUERIES["e12_page_tally"](spark, "/root/testdata/sf0.001")
+    plan = tally._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(page_id" not in plan and "hashpartitioning(l_orderkey" in plan
