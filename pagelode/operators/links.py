@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import urls as U
-from ..functions.core import first_rows, number_rows, pad, seq_bucket, rank_all, top_per_group
+from ..functions.core import first_rows, number_rows, once, pad, seq_bucket, rank_all, top_per_group
 from ..session import cut_lineage
 
 _ANCHOR = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
@@ -27,15 +27,14 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def crawl_links(pages: DataFrame) -> DataFrame:
     """Same-host page links, resolved and normalised: page_id, url, pos, target."""
-    links = anchors(pages).withColumn("absolute", U.resolve(F.col("url"), F.col("href")))
-    return (
+    links = once(anchors(pages), absolute=U.resolve(F.col("url"), F.col("href")))
+    kept = (
         links.filter(U.is_web_url(F.col("absolute")))
         .filter(U.hostname(F.col("absolute")) == U.hostname(F.col("url")))
         .filter(~U.is_crawl_asset(U.pathname(F.col("absolute"))))
-        .withColumn("target", U.normalize_url(F.col("absolute")))
-        .filter(F.col("target").isNotNull())
-        .select("page_id", "url", "pos", "href", "target")
     )
+    return once(kept, target=U.normalize_url(F.col("absolute"))).filter(F.col("target").isNotNull()).select(
+        "page_id", "url", "pos", "href", "target")
 
 
 def top_linked(links: DataFrame, n: int = 20) -> DataFrame:
@@ -141,11 +140,9 @@ def first_per_url(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFram
 
 def mint_pagination(urls: DataFrame, cap: int | None = None) -> DataFrame:
     """Next-page URLs of list pages: url (normalised), seq; inputs are left out."""
+    pages = urls.filter(U.is_web_url(F.col("url"))).filter(~U.is_crawl_asset(U.pathname(F.col("url"))))
     minted = (
-        urls.filter(U.is_web_url(F.col("url")))
-        .filter(~U.is_crawl_asset(U.pathname(F.col("url"))))
-        .select(U.normalize_url(U.next_page(F.col("url"))).alias("minted"),
-                U.normalize_url(F.col("url")).alias("own"), "seq")
+        once(pages, minted=U.normalize_url(U.next_page(F.col("url"))), own=U.normalize_url(F.col("url")))
         .filter("minted is not null and minted <> own")
         .groupBy(F.col("minted").alias("url")).agg(F.min("seq").alias("seq"))
     )
@@ -161,7 +158,7 @@ def merge_seeds(existing: DataFrame, sitemap: DataFrame, cap: int | None = None)
     """
     known = existing.select(U.normalize_url(F.col("url")).alias("url")).filter("url is not null")
     seeded = first_rows(
-        sitemap.select(U.normalize_url(F.col("url")).alias("url"), "seq").filter("url is not null")
+        once(sitemap.select(F.col("url").alias("_given"), "seq"), url=U.normalize_url(F.col("_given"))).filter("url is not null")
         .groupBy("url").agg(F.min("seq").alias("seq")).join(known, "url", "left_anti"),
         ["seq", "url"], cap).withColumn("source", F.lit(0))
     bases = existing.select("url", F.array(F.lit(0), F.col("seq")).alias("seq")).unionByName(

@@ -66,3 +66,12 @@ def test_a_batch_of_a_staged_stream_has_many_files(spark):
     path = re.search(r"[^\s\[\],]*stream-[0-9a-f]+/source", plan)[0].replace("file:", "")
     import glob
     assert len(glob.glob(path + "/part-*")) == 3 * per
+
+
+def test_links_are_resolved_once(spark):
+    from pagelode.operators import links as L
+    pages = spark.createDataFrame([(1, "https://a.com/x", '<a href="/y">y</a>')], "page_id long, url string, html string")
+    found = L.crawl_links(pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [l for l in plan.split("\n") if "Filter" in l and "isnotnull(_once" in l.lower() or "Generate explode" in l]
+    assert plan.count("Generate explode") == 2 and [r.target for r in found.collect()] == ["https://a.com/y"]
