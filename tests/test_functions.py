@@ -125,3 +125,13 @@ def test_no_place_of_a_text_tests_both_sides_of_a_boundary():
     rules = [p for p, _ in X.R.VOLATILE_TEXT + X.R.VOLATILE_COUNTS + X.R.HTML_SECRETS]
     left = [p for p in rules if p.removeprefix("(?i)").startswith(X.R.B) and X._opened(p) == p]
     assert left == [p for p in rules if "@" in p and r"[\w.+-]" in p]
+
+
+def test_collapse_equals_the_plain_rule(spark):
+    from pyspark.sql import functions as F
+    from pagelode.functions.core import WS, collapse
+    texts = ["a b", "a  b", "a \t b", "\ta\n", " a b ", "a  b", "　", "", "a ﻿", "x\r\ny  z ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(collapse(F.col("t")), F.trim(F.regexp_replace("t", WS + "+", " "))).collect()
+    assert all(a == b for a, b in got)
+    assert "&&[^ ]" in str(collapse(F.col("t")))
