@@ -73,8 +73,8 @@ def test_empty_tables(spark):
 def test_text_is_sent_to_workers_once(spark):
     docs = spark.createDataFrame([(i, f"word {i % 7} and some more text") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
-    found = resampling.importance(docs, labels)
+    found = R.importance(docs, labels)
     assert "_text" not in found._jdf.queryExecution().analyzed().toString()
     plain = {r.doc_id: r[2:] for r in found.collect()}
-    other = resampling.importance(docs.withColumn("text", docs["text"].cast("binary")), labels)
+    other = R.importance(docs.withColumn("text", docs["text"].cast("binary")), labels)
     assert {r.doc_id: r[2:] for r in other.collect()} == plain
