@@ -37,7 +37,7 @@ QUERIES = {
     "f05_soft_404": lambda spark, sf: Q.soft_404(A.captured(spark, sf, 1)),
     "f03_template_pages": f03,
     "f03_templates": lambda spark, sf: T.templates(f03(spark, sf)),
-    "f04_components": lambda spark, sf: K.component_inventory(nodes(spark, sf, with_text=False)),
+    "f04_components": lambda spark, sf: K.inventory(K.page_forms(A.all_pages(spark, sf))),
     "f04_component_pages": f04_pages,
 }
 

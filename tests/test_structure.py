@@ -107,3 +107,19 @@ def test_graph_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame([(i,) for i in ids], "id long"),
                                              spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
     assert got == {i: 0 if i < 61 else 999 if i == 999 else 200 for i in ids}
+
+
+def test_forms_of_whole_pages_equal_those_of_element_rows(spark):
+    rng = random.Random(3)
+    tags = ["div", "p", "li", "ul", "b", "br", "nav"]
+    some = lambda: rng.choice(["", ' class="b a"', ' role="list" class=" c a "', " class"])
+    rows = ["".join(f"<{rng.choice(tags)}{some()}>" if rng.random() < 0.6 else f"</{rng.choice(tags)}>" for _ in range(40)) for _ in range(60)]
+    given = pages(spark, [*rows, "", None]).unionByName(spark.createDataFrame([(None, "u", "<p><b>")], "page_id long, url string, html string"))
+    direct, by_rows = K.page_forms(given), K.forms_per_page(dom.dom_nodes(given, with_text=False))
+    assert sorted(map(str, direct.select(by_rows.columns).collect())) == sorted(map(str, by_rows.collect()))
+
+
+def test_component_queries_shuffle_no_elements(spark, tmp_path):
+    from pagelode.plans import structure
+    plan = structure.QUERIES["f04_components"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
