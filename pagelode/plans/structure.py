@@ -7,10 +7,11 @@ from ..operators import components as K
 from ..operators import dom as D
 from ..operators import quality as Q
 from ..operators import templates as T
+from ..session import stage
 from ..sources import adapters as A
 from . import domsql as M
 from . import sqltext as S
-from .dom import DOM, _SIG, nodes, stored
+from .dom import DOM, _SIG, nodes
 from .history import _COUNTS, _TEXT, _normal
 from .redaction import _NORMAL
 
@@ -23,8 +24,8 @@ def f03(spark, sf):
 
 
 def f04_pages(spark, sf):
-    elements = stored(spark, sf, with_text=False)
-    return K.component_pages(elements, K.component_inventory(elements))
+    forms = stage(K.page_forms(A.all_pages(spark, sf)), "component-forms")
+    return K.form_pages(forms, K.inventory(forms))
 
 
 def f05(spark, sf):
