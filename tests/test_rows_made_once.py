@@ -75,3 +75,13 @@ def test_links_are_resolved_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert [l for l in plan.split("\n") if "Filter" in l and "isnotnull(_once" in l.lower() or "Generate explode" in l]
     assert plan.count("Generate explode") == 2 and [r.target for r in found.collect()] == ["https://a.com/y"]
+
+
+def test_controls_are_found_in_one_pass(spark):
+    from pagelode.operators import controls, dom
+    html = "<nav><a href='/a'>Item 1</a><a href='/b'>Item 2</a><button disabled>x</button></nav><main><a href='/a'>Item 1</a></main>"
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, "https://a.example.com/", html)], "page_id long, url string, html string"))
+    found = controls.control_fields(controls.controls(nodes))
+    assert [(r.pos, r.label, r.same_site_href) for r in found.orderBy("pos").collect()] == [
+        (1, "Item 1", "https://a.example.com/a"), (5, "Item 1", "https://a.example.com/a")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
